@@ -11,14 +11,10 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import collapse_edges
 
-_STRING = r'^\s*"'
-_POSITIVE = r"^\s*[1-9][0-9]*\s*$"
-
 
 def _raw(json: Column, field: str) -> Column:
-    """A field as JSON text; strings keep their quotes."""
-    return F.from_json(json, "value variant").getField("value") if field == "" else F.variant_get(
-        F.try_parse_json(json), f"$.{field}", "variant")
+    """A field of a record with its type kept; an unreadable record has none."""
+    return F.variant_get(F.try_parse_json(json), f"$.{field}", "variant")
 
 
 def _items(value: Column) -> Column:
