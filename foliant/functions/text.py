@@ -6,6 +6,8 @@ stage of any job without leaving whole-stage code generation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +66,11 @@ def _text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and hand it to ``use``, which may name it many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse(column: Column) -> Column:
     return F.trim(F.regexp_replace(column, _BLANKS, " "))
 
@@ -99,15 +106,19 @@ def tag_external_id(tag: Column) -> Column:
 
 def strip_edition_noise(title: Column) -> Column:
     """Packaging removed, text otherwise kept: bracketed groups, edition tails, volume numbers."""
-    plain = F.regexp_replace(F.regexp_replace(title, BRACKETED, " "), EDITION_TAIL, "")
-    number = F.regexp_extract(plain, VOLUME_TAIL, 1)
-    remainder = strip_chars(F.regexp_replace(plain, VOLUME_TAIL, ""), r" ,:\-", left=False)
-    enough = F.size(F.split(collapse(remainder), " ")) >= 2
-    return (
-        F.when(plain.rlike(VOLUME_WORD), strip_chars(F.regexp_replace(plain, VOLUME_WORD, ""), r" ,:\-", left=False))
-        .when((number != "") & (number.try_cast("int") <= MAX_VOLUME_NUMBER) & enough, remainder)
-        .otherwise(plain)
-    )
+    def unmarked(plain: Column) -> Column:
+        number = F.regexp_extract(plain, VOLUME_TAIL, 1).try_cast("int")
+        remainder = strip_chars(F.regexp_replace(plain, VOLUME_TAIL, ""), r" ,:\-", left=False)
+        enough = F.size(F.split(collapse(remainder), " ")) >= 2
+        return (
+            F.when(~plain.rlike(r"[0-9]\s*$"), plain)
+            .when(plain.rlike(VOLUME_WORD),
+                  strip_chars(F.regexp_replace(plain, VOLUME_WORD, ""), r" ,:\-", left=False))
+            .when((number <= MAX_VOLUME_NUMBER) & enough, remainder)
+            .otherwise(plain)
+        )
+
+    return bind(F.regexp_replace(F.regexp_replace(title, BRACKETED, " "), EDITION_TAIL, ""), unmarked)
 
 
 def clean_title(title: Column) -> Column:
@@ -133,15 +144,18 @@ def heuristic_id(key: Column) -> Column:
 
 def normalize_isbn(raw: Column) -> Column:
     """13 digits as they are; ten characters get the 978 prefix and a new check digit."""
-    digits = F.regexp_replace(_text(raw), "[^0-9Xx]", "")
-    core = F.concat(F.lit("978"), F.substring(digits, 1, 9))
-    total = sum(
-        (F.substring(core, i + 1, 1).try_cast("int") * (1 if i % 2 == 0 else 3) for i in range(12)), F.lit(0))
-    check = F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
-    return (
-        F.when(digits.rlike("^[0-9]{13}$"), digits)
-        .when(digits.rlike("^[0-9]{9}[0-9Xx]$"), F.concat(core, check))
-    )
+    def upgraded(digits: Column) -> Column:
+        core = F.concat(F.lit("978"), F.substring(digits, 1, 9))
+        total = F.aggregate(
+            F.sequence(F.lit(1), F.lit(12)), F.lit(0),
+            lambda acc, i: acc + F.substring(core, i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 1).otherwise(3))
+        check = F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
+        return (
+            F.when(digits.rlike("^[0-9]{13}$"), digits)
+            .when(digits.rlike("^[0-9]{9}[0-9Xx]$"), F.concat(core, check))
+        )
+
+    return bind(F.regexp_replace(_text(raw), "[^0-9Xx]", ""), upgraded)
 
 
 def classify_kind(title: Column, subtitle: Column) -> Column:
@@ -188,23 +202,28 @@ def series_tags(subjects: Column) -> Column:
 
 def slugify(name: Column, max_length: int = SLUG_LIMIT) -> Column:
     """ASCII words joined by '-', cut at a word boundary."""
+    def capped(cleaned: Column) -> Column:
+        window = F.substring(cleaned, 1, max_length)
+        cut_inside_word = (F.substring(cleaned, max_length + 1, 1) != "-") & window.contains("-")
+        shorter = F.when(cut_inside_word, F.regexp_replace(window, "-[^-]*$", "")).otherwise(window)
+        short = F.when(F.length(cleaned) > max_length, F.trim(shorter, F.lit("-"))).otherwise(cleaned)
+        return F.when(cleaned == "", F.lit("series")).otherwise(short)
+
     ascii_name = F.regexp_replace(fold_accents(_text(name)), r"[^\x00-\x7f]", "")
     words = F.regexp_replace(F.replace(F.lower(ascii_name), F.lit("'"), F.lit("")), "[^a-z0-9]+", "-")
-    cleaned = F.trim(words, F.lit("-"))
-    window = F.substring(cleaned, 1, max_length)
-    cut_inside_word = (F.substring(cleaned, max_length + 1, 1) != "-") & window.contains("-")
-    shorter = F.when(cut_inside_word, F.regexp_replace(window, "-[^-]*$", "")).otherwise(window)
-    capped = F.when(F.length(cleaned) > max_length, F.trim(shorter, F.lit("-"))).otherwise(cleaned)
-    return F.when(capped == "", F.lit("series")).otherwise(capped)
+    return bind(F.trim(words, F.lit("-")), capped)
 
 
 def row_id(identity: Column, namespace: str = NAMESPACE) -> Column:
     """Name-based UUID (version 5)."""
-    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(identity, "UTF-8")))
-    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat_ws(
-        "-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-        F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+    def shaped(digest: Column) -> Column:
+        variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat_ws(
+            "-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)),
+            F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+
+    return F.when(identity.isNotNull(), bind(
+        F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(identity, "UTF-8"))), shaped))
 
 
 def work_row_id(work: Column) -> Column:
@@ -220,34 +239,44 @@ def series_row_id(key: Column) -> Column:
 
 
 def _usable_name(raw: Column) -> Column:
-    name = strip_chars(F.regexp_replace(raw, _BLANKS, " "), r" ,;:\-")
-    return F.when(name.rlike(r"[\p{L}\p{Nl}\p{No}]") & (F.length(name) <= SERIES_NAME_LIMIT), name)
+    return bind(
+        strip_chars(F.regexp_replace(raw, _BLANKS, " "), r" ,;:\-"),
+        lambda n: F.when(n.rlike(r"[\p{L}\p{Nl}\p{No}]") & (F.length(n) <= SERIES_NAME_LIMIT), n))
 
 
 def _reference(name: Column, position: Column) -> Column:
     return F.when(name.isNotNull(), F.struct(name.alias("name"), position.alias("position")))
 
 
+def _with_position(position: Column) -> Callable[[Column], Column]:
+    return lambda name: _reference(name, position)
+
+
 def parse_series_string(raw: Column) -> Column:
     """``struct(name, position)``; the first form that matches decides."""
-    text = F.trim(F.regexp_replace(collapse(_text(raw)), r"\.+$", ""))
-    result = F.when(text == "", F.lit(None).cast("struct<name:string,position:double>"))
-    for form in SERIES_FORMS:
-        name = _usable_name(F.regexp_extract(text, form, 1))
-        result = result.when(
-            text.rlike(form), _reference(name, F.regexp_extract(text, form, 2).try_cast("double")))
-    return result.otherwise(_reference(_usable_name(text), F.lit(None).cast("double")))
+    def parsed(text: Column) -> Column:
+        result = F.when(text == "", F.lit(None).cast("struct<name:string,position:double>"))
+        for form in SERIES_FORMS:
+            position = F.regexp_extract(text, form, 2).try_cast("double")
+            reference = bind(_usable_name(F.regexp_extract(text, form, 1)), _with_position(position))
+            result = result.when(text.rlike(form), reference)
+        return result.otherwise(bind(_usable_name(text), lambda n: _reference(n, F.lit(None).cast("double"))))
+
+    return bind(F.trim(F.regexp_replace(collapse(_text(raw)), r"\.+$", "")), parsed)
 
 
 def parse_title_series(title: Column) -> Column:
     """A title needs a position to name a series; an unusable name falls through."""
-    text = collapse(_text(title))
-    found = []
-    for form, name_group, position_group in TITLE_FORMS:
-        name = _usable_name(F.regexp_extract(text, form, name_group))
-        position = F.regexp_extract(text, form, position_group).try_cast("double")
-        found.append(F.when(text.rlike(form), _reference(name, position)))
-    return F.coalesce(*found)
+    def parsed(text: Column) -> Column:
+        found = []
+        for form, name_group, position_group in TITLE_FORMS:
+            position = F.regexp_extract(text, form, position_group).try_cast("double")
+            reference = bind(_usable_name(F.regexp_extract(text, form, name_group)),
+                             _with_position(position))
+            found.append(F.when(text.rlike(form), reference))
+        return F.when(text.rlike("[0-9]"), F.coalesce(*found))
+
+    return bind(collapse(_text(title)), parsed)
 
 
 def parse_ordinal(raw: Column) -> Column:

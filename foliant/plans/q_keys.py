@@ -149,7 +149,7 @@ _AUTHOR_JSON = """
 @query("k17_author_ids",
        f"SELECT id, CASE WHEN nested AND num <> '7' THEN concat('OL', num, 'A,OL7A') ELSE concat('OL', num, 'A') END AS author_ids FROM ({_AUTHOR_JSON})")
 def k17(w: World) -> DataFrame:
-    return w.sql(_AUTHOR_JSON).select("id", F.array_join(R.author_ids(F.col("json")), ",").alias("author_ids"))
+    return w.sql(_AUTHOR_JSON).select("id", F.array_join(R.author_ids(R.document(F.col("json"))), ",").alias("author_ids"))
 
 
 _FIELD_JSON = """
@@ -162,8 +162,8 @@ _FIELD_JSON = """
        f"SELECT id, p_name AS title, CAST(NULL AS VARCHAR) AS subtitle, p_type || '|' || p_brand AS subjects, CAST(p_size AS VARCHAR) AS covers, "
        f"CASE WHEN p_size <= 25 AND p_size > 5 THEN CAST(p_size - 5 AS BIGINT) END AS pages FROM ({_FIELD_JSON})")
 def k18(w: World) -> DataFrame:
-    json = F.col("json")
-    return w.sql(_FIELD_JSON).select(
+    json = F.col("doc")
+    return w.sql(_FIELD_JSON).withColumn("doc", R.document(F.col("json"))).select(
         "id", R.text_field(json, "title").alias("title"), R.text_field(json, "subtitle").alias("subtitle"),
         F.array_join(R.string_list(json, "subjects"), "|").alias("subjects"),
         F.array_join(R.positive_ints(json, "covers").cast("array<string>"), "|").alias("covers"),
