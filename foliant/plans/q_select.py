@@ -160,7 +160,7 @@ def v02(w: World) -> DataFrame:
 
 _RULES = """
     SELECT CASE WHEN p_size = 50 THEN concat(p_brand, '-x') ELSE concat('g', p_partkey) END AS slug, CASE WHEN p_size = 49 THEN ' ' ELSE p_name END AS name,
-      CASE WHEN p_type = 'SMALL' THEN NULL ELSE concat('g', floor(p_partkey / 3)) END AS parent,
+      CASE WHEN p_type = 'SMALL' THEN NULL ELSE concat('g', CAST(floor(p_partkey / 3) AS BIGINT)) END AS parent,
       CASE WHEN p_size = 48 THEN 'colour' ELSE 'match' END AS extra, CASE WHEN p_size = 47 THEN '--' ELSE p_type END AS phrase FROM part"""
 
 
@@ -177,8 +177,8 @@ def v03(w: World) -> DataFrame:
 
 
 @query("v04_stale_subjects",
-       "SELECT work_id FROM (SELECT work_id, string_agg(subject, CASE WHEN work_id LIKE '%7W' THEN chr(10) ELSE ' ' END ORDER BY line) AS s FROM fx_subject GROUP BY work_id) "
-       "WHERE NOT contains(s, chr(10)) AND (contains(lower(s), 'series:') OR contains(lower(s), 'franchise:'))")
+       "SELECT work_id FROM (SELECT work_id, CASE WHEN work_id LIKE '%7W' THEN string_agg(subject, chr(10) ORDER BY line) ELSE string_agg(subject, ' ' ORDER BY line) END AS s "
+       "FROM fx_subject GROUP BY work_id) WHERE NOT contains(s, chr(10)) AND (contains(lower(s), 'series:') OR contains(lower(s), 'franchise:'))")
 def v04(w: World) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("line", "subject")))["subject"]
     grouped = w.fx("subject").groupBy("work_id").agg(lines.alias("lines"))
