@@ -42,7 +42,7 @@ VIEWS = {
           p_size % 25 AS series_id, p_type AS shelf_mark FROM part""",
     "fx_edition": """
         SELECT concat('OL', l_orderkey, 'x', l_linenumber, 'x', l_partkey, 'x', l_suppkey, 'M') AS edition_id,
-          concat('OL', l_partkey + 1, 'W') AS work_id, l_returnflag <> 'R' AS is_english, p_name AS title,
+          concat('OL', l_partkey + 1, 'W') AS work_id, l_returnflag <> 'R' AS is_english, p_name AS title, p_brand AS author,
           CASE WHEN l_linenumber % 3 = 0 THEN lower(p_type) END AS subtitle, CAST(l_quantity * 6 AS INT) AS page_count,
           s_name AS publisher, CAST(year(l_shipdate) AS INT) AS publish_year,
           CASE l_linenumber % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS language,
