@@ -23,7 +23,7 @@ _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
 _LEADS = "".join(chr(0x1100 + i) for i in range(19))
 _VOWELS = "".join(chr(0x1161 + i) for i in range(21))
 _TAILS = "".join(chr(0x11A7 + i) for i in range(28))
-_ENTRY, _PAIR = "\x02", "\x01"
+_ENTRY = "\x02"
 
 
 def _bare(char: str) -> str:
@@ -62,32 +62,43 @@ def _longer_class() -> str:
     return f"[{body}\\x{{{_HANGUL_FIRST:x}}}-\\x{{{_HANGUL_LAST:x}}}]"
 
 
+@lru_cache(maxsize=None)
+def _literal(name: str) -> Column:
+    """The tables as plain string literals, built once: cheap to plan however often they are used."""
+    single_from, single_to, longer = _tables()
+    texts = {
+        "from": single_from, "to": single_to, "keys": "".join(longer), "values": _ENTRY.join(longer.values()),
+        "class": _longer_class(), "beyond_ascii": r"[^\x00-\x7f]", "leads": _LEADS, "vowels": _VOWELS, "tails": _TAILS,
+    }
+    return F.lit(texts[name])
+
+
+def _translate(text: Column) -> Column:
+    return F.call_function("translate", text, _literal("from"), _literal("to"))
+
+
 def _expand(char: Column) -> Column:
-    _, _, longer = _tables()
-    table = F.str_to_map(
-        F.lit(_ENTRY.join(f"{k}{_PAIR}{v}" for k, v in longer.items())), F.lit(_ENTRY), F.lit(_PAIR))
+    """One character to its expansion: Hangul by arithmetic, the rest by its place in the key string."""
     offset = F.ascii(char) - F.lit(_HANGUL_FIRST)
 
     def letter(letters: str, index: Column) -> Column:
-        return F.substring(F.lit(letters), (index + 1).cast("int"), F.lit(1))
+        return F.substring(_literal(letters), (index + 1).cast("int"), F.lit(1))
 
     tail = F.pmod(offset, F.lit(28))
     syllable = F.concat(
-        letter(_LEADS, F.floor(offset / 588)),
-        letter(_VOWELS, F.floor(F.pmod(offset, F.lit(588)) / 28)),
-        F.when(tail > 0, letter(_TAILS, tail)).otherwise(F.lit("")),
-    )
+        letter("leads", F.floor(offset / 588)), letter("vowels", F.floor(F.pmod(offset, F.lit(588)) / 28)),
+        F.when(tail > 0, letter("tails", tail)).otherwise(F.lit("")))
     is_syllable = (offset >= 0) & (offset <= _HANGUL_LAST - _HANGUL_FIRST)
-    return F.when(is_syllable, syllable).otherwise(F.coalesce(F.element_at(table, char), char))
+    place = F.call_function("locate", char, _literal("keys"))
+    listed = F.split_part(_literal("values"), F.lit(_ENTRY), place)
+    return F.when(is_syllable, syllable).when((char != "") & (place > 0), listed).otherwise(char)
 
 
 def fold_accents(text: Column) -> Column:
     """NFKD with the combining marks dropped; case is kept."""
-    single_from, single_to, _ = _tables()
-    short = F.translate(text, single_from, single_to)
     long = F.array_join(F.transform(F.split(text, ""), _expand), "")
     return (
-        F.when(~text.rlike(r"[^\x00-\x7f]"), text)
-        .when(text.rlike(_longer_class()), F.translate(long, single_from, single_to))
-        .otherwise(short)
+        F.when(~F.rlike(text, _literal("beyond_ascii")), text)
+        .when(F.rlike(text, _literal("class")), _translate(long))
+        .otherwise(_translate(text))
     )

@@ -152,12 +152,22 @@ def _voted(w: World):
     return N.apply_genre_votes(w.fx("genre_action"), works, w.fx("genre"), N.live_vetoes(w.fx("veto")))
 
 
-@query("n07_apply_genre_votes")
+_BALLOTS = f"""
+    pl AS (SELECT a.event_id, a.ts, a.user_id, coalesce(w.merged_into, w.work_id) AS work_id, a.genre_id, a.action FROM fx_genre_action a JOIN fx_work w ON w.work_id = a.work_id),
+    jd AS (SELECT p.*, CASE WHEN action = 'vote' THEN CASE WHEN {Q.kind('l.raw_title')} = 'collection' THEN 'collection' WHEN g.retired THEN 'retired' WHEN EXISTS (SELECT 1 FROM fx_veto v WHERE NOT v.reverted AND v.work_id = p.work_id AND v.genre_id = p.genre_id) THEN 'vetoed' END END AS reason
+      FROM pl p JOIN fx_work l ON l.work_id = p.work_id JOIN fx_genre g ON g.genre_id = p.genre_id),
+    ops AS (SELECT *, row_number() OVER (PARTITION BY user_id, work_id ORDER BY ts, event_id) AS rn FROM jd WHERE reason IS NULL),
+    fold AS (SELECT DISTINCT user_id, work_id, CAST(0 AS BIGINT) AS rn, CAST([] AS INT[]) AS st, CAST(NULL AS BIGINT) AS refused FROM ops
+      UNION ALL SELECT f.user_id, f.work_id, o.rn, CASE WHEN o.action = 'unvote' THEN list_filter(f.st, lambda x: x <> o.genre_id) WHEN list_contains(f.st, o.genre_id) OR len(f.st) >= 5 THEN f.st ELSE list_append(f.st, o.genre_id) END,
+        CASE WHEN o.action = 'vote' AND NOT list_contains(f.st, o.genre_id) AND len(f.st) >= 5 THEN o.event_id END FROM fold f JOIN ops o ON o.user_id = f.user_id AND o.work_id = f.work_id AND o.rn = f.rn + 1)"""
+
+
+@query("n07_apply_genre_votes", f"WITH RECURSIVE {_BALLOTS} SELECT user_id, work_id, unnest(arg_max(st, rn)) AS genre_id FROM fold GROUP BY user_id, work_id")
 def n07(w: World) -> DataFrame:
     return _voted(w)[0]
 
 
-@query("n07_genre_vote_refusals")
+@query("n07_genre_vote_refusals", f"WITH RECURSIVE {_BALLOTS} SELECT event_id, reason FROM jd WHERE reason IS NOT NULL UNION ALL SELECT refused, 'cap' FROM fold WHERE refused IS NOT NULL")
 def n07_refusals(w: World) -> DataFrame:
     return _voted(w)[1]
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import resolve as E
-from foliant.operators.graph import connected_components, cluster_authors  # noqa: F401
 from foliant.plans import check_sql as Q
 from foliant.plans.q_genres import SUMMARY, effective
 from foliant.plans.q_graph import RESOLVED, _COMPONENTS, author_records
+from foliant.plans.q_sources import _POPULARITY
 from foliant.plans.world import World, query
 from foliant.operators import genres as N
 from foliant.operators.extract import popularity
@@ -22,11 +22,28 @@ def dup_inputs(w: World) -> tuple[DataFrame, DataFrame, DataFrame]:
         "work_id", F.col("author_id").alias("author"), T.clean_title(F.col("raw_title")).alias("title_key"),
         T.classify_kind(F.col("raw_title"), F.lit("")).alias("kind"), (F.col("readinglog_count") + F.col("edition_count")).alias("popularity"))
     links = w.fx("kg_membership").select(F.col("ol_id").alias("work_id"), F.col("series").alias("item"))
-    keys = w.fx("edition").filter("is_english").select("work_id", T.edition_title_key(F.col("title"), F.col("subtitle")).alias("tkey")).distinct()
+    titles = w.fx("edition").filter("is_english").select("work_id", "title", "subtitle").distinct()
+    keys = titles.select("work_id", T.edition_title_key(F.col("title"), F.col("subtitle")).alias("tkey"))
     return works, links, keys
 
 
-@query("e01_find_duplicates")
+_DUPLICATES = f"""
+    dw AS (SELECT work_id, work_num, author_id, {Q.clean('raw_title')} AS tk, readinglog_count + edition_count AS pop FROM fx_work WHERE {Q.kind('raw_title')} <> 'collection'),
+    it AS (SELECT ol_id AS work_id, list(DISTINCT series) AS items FROM fx_kg_membership GROUP BY 1),
+    ti AS (SELECT work_id, list(DISTINCT {Q.clean('t')}) AS titles FROM (SELECT DISTINCT work_id, concat_ws(' ', nullif(title, ''), nullif(subtitle, '')) AS t FROM fx_edition WHERE is_english) GROUP BY 1),
+    dr AS (SELECT d.*, coalesce(items, []) AS items, coalesce(titles, []) AS titles, row_number() OVER (PARTITION BY author_id, tk ORDER BY items IS NULL, -pop, work_num) AS rn FROM dw d LEFT JOIN it USING (work_id) LEFT JOIN ti USING (work_id) WHERE tk <> ''),
+    inc AS (SELECT a.work_id, list(b.rn) AS bad FROM dr a JOIN dr b ON b.author_id = a.author_id AND b.tk = a.tk AND b.rn < a.rn
+      WHERE (len(a.items) > 0 AND len(b.items) > 0 AND NOT list_has_any(a.items, b.items)) OR (len(a.titles) > 0 AND len(b.titles) > 0 AND NOT list_has_any(a.titles, b.titles)) GROUP BY 1),
+    rows AS (SELECT dr.*, coalesce(inc.bad, []) AS bad FROM dr LEFT JOIN inc USING (work_id)),
+    greedy AS (SELECT author_id, tk, CAST(1 AS BIGINT) AS rn, [[CAST(1 AS BIGINT)]] AS st FROM rows WHERE rn = 1
+      UNION ALL SELECT g.author_id, g.tk, r.rn, CASE WHEN coalesce(list_position(list_transform(g.st, lambda c: NOT list_has_any(c, r.bad)), true), 0) = 0 THEN list_append(g.st, [r.rn])
+        ELSE list_transform(g.st, lambda c, i: CASE WHEN i = list_position(list_transform(g.st, lambda d: NOT list_has_any(d, r.bad)), true) THEN list_append(c, r.rn) ELSE c END) END
+        FROM greedy g JOIN rows r ON r.author_id = g.author_id AND r.tk = g.tk AND r.rn = g.rn + 1),
+    cl AS (SELECT author_id, tk, unnest(arg_max(st, rn)) AS c FROM greedy GROUP BY 1, 2), mem AS (SELECT author_id, tk, c[1] AS head, unnest(c) AS rn FROM cl),
+    dup AS (SELECT l.work_id AS loser, s.work_id AS survivor FROM mem m JOIN rows l ON l.author_id = m.author_id AND l.tk = m.tk AND l.rn = m.rn JOIN rows s ON s.author_id = m.author_id AND s.tk = m.tk AND s.rn = m.head WHERE m.rn <> m.head)"""
+
+
+@query("e01_find_duplicates", f"WITH RECURSIVE {_DUPLICATES} SELECT * FROM dup")
 def e01(w: World) -> DataFrame:
     return E.find_duplicates(*dup_inputs(w))
 
@@ -390,7 +407,12 @@ def e21_stats(w: World) -> DataFrame:
     return _refreshed(w)[2]
 
 
-@query("flagship_most_read_works")
+@query("flagship_most_read_works", f"""
+    WITH RECURSIVE {_DUPLICATES}, {RESOLVED}, pop AS ({_POPULARITY}), base AS (SELECT w.work_id, trim(regexp_replace({Q.unmarked(Q.plain('raw_title'))}, '\\s+', ' ', 'g'), ' ,:-') AS title, w.author,
+      coalesce(p.ratings_count, 0) AS ratings_count, coalesce(p.readinglog_count, 0) AS readinglog_count, w.edition_count FROM fx_work w LEFT JOIN pop p ON p.ol_id = w.work_id),
+    folded AS (SELECT coalesce(d.survivor, b.work_id) AS id, sum(ratings_count) AS ratings_count, sum(readinglog_count) AS readinglog_count, sum(edition_count) AS edition_count FROM base b LEFT JOIN dup d ON d.loser = b.work_id GROUP BY 1)
+    SELECT b.work_id, b.title, b.author, CAST(f.ratings_count AS INT) AS ratings_count, CAST(f.readinglog_count AS INT) AS readinglog_count, CAST(f.edition_count AS INT) AS edition_count
+    FROM folded f JOIN base b ON b.work_id = f.id ORDER BY f.readinglog_count DESC, f.ratings_count DESC, b.work_id LIMIT 20""")
 def flagship(w: World) -> DataFrame:
     """Popularity, keys, duplicates and the fold, then the twenty most read works."""
     log = w.fx("log").select(F.col("work_id").alias("ol_id"), "kind")
