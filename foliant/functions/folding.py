@@ -24,6 +24,7 @@ _LEADS = "".join(chr(0x1100 + i) for i in range(19))
 _VOWELS = "".join(chr(0x1161 + i) for i in range(21))
 _TAILS = "".join(chr(0x11A7 + i) for i in range(28))
 _ENTRY = "\x02"
+_LATIN_LAST = 0x24F
 
 
 def _bare(char: str) -> str:
@@ -49,32 +50,36 @@ def _tables() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from + dropped), "".join(single_to), longer
 
 
-@lru_cache(maxsize=1)
-def _longer_class() -> str:
-    codes = sorted(ord(c) for c in _tables()[2])
+def _longer_class(last: int = 0x110000) -> str:
+    """A regex class of the characters (up to ``last``) that fold to more than one."""
+    codes = sorted(ord(c) for c in _tables()[2] if ord(c) <= last)
     runs: list[list[int]] = []
     for code in codes:
         if runs and code == runs[-1][1] + 1:
             runs[-1][1] = code
         else:
             runs.append([code, code])
-    body = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
-    return f"[{body}\\x{{{_HANGUL_FIRST:x}}}-\\x{{{_HANGUL_LAST:x}}}]"
+    if last >= _HANGUL_LAST:
+        runs.append([_HANGUL_FIRST, _HANGUL_LAST])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
 
 
 @lru_cache(maxsize=None)
 def _literal(name: str) -> Column:
     """The tables as plain string literals, built once: cheap to plan however often they are used."""
     single_from, single_to, longer = _tables()
+    pairs = [(a, b) for a, b in zip(single_from, single_to) if ord(a) <= _LATIN_LAST]
+    latin_from, latin_to = "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
     texts = {
         "from": single_from, "to": single_to, "keys": "".join(longer), "values": _ENTRY.join(longer.values()),
-        "class": _longer_class(), "beyond_ascii": r"[^\x00-\x7f]", "leads": _LEADS, "vowels": _VOWELS, "tails": _TAILS,
+        "class": _longer_class(), "latin_class": _longer_class(_LATIN_LAST), "beyond_ascii": r"[^\x00-\x7f]",
+        "beyond_latin": r"[^\x00-\x{24f}]", "latin_from": latin_from, "latin_to": latin_to, "leads": _LEADS, "vowels": _VOWELS, "tails": _TAILS,
     }
     return F.lit(texts[name])
 
 
-def _translate(text: Column) -> Column:
-    return F.call_function("translate", text, _literal("from"), _literal("to"))
+def _translate(text: Column, table: str = "") -> Column:
+    return F.call_function("translate", text, _literal(f"{table}from"), _literal(f"{table}to"))
 
 
 def _expand(char: Column) -> Column:
@@ -95,10 +100,15 @@ def _expand(char: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    """NFKD with the combining marks dropped; case is kept."""
+    """NFKD with the combining marks dropped; case is kept.
+
+    Plain ASCII passes through; Latin text needs a small table and a short test; the full tables serve the rest.
+    """
     long = F.array_join(F.transform(F.split(text, ""), _expand), "")
+    latin = ~F.rlike(text, _literal("beyond_latin")) & ~F.rlike(text, _literal("latin_class"))
     return (
         F.when(~F.rlike(text, _literal("beyond_ascii")), text)
+        .when(latin, _translate(text, "latin_"))
         .when(F.rlike(text, _literal("class")), _translate(long))
         .otherwise(_translate(text))
     )

@@ -10,8 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+import foliant
+
+# Executors need not have this package installed: its few fold functions travel with the job.
+cloudpickle.register_pickle_by_value(foliant)
+
 _FLUSH = 10_000
 
 

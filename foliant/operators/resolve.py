@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators.filters import real_covers
 from foliant.operators.folds import ordered_fold
-from foliant.operators.graph import connected_components, follow_aliases, resolve_column
+from foliant.operators.graph import connected_components, resolve_column
+from foliant.session import materialize
 
 # --- fixed values ----------------------------------------------------------------
 MIN_TITLE_RESULTS = 3
@@ -53,7 +54,8 @@ def find_duplicates(works: DataFrame, kg_links: DataFrame, edition_keys: DataFra
 
     ``works(work_id, author, title_key, kind, popularity)``, ``kg_links(work_id, item)``, ``edition_keys(work_id, tkey)``.
     Works of a block with the same item and title sets always share a cluster, so a block first shrinks to
-    its distinct evidence (combined map-side); the greedy pass then streams that evidence in rank order.
+    its distinct evidence (combined map-side); the greedy pass then streams that evidence in rank order. Works
+    with their evidence are written once, because the pass and the way back both read them.
     """
     named = works.filter("author IS NOT NULL AND kind <> 'collection' AND title_key <> ''")
     crowded = named.groupBy("author", "title_key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -62,10 +64,10 @@ def find_duplicates(works: DataFrame, kg_links: DataFrame, edition_keys: DataFra
     items = kg_links.join(ids, "work_id", "left_semi").groupBy("work_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
     titles = edition_keys.join(ids, "work_id", "left_semi").groupBy("work_id").agg(F.array_sort(F.collect_set("tkey")).alias("titles"))
     empty = F.array().cast("array<string>")
-    ranked = blocked.join(items, "work_id", "left").join(titles, "work_id", "left").select(
+    ranked = materialize(blocked.join(items, "work_id", "left").join(titles, "work_id", "left").select(
         "work_id", "author", "title_key", F.coalesce("items", empty).alias("items"), F.coalesce("titles", empty).alias("titles"),
         F.struct(F.when(F.size(F.coalesce("items", empty)) > 0, 0).otherwise(1).alias("linked"), (-F.col("popularity")).alias("p"),
-                 T.ol_number(F.col("work_id")).alias("n"), "work_id").alias("rank"))
+                 T.ol_number(F.col("work_id")).alias("n"), "work_id").alias("rank")))
     evidence = ranked.groupBy("author", "title_key", "items", "titles").agg(F.min("rank").alias("best")).select(
         "author", "title_key", "items", "titles", F.col("best.work_id").alias("lead"), F.col("best.linked").alias("o1"),
         F.col("best.p").alias("o2"), F.col("best.n").alias("o3"))
@@ -209,14 +211,14 @@ def resolve_ladder(editions: DataFrame, docs: DataFrame, works: DataFrame) -> tu
     by_isbn = resolve_by_isbn(pending, docs).withColumn("provenance", F.lit(PROVENANCE_ISBN))
     rest = pending.join(by_isbn, "edition_id", "left_anti")
     by_title = resolve_by_title_author(rest, docs).withColumn("provenance", F.lit(PROVENANCE_TITLE))
-    upstream = by_isbn.unionByName(by_title)
+    upstream = materialize(by_isbn.unionByName(by_title))
     key = T.canonical_key(F.col("title"), F.col("author"))
     tiered = pending.join(upstream.withColumnRenamed("key", "doc_key"), "edition_id", "left").withColumn("ckey", key).select(
         *pending.columns, "ckey", F.coalesce("doc_key", T.heuristic_id(F.col("ckey"))).alias("external_id"),
         F.when(F.col("doc_key").isNotNull(), "openlibrary").otherwise("heuristic").alias("source"),
         F.coalesce("provenance", F.lit(PROVENANCE_HEURISTIC)).alias("provenance"))
     known = works.select("source", "external_id", F.coalesce("merged_into", "work_id").alias("known_work"))
-    found = tiered.drop("work_id").join(known, ["source", "external_id"], "left")
+    found = materialize(tiered.drop("work_id").join(known, ["source", "external_id"], "left"))
     guess = found.filter("known_work IS NULL AND source = 'heuristic'")
     claimed = claim_existing(guess, works).withColumnRenamed("work_id", "claimed")
     links = found.join(claimed, "edition_id", "left").select(

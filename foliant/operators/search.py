@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators.filters import search_filters
+from foliant.session import materialize
 
 # --- fixed values ----------------------------------------------------------------
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
@@ -122,12 +123,12 @@ def rank_search(index: DataFrame, works: DataFrame, queries: DataFrame, limit: i
     """Q03: per query the best live single works by cover density x (1 + ln(1 + readers)).
 
     ``works(doc_id, readers, edition_count, first_publish_year, kind, merged_into)``, already narrowed by F05 if filters
-    apply. Only documents that match every term and are listed reach the scoring pass.
+    apply. The query terms' postings are read once; only documents that hold every term reach the scoring pass.
     """
     terms = query_terms(queries)
     listed = works.filter("kind = 'single' AND merged_into IS NULL")
-    postings = index.join(terms, "term").join(listed.select("doc_id"), "doc_id", "left_semi")
-    matched = match_query(index, terms)
+    postings = materialize(index.join(terms, "term").join(listed.select("doc_id"), "doc_id", "left_semi"))
+    matched = postings.groupBy("query_id", "doc_id", "n_terms").agg(F.countDistinct("term").alias("found")).filter("found = n_terms")
     inverse = F.element_at(F.create_map(*[F.lit(v) for pair in ((k, 1.0 / w) for k, w in WEIGHTS.items()) for v in pair]), F.col("weight"))
     entries = postings.join(matched, ["query_id", "doc_id"], "left_semi").groupBy("query_id", "doc_id", "n_terms").agg(
         F.array_sort(F.collect_list(F.struct("pos", "idx", inverse.alias("inverse")))).alias("entries"))

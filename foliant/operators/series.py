@@ -73,7 +73,8 @@ def _vote(refs: DataFrame, rung: int) -> DataFrame:
     keyed = refs.filter("ref IS NOT NULL").select(
         "work_id", "voter", "idx", T.ol_key(F.col("ref.name")).alias("key"), "ref.name", "ref.position").filter("key IS NOT NULL")
     ballots = keyed.groupBy("work_id", "voter", "key").agg(F.min(F.struct("idx", "name", "position")).alias("b"))
-    counted = ballots.groupBy("work_id", "key", F.col("b.name").alias("name"), F.col("b.position").alias("position")).agg(F.count("*").alias("n"))
+    counted = materialize(ballots.groupBy("work_id", "key", F.col("b.name").alias("name"), F.col("b.position").alias("position")).agg(
+        F.count("*").alias("n")))
     names = counted.groupBy("work_id", "key", "name").agg(F.sum("n").alias("n")).groupBy("work_id", "key").agg(
         F.sum("n").alias("votes"), F.min_by("name", F.struct((-F.col("n")).alias("n"), "name")).alias("name"))
     positions = counted.filter("position IS NOT NULL").groupBy("work_id", "key", "position").agg(F.sum("n").alias("n")).groupBy(
