@@ -81,16 +81,17 @@ def test_fold_sees_smaller_keys_only(spark):
     for i in range(60):
         if rng.random() < 0.3:
             cands.append((f"w{i}", f"wd:Q{rng.randrange(3)}", "n", None, 1))
-        for rung in (2, 3, 4):
-            if rng.random() < 0.7:
-                cands.append((f"w{i}", f"ol:s{rng.randrange(7)}", "n", None, rung))
-    kg = [("Q0", "s3", [], []), ("Q1", "other", ["S5"], []), ("Q2", None, [], [])]
-    rejected = {"ol:s6"}
+        kind = rng.randrange(3)
+        for rung, prefix in ((2, "m"), (3, "k"), (4, "pa"[kind % 2])):
+            if rng.random() < 0.85:
+                cands.append((f"w{i}", f"ol:{prefix}{kind if rng.random() < 0.9 else rng.randrange(3)}", "n", None, rung))
+    kg = [("Q0", "m1", [], []), ("Q1", "other", ["K2"], []), ("Q2", None, [], [])]
+    rejected = {"ol:m2"}
     by_work = defaultdict(list)
     for c in cands:
         by_work[c[0]].append(c)
     keys = sorted({c[1] for c in cands if c[4] > 1} - rejected)
-    mapping = {k: v for k, v in (("ol:s3", "wd:Q0"), ("ol:s5", "wd:Q1")) if k in keys}
+    mapping = {k: v for k, v in (("ol:m1", "wd:Q0"), ("ol:k2", "wd:Q1")) if k in keys}
     for key in keys:
         if key in mapping:
             continue
