@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -99,8 +100,8 @@ def rung_shares(decisions: DataFrame, works: DataFrame, n: int = TOP_WORKS) -> D
     top = decisions.join(works.select("work_id", "readinglog_count"), "work_id").orderBy(F.desc("readinglog_count"), "work_id").limit(n)
     label = F.coalesce(T.provenance_label(F.col("rung")), F.lit("singleton"))
     tally = top.groupBy(label.alias("rung")).agg(F.count("*").alias("works"))
-    total = top.agg(F.count("*").alias("total"))
-    return tally.join(F.broadcast(total)).select("rung", "works", (F.col("works") / F.col("total")).alias("share"))
+    total = F.sum("works").over(W.partitionBy())  # a handful of rows: one per rung
+    return tally.select("rung", "works", (F.col("works") / total).alias("share"))
 
 
 def _shown(number: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions import text as T
 from foliant.operators import corrections as R
 from foliant.plans import check_sql as Q
 from foliant.plans.q_load import EDITIONS, MEMBERS, SERIES, THREADS, WORKS, live

@@ -146,7 +146,7 @@ def c07(w: World) -> DataFrame:
 
 _MERGES = "SELECT concat('rt-', work_num) AS loser, CASE WHEN shelf_mark = 'LARGE' THEN concat('rt-', work_num + 1) ELSE concat('OL', work_num, 'W') END AS survivor FROM fx_work WHERE shelf_mark IN ('LARGE', 'MEDIUM', 'STANDARD')"
 _MERGED = f"""
-    lw AS ({WORKS}), al AS ({_MERGES}), chase AS (SELECT loser, survivor AS node, 1 AS hop FROM al UNION ALL SELECT c.loser, a.survivor, c.hop + 1 FROM chase c JOIN al a ON a.loser = c.node),
+    lw AS ({WORKS}), al AS (SELECT * FROM ({_MERGES}) WHERE loser IN (SELECT work_id FROM lw) AND survivor IN (SELECT work_id FROM lw)), chase AS (SELECT loser, survivor AS node, 1 AS hop FROM al UNION ALL SELECT c.loser, a.survivor, c.hop + 1 FROM chase c JOIN al a ON a.loser = c.node),
     flat AS (SELECT loser, arg_max(node, hop) AS survivor FROM chase GROUP BY 1), fl AS (SELECT f.* FROM flat f WHERE f.loser IN (SELECT work_id FROM lw) AND f.survivor IN (SELECT work_id FROM lw)),
     se AS ({SERIES}), pairs AS (SELECT f.*, a.series_id AS fr, b.series_id AS tr, s.kind FROM fl f JOIN lw a ON a.work_id = f.loser JOIN lw b ON b.work_id = f.survivor LEFT JOIN se s ON s.series_id = a.series_id),
     lv AS (SELECT * FROM pairs WHERE fr IS DISTINCT FROM tr), em AS (SELECT fr, arg_min(tr, loser) AS nr, min(loser) AS book FROM lv WHERE kind = 'singleton' GROUP BY 1),
@@ -183,8 +183,6 @@ def c08_series(w: World) -> DataFrame:
     return _merged(w)["series"].select("series_id", "merged_into")
 
 
-_RETIRE = """
-    SELECT series_id, CAST(NULL AS STRING) AS merged_into FROM fx_series_parent"""
 _FORMER = "SELECT concat('rt-room-', series_id) AS room, work_id FROM fx_work"
 
 

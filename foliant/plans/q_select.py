@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import filters as L
-from foliant.plans.check_sql import norm, skey
 from foliant.plans.q_graph import RESOLVED
 from foliant.plans.world import World, query
 
