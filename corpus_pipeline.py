@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over ``documents``, each written and reread before the next."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup and packing of ``documents``.
+
+Each stage gets what its predecessor kept, written as Parquet and read again. All but the
+last return the columns of ``documents``; the last returns where each piece of a document
+was packed.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +12,42 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import stored, table
 from foliant.llm.exact_dedup import exact_dedup
+from foliant.llm.language_id import UNKNOWN, fit, identify
+from foliant.llm.minmax_dedup import near_duplicates
+from foliant.llm.packing import pack
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MIN_SHARE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without letters go, and those where no language has half of the letters."""
+    found = identify(docs, fit(docs), carry=COLUMNS[1:])
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SHARE)).select(*COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays, the one with the largest id."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of equal texts stays, the one with the largest id; of rows equal in id and text, one."""
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    both = docs.withColumn("__digest", digest).join(
+        kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__digest") == F.col("text_sha256")), "left_semi")
+    return both.dropDuplicates(["doc_id", "__digest"]).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays, the one with the smallest id."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document in a window; no two of a source or of equal text share one."""
+    return pack(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
-ORACLE_SQL = None
+STAGES = [("language ID", known_language), ("exact dedup", drop_exact_copies), ("near dedup", drop_near_copies), ("packing", pack_windows)]
+ORACLE_SQL = None  # a trained language model and a sequential packing have no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
