@@ -15,10 +15,8 @@ from foliant.functions.folding import fold_accents
 
 # --- fixed values: they decide which rows count as the same book -------------
 EDITION_WORDS = (
-    "deluxe", "slipcase", "illustrated", "anniversary", "revised", "reprint", "unabridged",
-    "abridged", "annotated", "movie tie[- ]?in", "collector'?s", "special", "expanded",
-    "international", "[0-9]+(?:st|nd|rd|th)",
-)
+    r"deluxe|slipcase|illustrated|anniversary|revised|reprint|unabridged|abridged|annotated|movie tie[- ]?in"
+    r"|collector'?s|special|expanded|international|[0-9]+(?:st|nd|rd|th)")
 VOLUME_WORDS = r"#|vol\.?|volume|book|part"
 MAX_VOLUME_NUMBER = 20
 COLLECTION_PHRASES = (
@@ -34,19 +32,11 @@ COVER_URL = "https://covers.openlibrary.org/b/id/{}-L.jpg"
 NAMESPACE = "7c1d0a4e-3b5f-4e2a-9d6c-8f4b2a1e0c37"
 PROVENANCE = {0: "override", 1: "wikidata", 2: "ol_tag", 3: "ol_edition_series", 4: "title_pattern"}
 CONFIDENCE = {0: "high", 1: "high", 2: "medium", 3: "medium", 4: "low"}
-# -----------------------------------------------------------------------------
-
-KEY_SEPARATOR = "\x1f"
-_WORDLESS = r"[^\p{L}\p{N}_]+"
-_BLANKS = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
-
 BRACKETED = r"[\(\[][^\)\]]*[\)\]]"
 EDITION_TAIL = (
-    r"(?i)\s*[:,]\s*(?:the\s+)?(?:" + "|".join(EDITION_WORDS) + r")[\p{L}\p{N}_\s'-]*?(?:edition|printing)?\s*$")
+    r"(?i)\s*[:,]\s*(?:the\s+)?(?:" + EDITION_WORDS + r")[\p{L}\p{N}_\s'-]*?(?:edition|printing)?\s*$")
 VOLUME_WORD = rf"(?i)(?:{VOLUME_WORDS})\s*[0-9]{{1,3}}\s*$"
 VOLUME_TAIL = rf"(?i)\s*(?:,\s*)?(?:{VOLUME_WORDS})?\s*([0-9]{{1,3}})\s*$"
-COLLECTION = "|".join(f"(?:^| )(?:{p})(?: |$)" for p in COLLECTION_PHRASES)
-
 SERIES_FORMS = (
     rf"(?i)^(.+?)\s*;\s*(?:{SERIES_MARK}\s*)?{SERIES_POSITION}$",
     rf"(?i)^(.+?),\s*{SERIES_MARK}\s*{SERIES_POSITION}$",
@@ -60,6 +50,13 @@ TITLE_FORMS = (
      r"([^():]+?)(?:\s+series)?\s*\)?\s*$", 2, 1),
     (rf"^([^()#]+?)\s*#\s*{SERIES_POSITION}\s*$", 1, 2),
 )
+# -----------------------------------------------------------------------------
+
+KEY_SEPARATOR = "\x1f"
+_WORDLESS = r"[^\p{L}\p{N}_]+"
+_BLANKS = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
+
+COLLECTION = "|".join(f"(?:^| )(?:{p})(?: |$)" for p in COLLECTION_PHRASES)
 
 
 def _text(column: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators.folds import ordered_fold
+from foliant.session import materialize
 
 # --- fixed values ----------------------------------------------------------------
 MAX_GENRES_PER_READER = 5
@@ -185,12 +186,19 @@ def apply_genre_votes(log: DataFrame, works: DataFrame, genres: DataFrame, vetoe
             "user_id", "work_id", F.lit(0).alias("phase"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("event_id"),
             "genre_id", F.lit("have").alias("action"), (~F.col("retired") & F.col("vetoed").isNull()).alias("counts")))
     user_type, work_type = dict(log.dtypes)["user_id"], dict(log.dtypes)["work_id"]
+    # Up to the cap's number of genres on a book, the last action on a genre decides; only readers beyond it need the order.
+    rows = materialize(rows)
+    last = rows.groupBy("user_id", "work_id", "genre_id").agg(
+        F.max_by("action", F.struct("phase", "ts", "event_id")).alias("last"), F.bool_or(F.col("action") != "unvote").alias("asked"))
+    last = materialize(last)
+    wide = last.filter("asked").groupBy("user_id", "work_id").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_GENRES_PER_READER).select("user_id", "work_id")
+    settled = last.filter("last <> 'unvote'").join(wide, ["user_id", "work_id"], "left_anti").select("user_id", "work_id", "genre_id")
     folded = ordered_fold(
-        rows.select("user_id", "work_id", "phase", "ts", "event_id", "genre_id", "action", "counts"),
+        rows.join(wide, ["user_id", "work_id"], "left_semi").select("user_id", "work_id", "phase", "ts", "event_id", "genre_id", "action", "counts"),
         ["user_id", "work_id"], ["phase", "ts", "event_id"], lambda: {"votes": {}}, _vote_step,
         f"what string, event_id bigint, user_id {user_type}, work_id {work_type}, genre_id {dict(log.dtypes)['genre_id']}, reason string",
         _vote_finish)
-    votes = folded.filter("what = 'vote'").select("user_id", "work_id", "genre_id")
+    votes = folded.filter("what = 'vote'").select("user_id", "work_id", "genre_id").unionByName(settled)
     refusals = judged.filter("reason IS NOT NULL").select("event_id", "reason").unionByName(
         folded.filter("what = 'refused'").select("event_id", "reason"))
     return votes, refusals
@@ -254,6 +262,15 @@ def merge_genre_evidence(aliases: DataFrame, votes: DataFrame, inferences: DataF
             _moved(inferences, aliases).select("work_id", "genre_id", "source").distinct(), moved_vetoes)
 
 
+def merge_genres(aliases: DataFrame, votes: DataFrame, inferences: DataFrame, vetoes: DataFrame, summary: DataFrame, genres: DataFrame,
+                 works: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """N11 with the summary: evidence moves, then the rows of all works that took part are summed anew."""
+    votes, inferences, vetoes = merge_genre_evidence(aliases, votes, inferences, vetoes)
+    touched = aliases.select(F.col("loser").alias("work_id")).union(aliases.select("survivor")).distinct()
+    fresh = genre_summary(votes, inferences, genres, live_vetoes(vetoes), works, touched)
+    return votes, inferences, vetoes, summary.join(touched, "work_id", "left_anti").unionByName(fresh.select(*summary.columns))
+
+
 def genre_tree(genres: DataFrame) -> DataFrame:
     """Live parents in order, each with its live children in order (the taxonomy has two levels)."""
     live = genres.filter("NOT retired")

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators.genres import infer_genres, merge_genre_evidence, replace_inferences
+from foliant.operators.genres import genre_summary, infer_genres, live_vetoes, merge_genre_evidence, replace_inferences
 from foliant.operators.graph import follow_aliases
 from foliant.operators.ranking import two_level_rank
 from foliant.operators.resolve import _follow, metrics, pick_representative
-from foliant.session import materialize
+from foliant.session import join_sparse, materialize
 from foliant.sources.release import version_key
 
 Tables = dict[str, DataFrame]
@@ -84,20 +84,26 @@ def upsert(live: DataFrame, stage: DataFrame, keys: list[str], keep: tuple[str,
 
 
 def upsert_catalog(live: Tables, stage: Tables, version: str) -> Tables:
-    """Series, works and editions by id; a representative chosen since is kept."""
+    """Series, works and editions by id, all columns of the release contract.
+
+    A representative chosen since is kept; source, external id of an edition and the way a work was
+    identified are set on insertion only.
+    """
     series = stage["series"].select(
         F.col("id").alias("series_id"), "source", F.col("key").alias("external_id"), "name", "slug", "canonical_key", "kind", "provenance",
         F.lit(version).alias("catalog_release"), F.lit(None).cast("string").alias("merged_into"), F.col("parent_series_id").alias("parent_id"))
     works = stage["works"].select(
-        F.col("id").alias("work_id"), F.lit("openlibrary").alias("source"), F.col("ol_work_id").alias("external_id"), "canonical_key", "title", "author",
-        "first_publish_year", "kind", "series_id", "readinglog_count", "subjects", F.lit(version).alias("catalog_release"),
+        F.col("id").alias("work_id"), F.lit("openlibrary").alias("source"), F.col("ol_work_id").alias("external_id"), "canonical_key", "title", "subtitle", "author",
+        "first_publish_year", "kind", F.lit("isbn").alias("identity_provenance"), "series_id", "ol_cover_id", "ol_edition_count", "readinglog_count", "ratings_count",
+        "subjects", F.lit(version).alias("catalog_release"),
         F.lit(None).cast("string").alias("merged_into"), F.col("representative_edition_id").alias("representative"))
     editions = stage["editions"].select(
-        F.col("id").alias("edition_id"), "work_id", "title", "isbn_13", "page_count", "cover_url", "language")
+        F.col("id").alias("edition_id"), F.lit("openlibrary").alias("source"), F.col("ol_edition_id").alias("external_id"), "work_id", "title", "subtitle", "author",
+        "publisher", "published_year", "isbn_13", "page_count", "cover_url", "language")
     result = dict(live)
     result["series"] = upsert(live["series"], series, ["series_id"]).withColumn("dissolved", F.coalesce("dissolved", F.lit(False)))
-    result["works"] = upsert(live["works"], works, ["work_id"], keep=("representative",))
-    result["editions"] = upsert(live["editions"], editions, ["edition_id"])
+    result["works"] = upsert(live["works"], works, ["work_id"], keep=("representative", "source", "identity_provenance"))
+    result["editions"] = upsert(live["editions"], editions, ["edition_id"], keep=("source", "external_id"))
     return result
 
 
@@ -154,10 +160,10 @@ def merge_works(aliases: DataFrame, tables: Tables) -> Tables:
     best = pick_representative(editions.join(targets, "work_id", "left_semi")).withColumnRenamed("representative", "best")
     to_room = rooms.withColumnRenamed("to_room", "merged_room")
     heir = emptied.select("series_id", "new_room")
+    placed = works.join(heir, "series_id", "left").withColumn("series_id", F.coalesce("new_room", "series_id")).join(to_room, "work_id", "left").withColumn(
+        "series_id", F.coalesce("merged_room", "series_id")).join(flat.withColumnRenamed("loser", "work_id").withColumnRenamed("survivor", "gone_to"), "work_id", "left")
     buried = (
-        works.join(heir, "series_id", "left").withColumn("series_id", F.coalesce("new_room", "series_id")).join(to_room, "work_id", "left")
-        .withColumn("series_id", F.coalesce("merged_room", "series_id")).join(flat.withColumnRenamed("loser", "work_id").withColumnRenamed("survivor", "gone_to"), "work_id", "left")
-        .join(flat.select(F.col("loser").alias("merged_into"), F.col("survivor").alias("next")), "merged_into", "left").join(best, "work_id", "left")
+        join_sparse(placed, flat.select(F.col("loser").alias("merged_into"), F.col("survivor").alias("next")), "merged_into", "work_id").join(best, "work_id", "left")
         .withColumn("merged_into", F.coalesce("gone_to", "next", "merged_into"))
         .withColumn("representative", F.when(F.col("gone_to").isNull(), F.coalesce("best", "representative"))))
     votes, inferences, vetoes = merge_genre_evidence(flat, tables["votes"], tables["inferences"], tables["vetoes"])
@@ -181,7 +187,7 @@ def retire_into(retired: DataFrame, tables: Tables) -> Tables:
     result["works"] = tables["works"].join(r, "series_id", "left").withColumn("series_id", F.coalesce("survivor", "series_id")).select(*tables["works"].columns)
     follow = r.select(F.col("series_id").alias("merged_into"), F.col("survivor").alias("next"))
     series = tables["series"]
-    result["series"] = series.join(r, "series_id", "left").join(follow, "merged_into", "left").withColumn(
+    result["series"] = join_sparse(series.join(r, "series_id", "left"), follow, "merged_into", "series_id").withColumn(
         "merged_into", F.coalesce("survivor", "next", "merged_into")).withColumn(
         "parent_id", F.when(F.col("survivor").isNull(), F.col("parent_id"))).select(*series.columns)
     return result
@@ -193,6 +199,11 @@ def _majority_room(former: DataFrame, works: DataFrame) -> DataFrame:
     return now.groupBy("room").agg(F.min_by("series_id", F.struct((-F.col("n")).alias("n"), "series_id")).alias("survivor"))
 
 
+def _carried(retired: DataFrame, tables: Tables) -> DataFrame:
+    """The threads that leave with retired rooms."""
+    return tables["threads"].join(retired.select(F.col("room").alias("series_id")), "series_id", "left_semi").select("thread_id")
+
+
 def retire_rooms(tables: Tables, former: DataFrame) -> tuple[Tables, DataFrame]:
     """Rooms of ``former(room, work_id)`` that hold no live work any more; ``(tables, retired)``."""
     live = tables["works"].filter("merged_into IS NULL").select(F.col("series_id").alias("room"))
@@ -213,7 +224,7 @@ def settle_absent(tables: Tables, stage: Tables, version: str, old_rooms: DataFr
         F.col("used"), "keep").otherwise("delete").alias("fate")))
     merged = merge_works(fate.filter("fate = 'merge'").select(F.col("work_id").alias("loser"), F.col("alias_target").alias("survivor")), tables)
     doomed = fate.filter("fate = 'delete'").select("work_id")
-    kept_works = merged["works"].join(doomed, "work_id", "left_anti").join(doomed.withColumnRenamed("work_id", "merged_into"), "merged_into", "left_anti")
+    kept_works = join_sparse(merged["works"].join(doomed, "work_id", "left_anti"), doomed.withColumnRenamed("work_id", "merged_into"), "merged_into", "work_id", "left_anti")
     merged["works"] = materialize(kept_works.select(*works.columns))
 
     gone = merged["series"].filter((F.col("catalog_release") != version) & F.col("merged_into").isNull()).join(
@@ -228,9 +239,11 @@ def settle_absent(tables: Tables, stage: Tables, version: str, old_rooms: DataFr
     retired = materialize(_majority_room(former, merged["works"]).join(alone, "room").join(left, "room").select(
         "room", "survivor", F.when((F.col("kind") == "singleton") & (F.col("n") == 1), F.col("only")).alias("book")))
     result = retire_into(retired, merged)
+    carried = materialize(_carried(retired, merged))
     stats = metrics(fate, kept_works=F.count_if(F.col("fate") == "keep"), deleted_works=F.count_if(F.col("fate") == "delete"),
                     merged_works=F.count_if(F.col("fate") == "merge")).unionByName(
-        metrics(unused, deleted_series=F.count("*"))).unionByName(metrics(retired, retired_series=F.count("*")))
+        metrics(unused, deleted_series=F.count("*"))).unionByName(metrics(retired, retired_series=F.count("*"))).unionByName(
+        metrics(carried, moved_threads=F.count("*")))
     return result, stats
 
 
@@ -241,7 +254,8 @@ class OlderRelease(RuntimeError):
 def load_release(live: Tables, stage: Tables, version: str, phrases: DataFrame, genres: DataFrame, force: bool = False) -> tuple[Tables, DataFrame]:
     """C11: the whole load; ``(live tables, stats(metric, value))``. The same version is a no-op, an older one is refused.
 
-    ``live['releases'](version)`` holds what was loaded; ``genres(genre_id, slug, retired)`` the taxonomy.
+    ``live['releases'](version)`` holds what was loaded; ``genres(genre_id, slug, parent_id, retired)`` the taxonomy.
+    The tables returned hold the genre summary after all merges and inferences.
     """
     spark = live["works"].sparkSession
     loaded = live["releases"]
@@ -250,7 +264,7 @@ def load_release(live: Tables, stage: Tables, version: str, phrases: DataFrame,
         return live, spark.createDataFrame([("noop", 1)], "metric string, value bigint")
     if state["newer"] and not force:
         raise OlderRelease(f"{version} is older than a loaded release")
-    staged_works, _ = stage_release(stage, phrases)
+    staged_works, staged_rows = stage_release(stage, phrases)
     staged_works = materialize(staged_works)
     before = live["series"].select("series_id", "slug")
     tables = dict(live)
@@ -271,15 +285,20 @@ def load_release(live: Tables, stage: Tables, version: str, phrases: DataFrame,
     tables = merge_works(adopted.select(F.col("runtime").alias("loser"), F.col("target").alias("survivor")), tables)
     for name in ("works", "series", "threads"):
         tables[name] = materialize(tables[name])
+    threads = tables["threads"]
     tables, retired = retire_rooms(tables, materialize(former))
+    carried = _carried(retired, {"threads": threads})
     tables, settled = settle_absent(tables, stage, version, old_rooms)
     slugs = staged_works.select(F.col("id").alias("work_id"), F.explode("genre_slugs").alias("slug"))
     tables["inferences"] = replace_inferences(tables["inferences"], slugs, staged_works.select(F.col("id").alias("work_id")), genres, "catalog")
     tables["releases"] = loaded.select("version").unionByName(spark.createDataFrame([(version,)], "version string"))
+    votes, vetoes = tables["votes"], live_vetoes(tables["vetoes"])
+    tables["summary"] = genre_summary(votes, tables["inferences"], genres, vetoes, tables["works"])
     stats = (
         metrics(reslugged, reslugged=F.count("*")).unionByName(metrics(adopted, adopted=F.count("*"))).unionByName(metrics(moved, moved_threads=F.count("*")))
-        .unionByName(metrics(retired, retired_runtime_rooms=F.count("*"))).unionByName(settled))
-    return tables, stats
+        .unionByName(metrics(carried, moved_threads=F.count("*"))).unionByName(metrics(retired, retired_series=F.count("*"))).unionByName(settled)
+        .unionByName(staged_rows.select(F.concat(F.lit("rows_"), "table").alias("metric"), F.col("rows").alias("value"))))
+    return tables, stats.groupBy("metric").agg(F.sum("value").alias("value"))
 
 
 def merge_preview(pairs: DataFrame, tables: Tables) -> DataFrame:

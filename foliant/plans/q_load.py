@@ -16,7 +16,8 @@ WORKS = """
     SELECT CASE WHEN shelf_mark IN ('SMALL', 'PROMO') THEN work_id ELSE concat('rt-', work_num) END AS work_id, CASE WHEN shelf_mark = 'MEDIUM' THEN 'heuristic' ELSE 'openlibrary' END AS source,
       CASE WHEN shelf_mark = 'MEDIUM' THEN concat('h', work_num) WHEN shelf_mark = 'LARGE' THEN concat('OLalias', work_num, 'W') ELSE work_id END AS external_id, author, raw_title AS title, first_publish_year, 'single' AS kind,
       CASE WHEN shelf_mark IN ('SMALL', 'PROMO') THEN concat('s-', author) WHEN shelf_mark = 'STANDARD' THEN concat('rt-room-', series_id) ELSE concat('sg-', work_num) END AS series_id,
-      readinglog_count, CAST(NULL AS STRING) AS subjects, CASE WHEN shelf_mark IN ('SMALL', 'PROMO') THEN '2025.12.1' END AS catalog_release,
+      readinglog_count, CAST(NULL AS STRING) AS subjects, concat('sub ', shelf_mark) AS subtitle, work_num % 90 AS ol_cover_id, edition_count AS ol_edition_count, CAST(work_num % 11 AS INT) AS ratings_count,
+      'manual' AS identity_provenance, CASE WHEN shelf_mark IN ('SMALL', 'PROMO') THEN '2025.12.1' END AS catalog_release,
       CASE WHEN shelf_mark = 'STANDARD' AND readinglog_count = 3 THEN concat('rt-', work_num - 1) END AS merged_into, CASE WHEN shelf_mark = 'SMALL' THEN concat('rep-', work_num) END AS representative, work_num FROM fx_work"""
 SERIES = """
     SELECT concat('sg-', work_num) AS series_id, 'heuristic' AS source, concat('singleton:', work_num) AS external_id, raw_title AS name, concat('slug-', work_num) AS slug, raw_title AS canonical_key, 'singleton' AS kind,
@@ -26,7 +27,7 @@ SERIES = """
       CASE WHEN p_size % 25 < 6 THEN concat('brand-', p_size % 25 + 1) ELSE concat('room-', p_size % 25) END, 'room', 'series', 'ol_tag', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), false FROM part"""
 EDITIONS = """
     SELECT DISTINCT concat('ed-', edition_id) AS edition_id, CASE WHEN w.shelf_mark IN ('SMALL', 'PROMO') THEN w.work_id ELSE concat('rt-', w.work_num) END AS work_id, e.title, isbn_raw AS isbn_13, page_count, cover_url, language,
-      CASE WHEN page_count > 200 THEN 'text' END AS description, CAST(NULL AS INT) AS ratings_count FROM fx_edition e JOIN fx_work w ON w.work_id = e.work_id"""
+      'google_books' AS source, concat('g', edition_id) AS external_id, CAST(NULL AS STRING) AS subtitle, e.author, e.publisher, publish_year AS published_year, CASE WHEN page_count > 200 THEN 'text' END AS description, CAST(NULL AS INT) AS ratings_count FROM fx_edition e JOIN fx_work w ON w.work_id = e.work_id"""
 THREADS = """
     SELECT thread_id, CASE WHEN thread_id % 4 = 3 THEN concat('s-Brand#', thread_id % 25 + 1) WHEN thread_id % 4 = 2 THEN concat('rt-room-', thread_id % 25) ELSE concat('sg-', thread_id % 60 + 1) END AS series_id,
       CASE WHEN thread_id % 3 = 0 THEN NULL ELSE concat('rt-', thread_id % 60 + 1) END AS work_id, CAST(NULL AS INT) AS genre_id FROM fx_thread"""
@@ -39,11 +40,14 @@ ALIASES = "SELECT concat('OLalias', work_num, 'W') AS ol_work_id, 'nowhere' AS w
 # --- the staged release: promo works are gone, the rest is there under its release id ------
 STAGE_WORKS = """
     SELECT work_id AS id, work_id AS ol_work_id, raw_title AS title, author, first_publish_year, 'single' AS kind, concat('s-', CASE WHEN author = 'Brand#2' THEN 'Brand#1' ELSE author END) AS series_id, readinglog_count,
-      concat(lower(shelf_mark), chr(10), raw_title) AS subjects, CAST(NULL AS STRING) AS representative_edition_id, work_num, shelf_mark FROM fx_work WHERE shelf_mark <> 'PROMO'"""
+      concat(lower(shelf_mark), chr(10), raw_title) AS subjects, CASE WHEN work_num % 2 = 0 THEN concat('up-', work_num) END AS representative_edition_id, concat('new ', shelf_mark) AS subtitle, work_num % 70 AS ol_cover_id,
+      CAST(edition_count + 1 AS INT) AS ol_edition_count, CAST(work_num % 13 AS INT) AS ratings_count, work_num, shelf_mark FROM fx_work WHERE shelf_mark <> 'PROMO'"""
 STAGE_SERIES = """
     SELECT DISTINCT concat('s-', p_brand) AS id, 'openlibrary' AS source, concat('ol:', p_brand) AS key, p_brand AS name, replace(lower(p_brand), '#', '-') AS slug, p_brand AS canonical_key, 'series' AS kind, 'ol_tag' AS provenance,
       CAST(NULL AS STRING) AS parent_series_id FROM part WHERE p_brand NOT IN ('Brand#2', 'Brand#3')"""
-STAGE_EDITIONS = "SELECT DISTINCT edition_id AS id, work_id, title, isbn_raw AS isbn_13, page_count, cover_url, 'en' AS language FROM fx_edition WHERE is_english"
+STAGE_EDITIONS = """
+    SELECT DISTINCT CASE WHEN page_count > 200 THEN concat('ed-', edition_id) ELSE edition_id END AS id, edition_id AS ol_edition_id, work_id, title, subtitle, author, publisher, publish_year AS published_year, isbn_raw AS isbn_13, page_count, cover_url,
+      'en' AS language FROM fx_edition WHERE is_english"""
 STAGE_MEMBERS = "SELECT concat('s-', author) AS series_id, work_id, CAST(first_publish_year AS DOUBLE) AS position, 'wikidata' AS provenance, 'high' AS confidence FROM fx_work WHERE shelf_mark = 'SMALL' AND author <> 'Brand#2'"
 STAGE_ALIASES = "SELECT concat('OLalias', work_num, 'W') AS ol_work_id, work_id FROM fx_work WHERE shelf_mark = 'LARGE' UNION ALL SELECT work_id, concat('OL', work_num + 1, 'W') FROM fx_work WHERE shelf_mark = 'PROMO' AND readinglog_count > 40"
 
@@ -90,12 +94,13 @@ def c02(w: World) -> DataFrame:
     return C.reslug_collisions(w.sql(SERIES), w.sql(STAGE_SERIES)).select("series_id", "slug")
 
 
+# A release work answers to its own id before an alias does, and to a key that no other release work has.
 _ADOPT = f"""
-    lw AS (SELECT *, {_KEY} AS canonical_key FROM ({WORKS})), sw AS (SELECT *, {_KEY} AS canonical_key FROM ({STAGE_WORKS})), sa AS ({STAGE_ALIASES}),
-    uq AS (SELECT canonical_key, min(id) AS id FROM sw GROUP BY 1 HAVING count(*) = 1),
-    adopt AS (SELECT w.work_id AS runtime, coalesce(t.id, a.work_id) AS target FROM lw w LEFT JOIN sw t ON t.ol_work_id = w.external_id LEFT JOIN sa a ON a.ol_work_id = w.external_id
-        WHERE w.catalog_release IS NULL AND w.merged_into IS NULL AND w.source = 'openlibrary' AND coalesce(t.id, a.work_id) IS NOT NULL
-      UNION ALL SELECT w.work_id, u.id FROM lw w JOIN uq u ON u.canonical_key = w.canonical_key WHERE w.catalog_release IS NULL AND w.merged_into IS NULL AND w.source = 'heuristic')"""
+    known AS (SELECT ol_id, arg_min(id, pref) AS id FROM (SELECT ol_work_id AS ol_id, id, 1 AS pref FROM ({STAGE_WORKS}) UNION ALL SELECT ol_work_id, work_id, 2 FROM ({STAGE_ALIASES})) WHERE ol_id IS NOT NULL GROUP BY ol_id),
+    keyed AS (SELECT id, {_KEY} AS k FROM ({STAGE_WORKS})), sole AS (SELECT k, any_value(id) AS id FROM keyed GROUP BY k HAVING count(id) = 1),
+    own AS (SELECT work_id, source, external_id, {_KEY} AS k FROM ({WORKS}) WHERE coalesce(catalog_release, merged_into) IS NULL),
+    adopt AS (SELECT work_id AS runtime, CASE source WHEN 'openlibrary' THEN known.id WHEN 'heuristic' THEN sole.id END AS target
+      FROM own LEFT JOIN known ON ol_id = external_id LEFT JOIN sole USING (k) WHERE target IS NOT NULL)"""
 
 
 @query("c03_adoptions", f"WITH {_ADOPT} SELECT * FROM adopt")
@@ -103,12 +108,29 @@ def c03(w: World) -> DataFrame:
     return C.adoptions(live(w)["works"], stage(w)["works"], w.sql(STAGE_ALIASES))
 
 
+_C04_WORK = ("work_id", "source", "external_id", "series_id", "catalog_release", "merged_into", "representative", "subjects", "title", "subtitle", "author", "first_publish_year",
+             "ol_cover_id", "ol_edition_count", "readinglog_count", "ratings_count", "identity_provenance")
+
+
 @query("c04_upsert_catalog_works", f"""
-    WITH lw AS ({WORKS}), sw AS ({STAGE_WORKS}) SELECT coalesce(l.work_id, s.id) AS work_id, coalesce(s.ol_work_id, l.external_id) AS external_id, coalesce(s.series_id, l.series_id) AS series_id,
-      CASE WHEN s.id IS NOT NULL THEN '2026.01.1' ELSE l.catalog_release END AS catalog_release, CASE WHEN s.id IS NULL THEN l.merged_into END AS merged_into, l.representative, CASE WHEN s.id IS NOT NULL THEN s.subjects END AS subjects
-    FROM lw l FULL JOIN sw s ON s.id = l.work_id""")
+    WITH lw AS ({WORKS}), sw AS ({STAGE_WORKS}), new AS (SELECT id AS work_id, 'openlibrary' AS source, ol_work_id AS external_id, series_id, '2026.01.1' AS catalog_release, NULL AS merged_into, representative_edition_id AS representative, subjects, title, subtitle,
+        author, first_publish_year, ol_cover_id, ol_edition_count, readinglog_count, ratings_count, 'isbn' AS identity_provenance FROM sw)
+    SELECT {", ".join(_C04_WORK)} FROM lw WHERE work_id NOT IN (SELECT id FROM sw)
+    UNION ALL SELECT n.* REPLACE (coalesce(l.representative, n.representative) AS representative, coalesce(l.source, n.source) AS source, coalesce(l.identity_provenance, n.identity_provenance) AS identity_provenance)
+      FROM new n LEFT JOIN lw l ON l.work_id = n.work_id""")
 def c04(w: World) -> DataFrame:
-    return C.upsert_catalog(live(w), stage(w), "2026.01.1")["works"].select("work_id", "external_id", "series_id", "catalog_release", "merged_into", "representative", "subjects")
+    return C.upsert_catalog(live(w), stage(w), "2026.01.1")["works"].select(*_C04_WORK)
+
+
+_C04_EDITION = ("edition_id", "source", "external_id", "work_id", "title", "subtitle", "author", "publisher", "published_year", "isbn_13", "page_count", "cover_url", "language")
+
+
+@query("c04_upsert_catalog_editions", f"""
+    WITH le AS ({EDITIONS}), new AS (SELECT id AS edition_id, 'openlibrary' AS source, ol_edition_id AS external_id, work_id, title, subtitle, author, publisher, published_year, isbn_13, page_count, cover_url, language FROM ({STAGE_EDITIONS}))
+    SELECT {", ".join(_C04_EDITION)} FROM le WHERE edition_id NOT IN (SELECT edition_id FROM new)
+    UNION ALL SELECT n.* REPLACE (coalesce(l.source, n.source) AS source, coalesce(l.external_id, n.external_id) AS external_id) FROM new n LEFT JOIN le l ON l.edition_id = n.edition_id""")
+def c04_editions(w: World) -> DataFrame:
+    return C.upsert_catalog(live(w), stage(w), "2026.01.1")["editions"].select(*_C04_EDITION)
 
 
 @query("c04_upsert_catalog_series", f"""
@@ -211,9 +233,10 @@ def c09_retired(w: World) -> DataFrame:
 
 
 _FATE = f"""
-    lw AS ({WORKS}), sw AS ({STAGE_WORKS}), sa AS ({STAGE_ALIASES}), th AS ({THREADS}), sh AS ({SHELVES}),
-    fate AS (SELECT w.work_id, a.work_id AS target, CASE WHEN a.work_id IS NOT NULL THEN 'merge' WHEN w.work_id IN (SELECT work_id FROM th WHERE work_id IS NOT NULL) OR w.work_id IN (SELECT work_id FROM sh) THEN 'keep' ELSE 'delete' END AS fate
-      FROM lw w LEFT JOIN sa a ON a.ol_work_id = w.external_id WHERE w.catalog_release IS NOT NULL AND w.catalog_release <> '2026.01.1' AND w.merged_into IS NULL AND w.work_id NOT IN (SELECT id FROM sw))"""
+    lw AS ({WORKS}), used AS (SELECT work_id FROM ({THREADS}) UNION SELECT work_id FROM ({SHELVES})),
+    absent AS (SELECT work_id, external_id FROM lw ANTI JOIN (SELECT id FROM ({STAGE_WORKS})) ON id = work_id WHERE merged_into IS NULL AND nullif(catalog_release, '2026.01.1') IS NOT NULL),
+    fate AS (SELECT o.work_id, min(a.work_id) AS target, CASE WHEN count(a.work_id) > 0 THEN 'merge' WHEN count(u.work_id) > 0 THEN 'keep' ELSE 'delete' END AS fate
+      FROM absent o LEFT JOIN ({STAGE_ALIASES}) a ON a.ol_work_id = o.external_id LEFT JOIN used u ON u.work_id = o.work_id GROUP BY o.work_id)"""
 
 
 def _settled(w: World):
@@ -237,7 +260,7 @@ def c10_stats(w: World) -> DataFrame:
 
 
 def _loaded(w: World):
-    genres = w.sql("SELECT CAST(row_number() OVER (ORDER BY slug) AS INT) AS genre_id, slug, false AS retired FROM (SELECT DISTINCT slug FROM fx_taxonomy)")
+    genres = w.sql("SELECT CAST(row_number() OVER (ORDER BY slug) AS INT) AS genre_id, slug, CAST(NULL AS INT) AS parent_id, false AS retired FROM (SELECT DISTINCT slug FROM fx_taxonomy)")
     return C.load_release(live(w), stage(w), "2026.01.1", w.fx("taxonomy"), genres)
 
 
