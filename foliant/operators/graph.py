@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.session import materialize, until_stable
+from foliant.session import materialize
 
 # --- fixed values --------------------------------------------------------------
 MAX_REDIRECT_HOPS = 5
@@ -37,11 +37,18 @@ def _walk(pointers: DataFrame, max_hops: int) -> DataFrame:
 
 def resolved_redirects(redirects: DataFrame, max_hops: int = MAX_REDIRECT_HOPS,
                        source: str = "from_ol", target: str = "to_ol") -> DataFrame:
-    """``(from_ol, resolved)`` for every redirect record."""
+    """``(from_ol, resolved)`` for every redirect record; a table that is resolved already is taken as it is."""
+    if "resolved" in redirects.columns:
+        return redirects.select("from_ol", "resolved")
     edges = redirects.select(F.col(source).alias("node"), F.col(target).alias("next"))
     return _walk(edges, max_hops).select(F.col("node").alias("from_ol"), F.col("target").alias("resolved"))
 
 
+def redirect_map(redirects: DataFrame, max_hops: int = MAX_REDIRECT_HOPS) -> DataFrame:
+    """The walk done once and written; every operator that takes redirects takes this too."""
+    return materialize(resolved_redirects(redirects, max_hops))
+
+
 def resolve_column(rows: DataFrame, column: str, redirects: DataFrame, out: str | None = None) -> DataFrame:
     """Replace an id column by its redirect survivor."""
     mapped = resolved_redirects(redirects)
@@ -62,7 +69,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", limit: int = 64) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
     """``(id, cluster)``: the smallest id of each component, by alternating star contractions.
 
     Each half round is one aggregation and one equi-join per edge, so a hub with
@@ -71,7 +78,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", l
     links = materialize(
         edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mark = _fingerprint(links)
-    for _ in range(limit):
+    while True:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
@@ -85,8 +92,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", l
         if following_mark == mark:
             break
         mark = following_mark
-    else:
-        raise RuntimeError("components did not settle")
     label = links.groupBy("b").agg(F.min("a").alias("cluster"))
     return nodes.select(F.col(node).alias("id")).distinct().join(label, F.col("id") == label["b"], "left").select(
         "id", F.coalesce("cluster", "id").alias("cluster"))
@@ -133,11 +138,21 @@ def climb_parents(seed: DataFrame, edges: DataFrame, depth: int = MAX_PARENT_HOP
 
 
 def _closure(keys: DataFrame, parents: DataFrame) -> DataFrame:
-    def step(known: DataFrame) -> DataFrame:
-        up = known.join(parents, known["key"] == parents["child"]).select(F.col("parent").alias("key"))
-        return known.union(up).distinct()
+    """The keys and all their ancestors, where a key has one parent at most.
 
-    return until_stable(keys, step, lambda old, new: new.join(old, "key", "left_anti"))
+    Pointers double each round, so the known set grows by twice as many levels each time.
+    A round that adds nothing proves the set closed, also on a cycle.
+    """
+    known, jump = materialize(keys.select("key").distinct()), parents.select("child", "parent")
+    size = known.count()
+    while True:
+        up = known.join(jump, known["key"] == jump["child"]).select(F.col("parent").alias("key"))
+        known = materialize(known.union(up).distinct())
+        before, size = size, known.count()
+        if size == before:
+            return known
+        ahead = jump.select(F.col("child").alias("parent"), F.col("parent").alias("further"))
+        jump = materialize(jump.join(ahead, "parent").select("child", F.col("further").alias("parent")))
 
 
 def series_rooms(memberships: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,20 +171,13 @@ def series_rooms(memberships: DataFrame, parents: DataFrame) -> tuple[DataFrame,
         F.col("key").alias("parent"))
     climbable = materialize(parent.join(held, "parent", "left_semi").select(F.col("child").alias("top"), "parent"))
 
-    def step(chains: DataFrame) -> DataFrame:
-        up = F.col("parent").isNotNull() & ~F.array_contains("path", F.col("parent"))
-        return chains.join(climbable, "top", "left").select(
-            "key", F.when(up, F.col("parent")).otherwise(F.col("top")).alias("top"),
-            F.when(up, F.array_append("path", F.col("parent"))).otherwise(F.col("path")).alias("path"))
-
-    chains = until_stable(
-        direct.select("key", F.col("key").alias("top"), F.array("key").alias("path")), step,
-        lambda old, new: new.join(old, ["key", "top"], "left_anti"))
+    ends = follow_aliases(climbable.select(F.col("top").alias("loser"), F.col("parent").alias("survivor")))
+    chains = direct.select("key").join(ends, direct["key"] == ends["loser"], "left").select("key", F.coalesce("survivor", "key").alias("top"))
     tops = member.join(chains.select("key", "top"), "key").select("work_id", "top").distinct()
     size = tops.groupBy("top").agg(F.count("*").alias("n"))
     rooms = tops.join(size, "top").groupBy("work_id").agg(
         F.min_by("top", F.struct(-F.col("n"), F.col("top"))).alias("room"))
-    output = chains.select(F.explode("path").alias("key")).distinct()
+    output = _closure(direct.select("key"), climbable.select(F.col("top").alias("child"), "parent"))
     above = output.join(parent, output["key"] == parent["child"], "left").select("key", "parent")
     known = output.select(F.col("key").alias("parent"), F.lit(True).alias("kept"))
     series_parents = above.join(known, "parent", "left").select(
@@ -177,35 +185,39 @@ def series_rooms(memberships: DataFrame, parents: DataFrame) -> tuple[DataFrame,
     return rooms, series_parents
 
 
+def _doubled(first: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Every pointer followed to its end, twice as far each round; on cycles only ``rounds`` end it."""
+    state = first
+    while rounds is None or rounds > 0:
+        ahead = state.select(F.col("loser").alias("survivor"), F.col("survivor").alias("further"))
+        if not state.join(ahead, "survivor", "left_semi").head(1):
+            break
+        state = materialize(state.join(ahead, "survivor", "left").select(
+            "loser", F.coalesce("further", "survivor").alias("survivor")))
+        rounds = None if rounds is None else rounds - 1
+    return state
+
+
 def follow_aliases(aliases: DataFrame) -> DataFrame:
     """``(loser, survivor)`` with every chain followed to its end.
 
-    Pointers double each round, so a chain of n needs log n rounds. Pointers
-    caught in a cycle are walked one by one and stop before a repeat.
+    Pointers double each round, so a chain of n needs log n rounds. A walk that runs into a
+    cycle stops before its first repeat: at the node that stands before its entry.
     """
     first = materialize(aliases.groupBy("loser").agg(F.min("survivor").alias("survivor")))
-    state, size = first, first.count()
-    for _ in range(max(1, math.ceil(math.log2(size + 1)) + 1)):
-        ahead = state.select(F.col("loser").alias("survivor"), F.col("survivor").alias("further"))
-        pending = state.join(ahead, "survivor", "left_semi").limit(1).count()
-        if not pending:
-            return state
-        state = materialize(state.join(ahead, "survivor", "left").select(
-            "loser", F.coalesce("further", "survivor").alias("survivor")))
+    state = _doubled(first, math.ceil(math.log2(first.count() + 1)) + 1)
     ends = first.select(F.col("loser").alias("survivor"))
-    done = state.join(ends, "survivor", "left_anti")
-    looping = materialize(state.join(ends, "survivor", "left_semi").select("loser"))
-    hop = first.join(looping, "loser", "left_semi").select(F.col("loser").alias("at"), "survivor")
-    walk = looping.select("loser", F.col("loser").alias("at"), F.array("loser").alias("seen"))
-
-    def step(rows: DataFrame) -> DataFrame:
-        fresh = F.col("survivor").isNotNull() & ~F.array_contains("seen", F.col("survivor"))
-        return rows.join(hop, "at", "left").select(
-            "loser", F.when(fresh, F.col("survivor")).otherwise(F.col("at")).alias("at"),
-            F.when(fresh, F.array_append("seen", F.col("survivor"))).otherwise(F.col("seen")).alias("seen"))
-
-    walked = until_stable(walk, step, lambda old, new: new.join(old, ["loser", "at"], "left_anti"), limit=1000)
-    return done.select("loser", "survivor").union(walked.select("loser", F.col("at").alias("survivor")))
+    done = state.join(ends, "survivor", "left_anti").select("loser", "survivor")
+    # After so many hops whatever still moves is on a cycle, and every node of a cycle is reached.
+    looping = materialize(state.join(ends, "survivor", "left_semi"))
+    if not looping.head(1):
+        return done
+    cycle = materialize(looping.select(F.col("survivor").alias("entry")).distinct())
+    on_cycle = cycle.select(F.col("entry").alias("loser"))
+    before = first.join(on_cycle, "loser", "left_semi").select(F.col("survivor").alias("entry"), F.col("loser").alias("last"))
+    tails = first.join(looping.select("loser"), "loser", "left_semi").join(on_cycle, "loser", "left_anti")
+    entered = _doubled(materialize(tails)).select("loser", F.col("survivor").alias("entry")).union(cycle.select("entry", F.col("entry")))
+    return done.union(entered.join(before, "entry").select("loser", F.col("last").alias("survivor")))
 
 
 def canonical_series(series: DataFrame) -> DataFrame:
@@ -240,10 +252,12 @@ def room_tree(series: DataFrame, rooms: DataFrame, depth: int = MAX_PARENT_HOPS)
 
 def canonical_works(works: DataFrame) -> DataFrame:
     """``(work_id, canonical)`` one hop along ``merged_into`` when the target exists."""
+    # Only tombstones are joined: the null of all other rows would be one hot key.
+    dead = works.filter("merged_into IS NOT NULL").select("work_id", "merged_into")
     target = works.select(F.col("work_id").alias("canonical"))
-    return works.select("work_id", "merged_into").join(
-        target, works["merged_into"] == target["canonical"], "left").select(
+    moved = dead.join(target, dead["merged_into"] == target["canonical"], "left").select(
         "work_id", F.coalesce("canonical", "work_id").alias("canonical"))
+    return moved.union(works.filter("merged_into IS NULL").select("work_id", "work_id"))
 
 
 def flatten_tombstones(works: DataFrame) -> DataFrame:

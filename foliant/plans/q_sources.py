@@ -11,7 +11,8 @@ from foliant.operators import extract as X
 from foliant.plans import check_sql as Q
 from foliant.plans.q_graph import RESOLVED
 from foliant.plans.world import World, query
-from foliant.session import ensure_checkpoint_dir
+from foliant.operators.graph import redirect_map
+from foliant.session import ensure_checkpoint_dir, materialize
 from foliant.sources import dumps as S
 from foliant.sources import release as REL
 
@@ -245,9 +246,12 @@ def _extract_inputs(w: World):
     dump = work_dump(w)
     selected = candidates(w)
     raw_works = S.load_entities(dump, "/type/work", selected)
-    raw_editions = S.filter_editions(edition_dump(w), selected, extra_editions(w), w.fx("redirect"))
+    moved = redirect_map(w.fx("redirect"))
+    lines = edition_dump(w)
+    owned = materialize(S.owned_editions(lines, moved))  # feeds both the filter and the counts
+    raw_editions = S.filter_editions(lines, selected, extra_editions(w), moved, owned)
     editions = X.extract_editions(raw_editions, selected)
-    return raw_works, editions, S.count_editions(edition_dump(w), selected, w.fx("redirect"))
+    return raw_works, editions, S.count_editions(lines, selected, moved, owned), moved
 
 
 _AUTHOR_MOVES = "SELECT concat('OL', 20 + r_regionkey, 'A') AS from_ol, concat('OL', 1 + r_regionkey, 'A') AS to_ol FROM region"
@@ -276,10 +280,10 @@ _POPULARITY = ("SELECT coalesce(r.target, l.work_id) AS ol_id, CAST(sum(CASE WHE
       {Q.clean('p_name')} || chr(31) || {Q.norm('coalesce(x1, x2)')} AS canonical_key, 'single' AS kind
     FROM named b LEFT JOIN years ON years.owner = b.ol_id LEFT JOIN pop ON pop.ol_id = b.ol_id LEFT JOIN n ON n.ol_id = b.ol_id""")
 def x01(w: World) -> DataFrame:
-    raw_works, editions, counts = _extract_inputs(w)
+    raw_works, editions, counts, moved = _extract_inputs(w)
     authors = w.fx("author").select(F.col("author_id").alias("ol_id"), "name")
     log = w.fx("log").select(F.col("work_id").alias("ol_id"), "kind")
-    works = X.extract_works(raw_works, authors, w.sql(_AUTHOR_MOVES), X.popularity(log, w.fx("redirect")), counts, editions)
+    works = X.extract_works(raw_works, authors, w.sql(_AUTHOR_MOVES), X.popularity(log, moved), counts, editions)
     return works.withColumn("author_ids", F.array_join("author_ids", "|"))
 
 
@@ -288,7 +292,7 @@ def x01(w: World) -> DataFrame:
        f"{Q.isbn('isbn_raw')} AS isbn_13, CASE WHEN page_count > 0 THEN page_count END AS page_count, "
        "CASE WHEN cover_id > 0 THEN cover_id END AS cover_id, series_string AS series FROM kept")
 def x02(w: World) -> DataFrame:
-    _, editions, _ = _extract_inputs(w)
+    _, editions, _, _ = _extract_inputs(w)
     return editions.withColumn("series", F.array_join("series", "|"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ def get_session(app: str = "foliant", master: str | None = None, **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -25,14 +25,14 @@ def get_session(app: str = "foliant", master: str | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the session names; a scratch folder only where none is set."""
+    """The shared checkpoint folder the session names; a folder of the warehouse where none is set."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-checkpoint-")
-    sc.setCheckpointDir(path)
-    return path
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -44,19 +44,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def until_stable(
-    state: DataFrame,
-    step: Callable[[DataFrame], DataFrame],
-    changed: Callable[[DataFrame, DataFrame], DataFrame],
-    limit: int = 64,
-) -> DataFrame:
-    """Apply ``step`` until ``changed(old, new)`` is empty, checkpointing every round."""
-    for _ in range(limit):
+def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Apply ``step`` until ``changed(old, new)`` is empty, checkpointing every round.
+
+    For steps that are known to settle; there is no limit on the rounds.
+    """
+    while True:
         following = materialize(step(state))
-        if changed(state, following).limit(1).count() == 0:
+        if not changed(state, following).head(1):
             return following
         state = following
-    raise RuntimeError(f"no fixed point within {limit} rounds")
+
+
+def join_sparse(df: DataFrame, other: DataFrame, key: str, spread_by: str, how: str = "left") -> DataFrame:
+    """Left or anti join on a string column that is null for most rows.
+
+    Nulls can't match, so they take a value of their own made from ``spread_by`` instead of meeting in one task.
+    """
+    probe = F.coalesce(df[key], F.concat(F.lit("\x00"), df[spread_by].cast("string")))
+    right = other.select(F.col(key).alias("_key"), *[c for c in other.columns if c != key])
+    joined = df.join(right, probe == F.col("_key"), how)
+    return joined if how == "left_anti" else joined.drop("_key")
 
 
 def salted(df: DataFrame, buckets: int, column: str = "_salt", *by: str) -> DataFrame:

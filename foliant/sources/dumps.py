@@ -7,6 +7,11 @@ to Parquet once and work from there.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +25,7 @@ NAME_LANGUAGES = ("en", "mul", "zh", "ja", "ko", "ru")
 COVER_SIZES = ("extraLarge", "large", "medium", "small", "thumbnail", "smallThumbnail")
 FIRST_WORK_KEY = r'"works":\s*\[\s*\{\s*"key":\s*"/works/(OL[0-9]+W)"'
 ENGLISH_MARK = '"/languages/eng"'
+HASH_CHUNK = 1 << 20
 # ----------------------------------------------------------------------------------
 
 
@@ -65,24 +71,34 @@ def load_redirects(dump: DataFrame, suffix: str = "W") -> DataFrame:
     return pairs.filter("from_ol <> '' AND to_ol <> ''")
 
 
-def _owned(dump: DataFrame, redirects: DataFrame) -> DataFrame:
-    """Edition lines with their surviving work, found without reading the JSON."""
-    lines = dump.select(
-        "ol_id", "json", F.regexp_extract("json", FIRST_WORK_KEY, 1).alias("work_key"),
-        F.col("json").contains(ENGLISH_MARK).alias("is_english"))
+def _edition_keys(dump: DataFrame) -> list[Column]:
+    """What names an edition line, found in its text without parsing it."""
+    return [F.col("ol_id"), F.regexp_extract("json", FIRST_WORK_KEY, 1).alias("work_key"), F.col("json").contains(ENGLISH_MARK).alias("is_english")]
+
+
+def owned_editions(dump: DataFrame, redirects: DataFrame) -> DataFrame:
+    """``(ol_id, work_key, is_english, work_ol_id)`` of every edition line, in one pass that leaves the JSON behind.
+
+    Lines without a work don't take part in the redirect join, where they would be one hot key.
+    """
+    lines = dump.select(*_edition_keys(dump))
     mapped = resolved_redirects(redirects)
-    joined = lines.join(mapped, lines["work_key"] == mapped["from_ol"], "left")
-    work = F.coalesce("resolved", F.when(F.col("work_key") != "", F.col("work_key")))
-    return joined.select("ol_id", "json", "is_english", work.alias("work_ol_id"))
-
-
-def filter_editions(dump: DataFrame, candidates: DataFrame, extra_ids: DataFrame, redirects: DataFrame) -> DataFrame:
-    """English editions of candidate works and every edition in ``extra_ids``."""
-    owned = _owned(dump, redirects)
-    wanted = candidates.select(F.col("ol_id").alias("work_ol_id")).distinct().withColumn("candidate", F.lit(True))
-    extra = extra_ids.select("ol_id").distinct().withColumn("extra", F.lit(True))
-    kept = owned.join(wanted, "work_ol_id", "left").join(extra, "ol_id", "left").filter(
-        (F.col("is_english") & F.col("candidate").isNotNull()) | F.col("extra").isNotNull())
+    placed = lines.filter("work_key <> ''").join(mapped, F.col("work_key") == F.col("from_ol"), "left").select(
+        *lines.columns, F.coalesce("resolved", "work_key").alias("work_ol_id"))
+    return placed.union(lines.filter("work_key = ''").withColumn("work_ol_id", F.lit(None).cast("string")))
+
+
+def filter_editions(dump: DataFrame, candidates: DataFrame, extra_ids: DataFrame, redirects: DataFrame, owned: DataFrame | None = None) -> DataFrame:
+    """English editions of candidate works and every edition in ``extra_ids``.
+
+    The decision is made on keys (``owned``, computed here unless given); the JSON is joined to it once.
+    """
+    owned = owned_editions(dump, redirects) if owned is None else owned
+    wanted = owned.filter("is_english AND work_ol_id IS NOT NULL").join(candidates.select(F.col("ol_id").alias("work_ol_id")), "work_ol_id", "left_semi")
+    extra = owned.join(extra_ids.select("ol_id"), "ol_id", "left_semi")
+    names = ["ol_id", "work_key", "is_english"]
+    chosen = wanted.select(*names, "work_ol_id").union(extra.select(*names, "work_ol_id")).distinct()
+    kept = dump.select(*_edition_keys(dump), "json").join(chosen, names)
     doc = F.col("doc")
     parsed = kept.select("ol_id", "work_ol_id", "is_english", R.document(F.col("json")).alias("doc"))
     return parsed.filter("doc IS NOT NULL").select(
@@ -95,11 +111,11 @@ def filter_editions(dump: DataFrame, candidates: DataFrame, extra_ids: DataFrame
         R.positive_ints(doc, "covers").alias("covers"), R.string_list(doc, "series").alias("series"))
 
 
-def count_editions(dump: DataFrame, candidates: DataFrame, redirects: DataFrame) -> DataFrame:
+def count_editions(dump: DataFrame, candidates: DataFrame, redirects: DataFrame, owned: DataFrame | None = None) -> DataFrame:
     """Editions per candidate work, whatever their language."""
-    counted = _owned(dump, redirects).groupBy(F.col("work_ol_id").alias("ol_id")).agg(
-        F.count("*").cast("int").alias("edition_count"))
-    return counted.join(candidates.select("ol_id").distinct(), "ol_id", "left_semi")
+    owned = owned_editions(dump, redirects) if owned is None else owned
+    counted = owned.filter("work_ol_id IS NOT NULL").groupBy(F.col("work_ol_id").alias("ol_id")).agg(F.count("*").cast("int").alias("edition_count"))
+    return counted.join(candidates.select("ol_id"), "ol_id", "left_semi")
 
 
 def _tail(uri: str) -> Column:
@@ -133,17 +149,28 @@ def kg_author_names(rows: DataFrame, languages: tuple[str, ...] = NAME_LANGUAGES
     return rows.filter(F.col("lang").isin(*languages)).select(_tail("item").alias("qid"), "name").distinct()
 
 
-def source_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+def source_records(spark: SparkSession, paths: list[str], chunk_bytes: int = HASH_CHUNK) -> DataFrame:
     """Name, path, date in the file name, size and SHA-256 of each input file.
 
-    Executors hash the files; a file is one row, so inputs are landed in parts
-    below the two gigabytes a binary row may hold.
+    The reader lists the files; their contents are not loaded. One task streams a file
+    through the hash in chunks, so memory doesn't depend on the file's size.
     """
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select(
-        F.substring_index("path", "/", -1).alias("name"), "path",
-        F.regexp_extract(F.substring_index("path", "/", -1), r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1).alias("retrieved"),
-        F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for uri in batch.column(0).to_pylist():
+                store, path = pyarrow.fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with store.open_input_stream(path) as stream:
+                    while chunk := stream.read(chunk_bytes):
+                        digest.update(chunk)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], ["path", "size", "sha256"])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size"))
+    name = F.substring_index("path", "/", -1)
+    return files.mapInArrow(hashed, "path string, size long, sha256 string").select(
+        name.alias("name"), "path", F.regexp_extract(name, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1).alias("retrieved"), "size", "sha256")
 
 
 _WORK_DOC = ("key string, title string, author_name array<string>, first_publish_year int, edition_count int, "

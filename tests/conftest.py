@@ -9,9 +9,10 @@ from foliant.session import get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = get_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-                          spark__ui__showConsoleProgress="false", spark__driver__memory="6g")
+                          spark__ui__showConsoleProgress="false", spark__driver__memory="6g",
+                          spark__checkpoint__dir=tmp_path_factory.mktemp("checkpoints").as_uri())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
