@@ -17,6 +17,7 @@ from foliant.operators.series import reading_order
 GOLDEN_THRESHOLD = 0.95
 TOP_WORKS = 5000
 MAX_MEMBERS = 40
+LISTED_GAP = 1000
 # -----------------------------------------------------------------------------------
 
 
@@ -111,18 +112,22 @@ def _shown(number: Column) -> Column:
 def suspicious_series(members: DataFrame, works: DataFrame, most: int = MAX_MEMBERS) -> DataFrame:
     """Series with too many members, several authors, repeated positions or gaps between whole ones.
 
-    Positions are at most four digits, so the sets compared per series are bounded.
+    A gap is found between neighbouring positions. Up to ``LISTED_GAP`` missing numbers are
+    listed, a wider gap is shown as its two ends, as positions may be any number.
     """
     placed = members.join(works.select("work_id", "author"), "work_id")
     base = placed.groupBy("key").agg(F.count("*").alias("members"), F.countDistinct("author").alias("authors"))
     spots = placed.filter("position IS NOT NULL").groupBy("key", "position").agg(F.count("*").alias("n"))
-    whole = F.when(F.col("position") == F.floor("position"), F.col("position").cast("int"))
-    per_key = spots.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("position")))).alias("repeated"), F.collect_set(whole).alias("whole"))
-    span = F.when(F.size("whole") > 0, F.sequence(F.array_min("whole"), F.array_max("whole"))).otherwise(F.array().cast("array<int>"))
-    problems = base.join(per_key, "key", "left").select(
+    repeated = spots.filter("n > 1").groupBy("key").agg(F.array_sort(F.collect_list("position")).alias("repeated"))
+    whole = spots.filter("position = floor(position)").select("key", F.col("position").cast("bigint").alias("p"))
+    ahead = whole.withColumn("next", F.lead("p").over(W.partitionBy("key").orderBy("p"))).filter("next > p + 1")
+    first, last = F.col("p") + 1, F.col("next") - 1
+    listed = F.when(last - first < LISTED_GAP, F.array_join(F.sequence(first, F.least(last, first + LISTED_GAP)).cast("array<string>"), ", ")).otherwise(
+        F.concat(first.cast("string"), F.lit("-"), last.cast("string")))
+    missing = ahead.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("p", listed.alias("text")))).alias("missing"))
+    problems = base.join(repeated, "key", "left").join(missing, "key", "left").select(
         "key", "members", "authors", F.coalesce(F.array_join(F.transform("repeated", _shown), ", "), F.lit("")).alias("duplicate_positions"),
-        F.coalesce(F.array_join(F.array_sort(F.array_except(span, F.col("whole"))).cast("array<string>"), ", "), F.lit("")).alias("gaps"))
+        F.coalesce(F.array_join(F.transform("missing", lambda m: m["text"]), ", "), F.lit("")).alias("gaps"))
     return problems.filter((F.col("members") > most) | (F.col("authors") > 1) | (F.col("duplicate_positions") != "") | (F.col("gaps") != ""))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators.filters import real_covers
 from foliant.operators.folds import ordered_fold
-from foliant.operators.graph import connected_components, resolve_column
-from foliant.session import materialize
+from foliant.operators.graph import connected_components, follow_aliases, resolve_column
+from foliant.session import join_sparse, materialize
 
 # --- fixed values ----------------------------------------------------------------
 MIN_TITLE_RESULTS = 3
@@ -71,8 +71,12 @@ def find_duplicates(works: DataFrame, kg_links: DataFrame, edition_keys: DataFra
     evidence = ranked.groupBy("author", "title_key", "items", "titles").agg(F.min("rank").alias("best")).select(
         "author", "title_key", "items", "titles", F.col("best.work_id").alias("lead"), F.col("best.linked").alias("o1"),
         F.col("best.p").alias("o2"), F.col("best.n").alias("o3"))
-    placed = ordered_fold(evidence, ["author", "title_key"], ["o1", "o2", "o3", "lead"], list, _place,
-                          "author string, title_key string, lead string, survivor string")
+    evidence = materialize(evidence)
+    # A block whose works all carry the same evidence is one cluster; only the others are placed in order.
+    mixed = evidence.groupBy("author", "title_key").agg(F.count("*").alias("n")).filter("n > 1").select("author", "title_key")
+    alike = evidence.join(mixed, ["author", "title_key"], "left_anti").select("author", "title_key", "lead", F.col("lead").alias("survivor"))
+    placed = ordered_fold(evidence.join(mixed, ["author", "title_key"], "left_semi"), ["author", "title_key"], ["o1", "o2", "o3", "lead"], list, _place,
+                          "author string, title_key string, lead string, survivor string").unionByName(alike)
     led = evidence.select("author", "title_key", "items", "titles", "lead").join(placed, ["author", "title_key", "lead"])
     return ranked.join(led, ["author", "title_key", "items", "titles"]).filter("work_id <> survivor").select(
         F.col("work_id").alias("loser"), "survivor")
@@ -120,10 +124,14 @@ def apply_merges(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     edges = rows.select(F.col("survivor").alias("a"), F.col("loser").alias("b"))
     nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     clusters = connected_components(nodes, edges)
-    keyed = rows.join(clusters.select(F.col("id").alias("survivor"), "cluster"), "survivor")
-    return ordered_fold(
+    keyed = materialize(rows.join(clusters.select(F.col("id").alias("survivor"), "cluster"), "survivor"))
+    # Where no entry speaks, chains are followed as they are; the rest replays its entries in order.
+    spoken = keyed.filter("seq >= 0").select("cluster").distinct()
+    quiet = follow_aliases(keyed.join(spoken, "cluster", "left_anti").select("loser", "survivor"))
+    keyed = keyed.join(spoken, "cluster", "left_semi")
+    return quiet.select("loser", "survivor").unionByName(ordered_fold(
         keyed.select("cluster", "seq", "sub", "loser", "survivor"), ["cluster"], ["seq", "sub", "loser"], dict, _merge_step,
-        "loser string, survivor string", lambda key, state: [(k, _root(state, k)) for k in state])
+        "loser string, survivor string", lambda key, state: [(k, _root(state, k)) for k in state]))
 
 
 def apply_splits(splits: DataFrame, works: DataFrame, editions: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -377,7 +385,7 @@ def repair_presentation(works: DataFrame, editions: DataFrame) -> tuple[DataFram
     copied = judged.filter("wrong AND work_text <> '' AND work_text = description").select("work_id").distinct().withColumn("copied", F.lit(True))
     owner = fixed.select(F.col("edition_id").alias("representative"), F.col("work_id").alias("rep_owner"))
     best = pick_representative(fixed).withColumnRenamed("representative", "best")
-    joined = works.join(copied, "work_id", "left").join(owner, "representative", "left").join(best, "work_id", "left").withColumn(
+    joined = join_sparse(works.join(copied, "work_id", "left"), owner, "representative", "work_id").join(best, "work_id", "left").withColumn(
         "foreign_rep", F.col("representative").isNotNull() & ~F.coalesce(F.col("rep_owner") == F.col("work_id"), F.lit(False)))
     after = F.coalesce("best", F.when(~F.col("foreign_rep"), F.col("representative")))
     decided = joined.withColumn("after", after)
@@ -400,7 +408,7 @@ def work_presentation(works: DataFrame, editions: DataFrame, series: DataFrame,
         return F.when(F.col(column) != "", F.col(column))
 
     return (
-        works.join(face, "representative", "left").join(local, "work_id", "left").join(rooms, "series_id", "left").join(badges, "work_id", "left")
+        join_sparse(works, face, "representative", "work_id").join(local, "work_id", "left").join(rooms, "series_id", "left").join(badges, "work_id", "left")
         .select("work_id", F.coalesce(given("e_cover"), T.cover_url(F.col("ol_cover_id"))).alias("cover_url"),
                 F.coalesce(given("e_text"), "description").alias("description"),
                 F.coalesce(F.when(F.col("ol_edition_count") != 0, F.col("ol_edition_count")), "n", F.lit(0)).alias("edition_count"),

@@ -6,7 +6,7 @@ density with the usual weights.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,9 +65,18 @@ def author_tokens(works: DataFrame) -> DataFrame:
 
 
 def write_index(postings: DataFrame, path: str, buckets: int = 256) -> None:
-    """Store postings by a hash of the term, so that a query reads only its terms' folders."""
-    postings.withColumn("bucket", term_bucket(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions(
-        "term", "doc_id", "pos").write.partitionBy("bucket").parquet(path)
+    """Store postings by a hash of the term, so that a query reads only its terms' folders.
+
+    Tasks take ranges of (bucket, document hash): a frequent term is written by as many tasks as it fills.
+    """
+    placed = postings.withColumn("bucket", term_bucket(F.col("term"), buckets))
+    placed.repartitionByRange("bucket", F.xxhash64("doc_id")).sortWithinPartitions("bucket", "term", "doc_id", "pos").write.partitionBy("bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, queries: DataFrame, buckets: int = 256) -> DataFrame:
+    """The stored postings of the queries' terms; folders of other buckets are pruned at run time."""
+    asked = query_terms(queries).select("term", term_bucket(F.col("term"), buckets).alias("bucket")).distinct()
+    return spark.read.parquet(path).join(asked, ["bucket", "term"], "left_semi").drop("bucket")
 
 
 def term_bucket(term: Column, buckets: int = 256) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -163,7 +164,7 @@ def fold_series(cands: DataFrame, kg_series: DataFrame, rejected: DataFrame) ->
         return state.filter("named").unionByName(folded)
 
     settled = until_stable(by_name.withColumn("named", F.lit(True)), step, lambda old, new: new.join(
-        old, ["key", "target"], "left_anti").select("key").union(old.join(new, ["key", "target"], "left_anti").select("key")), limit=1000)
+        old, ["key", "target"], "left_anti").select("key").union(old.join(new, ["key", "target"], "left_anti").select("key")))
     ends = follow_aliases(settled.select(F.col("key").alias("loser"), F.col("target").alias("survivor")))
     return ends.select(F.col("loser").alias("key"), F.col("survivor").alias("target"))
 
@@ -256,10 +257,18 @@ def assign_slugs(rows: DataFrame, max_length: int = T.SLUG_LIMIT) -> DataFrame:
         F.regexp_extract("base", pattern, 1).alias("stem"), F.regexp_extract("base", pattern, 2).try_cast("long").alias("n")).filter("n >= 2")
     near = numbered.join(extra.withColumnRenamed("base", "stem"), "stem")
     placed = two_level_rank(near, ["stem"], F.floor(F.col("n") / 1000), ["n"], "i").withColumn("shift", F.col("n") - F.col("i"))
-    taken = placed.filter("shift <= size").groupBy(F.col("stem").alias("base")).agg(F.collect_list("shift").alias("shifts"))
-    k = F.col("r") - 1
-    number = k + 1 + F.size(F.filter(F.coalesce("shifts", F.array().cast("array<bigint>")), lambda s: s <= k))
-    return ranked.join(taken, "base", "left").select(
+    # Taken numbers and identities of a base in one order: how many shifts are at most k is a running count,
+    # taken within slices of k and carried over by the slices' sums.
+    taken = placed.filter("shift <= size").select(F.col("stem").alias("base"), F.col("shift").alias("k"), F.lit(0).alias("mine"), F.lit(None).cast("string").alias("identity"))
+    asking = ranked.join(taken.select("base").distinct(), "base", "left_semi").select("base", (F.col("r") - 1).cast("bigint").alias("k"), F.lit(1).alias("mine"), "identity")
+    both = materialize(taken.select("base", "k", "mine", "identity").unionByName(asking).withColumn("slice", F.floor(F.col("k") / 4096)))
+    per_slice = both.groupBy("base", "slice").agg(F.count_if(F.col("mine") == 0).alias("n"))
+    before = per_slice.select("base", "slice", F.coalesce(F.sum("n").over(W.partitionBy("base").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    running = F.count_if(F.col("mine") == 0).over(W.partitionBy("base", "slice").orderBy("k", "mine").rowsBetween(W.unboundedPreceding, 0))
+    shifted = both.withColumn("within", running).filter("mine = 1").join(before, ["base", "slice"]).select(
+        "base", "identity", (F.col("within") + F.col("before")).alias("skipped"))
+    number = F.col("r") + F.coalesce("skipped", F.lit(0))
+    return ranked.join(shifted, ["base", "identity"], "left").select(
         "identity", F.when(F.col("r") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", number.cast("string"))).alias("slug"))
 
 

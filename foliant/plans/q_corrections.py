@@ -134,7 +134,7 @@ def r06_refusals(w: World) -> DataFrame:
     return R.apply_rename(w.sql(_RENAMES), w.sql(SERIES))[1]
 
 
-_REMOVALS = "SELECT p_partkey AS op_id, CASE WHEN p_type = 'SMALL' THEN concat('OL', p_partkey + 1, 'W') ELSE concat('rt-', p_partkey + 1) END AS work_id, CASE WHEN p_type = 'STANDARD' THEN concat('rt-room-', p_size % 25) WHEN p_size > 40 THEN 's-nowhere' ELSE concat('s-', p_brand) END AS series_id FROM part WHERE p_size > 20"
+_REMOVALS = "SELECT p_partkey AS op_id, CASE WHEN p_type = 'SMALL' THEN concat('OL', p_partkey + 1, 'W') ELSE concat('rt-', p_partkey + 1) END AS work_id, CASE WHEN p_type = 'STANDARD' THEN concat('rt-room-', p_size % 25) WHEN p_size > 40 THEN 's-nowhere' ELSE concat('s-', p_brand) END AS series_id FROM part"
 _REMOVED = f"""
     lw AS ({WORKS}), se AS ({SERIES}), ops AS ({_REMOVALS}), v AS (SELECT o.*, w.title, CASE WHEN w.work_id IS NULL THEN 'unknown_work' WHEN w.merged_into IS NOT NULL THEN 'merged_work' WHEN s.series_id IS NULL THEN 'unknown_series' WHEN w.series_id <> o.series_id THEN 'not_in_series' END AS reason
       FROM ops o LEFT JOIN lw w ON w.work_id = o.work_id LEFT JOIN se s ON s.series_id = o.series_id), ok AS (SELECT * FROM v WHERE reason IS NULL)"""
@@ -187,7 +187,7 @@ def r08_refusals(w: World) -> DataFrame:
     return _dissolved(w)[1]
 
 
-_SPLITS = f"SELECT DISTINCT p_partkey AS op_id, e.work_id, CASE WHEN p_size > 45 THEN 'ed-none' WHEN p_size > 40 AND e.work_id LIKE 'rt%' THEN 'ed-x' ELSE e.edition_id END AS edition_id FROM ({EDITIONS}) e JOIN part ON concat('rt-', p_partkey + 1) = e.work_id OR concat('OL', p_partkey + 1, 'W') = e.work_id WHERE page_count > 200 OR p_size < 3"
+_SPLITS = f"SELECT DISTINCT p_partkey AS op_id, e.work_id, CASE WHEN p_size > 45 THEN 'ed-none' WHEN p_size > 40 AND e.work_id LIKE 'rt%' THEN 'ed-x' ELSE e.edition_id END AS edition_id FROM ({EDITIONS}) e JOIN (SELECT *, concat('rt-', p_partkey + 1) AS wk FROM part UNION ALL SELECT *, concat('OL', p_partkey + 1, 'W') FROM part) p ON wk = e.work_id WHERE page_count > 200 OR p_size < 3"
 _SPLIT = f"""
     lw AS ({WORKS}), se AS ({SERIES}), ed AS ({EDITIONS}), ops AS (SELECT DISTINCT op_id, work_id, edition_id FROM ({_SPLITS})), tot AS (SELECT work_id, count(*) AS total FROM ed GROUP BY 1),
     a AS (SELECT o.op_id, o.work_id, count(*) AS n, count(*) FILTER (WHERE e.edition_id IS NULL) AS unknown, min(o.edition_id) AS least FROM ops o LEFT JOIN ed e ON e.edition_id = o.edition_id GROUP BY 1, 2),

@@ -124,8 +124,10 @@ def a06_decided(w: World) -> DataFrame:
 
 # --- streaming ------------------------------------------------------------------------------
 def _event_stream(w: World) -> DataFrame:
-    schema = w.table("events").schema
-    return w.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(w.folder)
+    """The whole table as several files with its events out of order, one file a micro-batch."""
+    events, landed = w.table("events"), f"{ensure_checkpoint_dir(w.spark)}/landed-{uuid.uuid4().hex}"
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(landed)
+    return w.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
 
 
 def _folders(w: World) -> tuple[str, str]:
@@ -140,6 +142,7 @@ def t01(w: World) -> DataFrame:
     votes = _event_stream(w).select("event_id", "ts", "user_id", (F.col("event_id") % 40).alias("target_id"), value.alias("value"))
     out, state = _folders(w)
     ST.stream_vote_scores(votes, out, state).awaitTermination()
+    ST.compact_scores(w.spark, out)
     return ST.published_scores(w.spark, out)[1]
 
 

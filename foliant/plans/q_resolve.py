@@ -234,7 +234,7 @@ def e12(w: World) -> DataFrame:
     return E.absorb_twins(runtime_works(w))
 
 
-_UPGRADE_EDITIONS = "SELECT DISTINCT edition_id, work_id, CASE WHEN publish_year < 1996 OR publish_year > 2000 THEN isbn_raw END AS isbn_13 FROM fx_edition WHERE page_count > 240"
+_UPGRADE_EDITIONS = "SELECT DISTINCT edition_id, work_id, CASE WHEN publish_year < 1996 OR publish_year > 2000 THEN isbn_raw END AS isbn_13 FROM fx_edition"
 
 
 @query("e13_upgrade_heuristic", f"""

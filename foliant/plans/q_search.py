@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from foliant.operators import search as S
 from foliant.plans import check_sql as Q
 from foliant.plans.q_genres import SUMMARY, effective
 from foliant.plans.world import World, query
+from foliant.session import ensure_checkpoint_dir
 
 _STOPS = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
 
@@ -29,15 +32,18 @@ _INDEX = f"""
     fields AS (SELECT doc_id, {_words_sql('title')} AS a, {_words_sql('author')} AS b, {_words_sql('subjects')} AS c FROM fx_search_doc),
     toks AS (SELECT doc_id, unnest(list_concat(list_concat(a, b), c)) AS word, generate_subscripts(list_concat(list_concat(a, b), c), 1) AS pos, len(a) AS la, len(b) AS lb FROM fields),
     idx AS (SELECT doc_id, {_stem_sql('word')} AS term, CAST(pos AS INT) AS pos, CASE WHEN pos <= la THEN 'A' WHEN pos <= la + lb THEN 'B' ELSE 'C' END AS weight FROM toks WHERE word NOT IN ({_STOPS}))"""
-# What a reader typed: plain pairs of words, one with a stop word, one that matches nothing.
-QUERIES = [(1, "er tion"), (2, "Inside the erin, thons"), (3, "re ly"), (4, "src5 en"), (5, "zzzz en"), (6, "des la")]
+# What a reader typed: one to four words, some with stop words, one that matches nothing, one that repeats a word.
+QUERIES = [(1, "er tion"), (2, "Ing the erin, in"), (3, "re ly"), (4, "src5 en"), (5, "zzzz en"), (6, "des la"), (7, "er ed, tion of ly"), (8, "Tion"), (9, "er er ly")]
 
 
 def queries(w: World) -> DataFrame:
     return w.spark.createDataFrame(QUERIES, "query_id int, query string")
 
 
-_PAIRS = "qt AS (SELECT * FROM (VALUES (1, 'er', 'tion'), (3, 'ly', 're'), (4, 'en', 'src5'), (5, 'en', 'zzzz'), (6, 'des', 'la')) t(query_id, t1, t2))"
+_ASKED_FOR = ", ".join(f"({i}, '{q}')" for i, q in QUERIES)
+_TERMS = f"""
+    words AS (SELECT query_id, unnest({_words_sql('query')}) AS word FROM (VALUES {_ASKED_FOR}) t(query_id, query)),
+    qt AS (SELECT query_id, list_sort(list_distinct(list({_stem_sql('word')}))) AS terms FROM words WHERE word NOT IN ({_STOPS}) GROUP BY query_id)"""
 
 
 @query("q01_build_search_index", f"WITH {_INDEX} SELECT * FROM idx")
@@ -50,14 +56,11 @@ def q01_author(w: World) -> DataFrame:
     return S.author_tokens(w.fx("search_doc"))
 
 
-def _term_pairs(w: World) -> DataFrame:
-    terms = S.query_terms(queries(w))
-    return terms.filter("n_terms = 2")
-
-
-@query("q02_match_query", f"WITH {_INDEX}, {_PAIRS} SELECT query_id, doc_id FROM qt JOIN idx ON term IN (t1, t2) GROUP BY query_id, doc_id HAVING count(DISTINCT term) = 2")
+@query("q02_match_query", f"""
+    WITH {_INDEX}, {_TERMS}, wanted AS (SELECT query_id, len(terms) AS n, unnest(terms) AS term FROM qt)
+    SELECT query_id, doc_id FROM wanted JOIN idx USING (term) GROUP BY query_id, doc_id, n HAVING count(DISTINCT term) = n""")
 def q02(w: World) -> DataFrame:
-    return S.match_query(S.build_search_index(w.fx("search_doc")), _term_pairs(w))
+    return S.match_query(S.build_search_index(w.fx("search_doc")), S.query_terms(queries(w)))
 
 
 def _works(w: World) -> DataFrame:
@@ -66,21 +69,39 @@ def _works(w: World) -> DataFrame:
         F.when(F.col("author") == "src7", 1).alias("merged_into"))
 
 
-@query("q03_rank_search", f"""
-    WITH {_INDEX}, {_PAIRS}, en AS (SELECT q.query_id, i.doc_id, i.pos, i.term = q.t1 AS one, CASE weight WHEN 'A' THEN 1.0 WHEN 'B' THEN 1 / 0.4 ELSE 1 / 0.2 END AS inv,
-      row_number() OVER (PARTITION BY q.query_id, i.doc_id ORDER BY pos) AS i FROM qt q JOIN idx i ON i.term IN (q.t1, q.t2)),
-    cu AS (SELECT *, sum(inv) OVER w AS upto, max(CASE WHEN one THEN i END) OVER w AS l1, max(CASE WHEN NOT one THEN i END) OVER w AS l2 FROM en WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY i)),
-    st AS (SELECT *, CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL THEN least(l1, l2) END AS s FROM cu), pv AS (SELECT *, lag(s) OVER (PARTITION BY query_id, doc_id ORDER BY i) AS ps FROM st),
+_RANKED = f"""
+    WITH {_INDEX}, {_TERMS}, en AS (SELECT q.query_id, i.doc_id, i.pos, list_position(q.terms, i.term) AS t, len(q.terms) AS n, CASE weight WHEN 'A' THEN 1.0 WHEN 'B' THEN 1 / 0.4 ELSE 1 / 0.2 END AS inv,
+      row_number() OVER (PARTITION BY q.query_id, i.doc_id ORDER BY pos) AS i FROM (SELECT *, unnest(terms) AS term FROM qt) q JOIN idx i USING (term)),
+    cu AS (SELECT *, sum(inv) OVER w AS upto, {", ".join(f"CASE WHEN n < {k} THEN i ELSE max(CASE WHEN t = {k} THEN i END) OVER w END AS l{k}" for k in (1, 2, 3, 4))} FROM en WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY i)),
+    st AS (SELECT *, CASE WHEN coalesce(l1 + l2 + l3 + l4, 0) > 0 THEN least(l1, l2, l3, l4) END AS s FROM cu), pv AS (SELECT *, lag(s) OVER (PARTITION BY query_id, doc_id ORDER BY i) AS ps FROM st),
     sc AS (SELECT e.query_id, e.doc_id, sum(((e.i - e.s + 1) / (e.upto - b.upto + b.inv)) / (1 + greatest(e.pos - b.pos - (e.i - e.s), 0))) AS density
       FROM pv e JOIN pv b ON b.query_id = e.query_id AND b.doc_id = e.doc_id AND b.i = e.s WHERE e.s IS NOT NULL AND (e.ps IS NULL OR e.s > e.ps) GROUP BY 1, 2),
     rk AS (SELECT sc.query_id, sc.doc_id, round(density * (1 + ln(1 + CAST(readers AS DOUBLE))), 6) AS score FROM sc JOIN fx_search_doc d ON d.doc_id = sc.doc_id WHERE d.author <> 'src7')
-    SELECT query_id, CAST(rank AS INT) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rk) WHERE rank <= 20""")
+    SELECT query_id, CAST(rank AS INT) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rk) WHERE rank <= 20"""
+
+
+@query("q03_rank_search", _RANKED)
 def q03(w: World) -> DataFrame:
-    pairs = queries(w).filter(F.col("query_id") != 2)
-    ranked = S.rank_search(S.build_search_index(w.fx("search_doc")), _works(w), pairs)
+    ranked = S.rank_search(S.build_search_index(w.fx("search_doc")), _works(w), queries(w))
+    return ranked.select("query_id", "rank", F.round("score", 6).alias("score"))
+
+
+def store_index(w: World) -> str:
+    path = f"{ensure_checkpoint_dir(w.spark)}/index-{uuid.uuid4().hex}"
+    S.write_index(S.build_search_index(w.fx("search_doc")), path, 64)
+    return path
+
+
+def rank_stored(w: World, path: str) -> DataFrame:
+    ranked = S.rank_search(S.read_index(w.spark, path, queries(w), 64), _works(w), queries(w))
     return ranked.select("query_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("q03_rank_stored_index", _RANKED)
+def q03_stored(w: World) -> DataFrame:
+    return rank_stored(w, store_index(w))
+
+
 @query("q04_browse", f"""
     WITH {SUMMARY}, k AS (SELECT work_id, raw_title AS title, readinglog_count, first_publish_year, merged_into, {Q.kind('raw_title')} AS kind FROM fx_work)
     SELECT k.work_id, k.title, sum(e.score) AS genre_score, k.readinglog_count FROM k JOIN effective e ON e.work_id = k.work_id AND e.genre_id IN (1, 2)

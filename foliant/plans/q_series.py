@@ -201,11 +201,11 @@ def l13(w: World) -> DataFrame:
     return L.decided_by(w.fx("work"), solid(w))
 
 
-_MEMBERS = "SELECT work_id, concat(CASE WHEN series_id % 2 = 0 THEN 'wd:Q' ELSE 'ol:k' END, series_id) AS key, CAST(readinglog_count % 9 AS DOUBLE) AS position, CAST(readinglog_count % 4 + 1 AS INT) AS rung FROM fx_work WHERE readinglog_count > 10"
+_MEMBERS = "SELECT work_id, concat(CASE WHEN series_id % 2 = 0 THEN 'wd:Q' ELSE 'ol:k' END, series_id) AS key, CAST(readinglog_count % 9 AS DOUBLE) AS position, CAST(readinglog_count % 4 + 1 AS INT) AS rung FROM fx_work"
 _OPS = """
     SELECT o_orderkey AS seq, CASE WHEN o_orderpriority LIKE '1%' THEN 'set_series' WHEN o_orderpriority LIKE '5%' THEN 'rename_series' ELSE 'remove_from_series' END AS kind,
       concat('OL', o_custkey + 1, 'W') AS work_id, concat(CASE WHEN o_orderkey % 2 = 0 THEN 'wd:Q' ELSE 'ol:k' END, o_orderkey % 30) AS key, CAST(o_orderkey % 7 AS DOUBLE) AS position,
-      CASE WHEN o_totalprice > 100000 THEN concat('name ', o_orderkey) END AS name FROM orders WHERE o_orderpriority NOT LIKE '2%'"""
+      CASE WHEN o_totalprice > 100000 THEN concat('name ', o_orderkey) END AS name FROM orders"""
 _MEMBER_NAMES = "SELECT DISTINCT key, concat('n ', key) AS name FROM (" + _MEMBERS + ")"
 _OVERRIDDEN = f"""
     m AS ({_MEMBERS}), ops AS ({_OPS}), pl AS (SELECT * FROM ops WHERE kind <> 'rename_series'),

@@ -106,10 +106,10 @@ def test_golden_gate(spark):
 
 
 def test_ranking_prefers_titles_then_readers(spark):
-    rows = [(1, "Iron Gold", "Pierce Brown", "franchise:Red Rising", 0), (2, "Red Rising", "Renee Joiner", None, 8), (3, "Red Rising", "Pierce Brown", None, 1036), (4, "Dune", "Frank Herbert", None, 4402)]
+    rows = [(1, "Grey Weir", "Ana Mirel", "franchise:Salt Harbour", 0), (2, "Salt Harbour", "Ola Brandt", None, 10), (3, "Salt Harbour", "Ana Mirel", None, 900), (4, "Ebb", "Ines Kor", None, 4000)]
     works = spark.createDataFrame(rows, "doc_id int, title string, author string, subjects string, readers int").withColumn("edition_count", F.lit(0)).withColumn(
         "first_publish_year", F.lit(None).cast("int")).withColumn("kind", F.lit("single")).withColumn("merged_into", F.lit(None).cast("string"))
-    queries = spark.createDataFrame([(1, "red rising"), (2, "  ")], "query_id int, query string")
+    queries = spark.createDataFrame([(1, "salt harbour"), (2, "  ")], "query_id int, query string")
     found = S.rank_search(S.build_search_index(works), works, queries).orderBy("rank").collect()
     assert [r["doc_id"] for r in found] == [3, 2, 1]
     assert math.isclose(found[2]["score"], 0.2 * 1.0, rel_tol=1e-9)  # two adjacent C words: (2 / (5 + 5)) / 1

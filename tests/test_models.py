@@ -118,7 +118,7 @@ def test_fold_sees_smaller_keys_only(spark):
 
 
 def test_slugs_skip_other_bases(spark):
-    names = ["Dune", "Dune", "Dune 2", "Dune", "Dune-3", "Dune", "Dune 2", "", "!"] + ["Dune"] * 9
+    names = ["Weir", "Weir", "Weir 2", "Weir", "Weir-3", "Weir", "Weir 2", "", "!"] + ["Weir"] * 9
     rows = [(f"series:{i:02d}", n) for i, n in enumerate(names)]
     base = dict(zip([r[0] for r in rows], [r["s"] for r in spark.createDataFrame(rows, "i string, n string").select(T.slugify(F.col("n")).alias("s")).collect()]))
     groups, taken, expected = defaultdict(list), set(base.values()), {}
