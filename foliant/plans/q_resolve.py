@@ -79,7 +79,20 @@ _MERGES = """
     FROM part WHERE p_type = 'PROMO'"""
 
 
-@query("e03_apply_merges")
+# The state maps every loser to its root; a step renames the losing root everywhere and adds it.
+_REPLAY = f"""
+    al AS ({_ALIASES}), chase AS (SELECT loser, survivor AS node, 1 AS hop FROM al UNION ALL SELECT c.loser, a.survivor, c.hop + 1 FROM chase c JOIN al a ON a.loser = c.node),
+    flat AS (SELECT loser, arg_max(node, hop) AS root FROM chase GROUP BY loser),
+    said AS (SELECT seq, survivor, unnest([l1, l2]) AS loser, unnest([0, 1]) AS sub FROM ({_MERGES})),
+    steps AS (SELECT row_number() OVER (ORDER BY seq, sub, loser) AS n, survivor, loser FROM said WHERE loser IS NOT NULL),
+    fold AS (SELECT CAST(0 AS BIGINT) AS n, list({{'k': loser, 'r': root}}) AS state FROM flat
+      UNION ALL SELECT n, CASE WHEN a = b THEN state ELSE list_append(list_transform(state, lambda x: CASE WHEN x.r = b THEN {{'k': x.k, 'r': a}} ELSE x END), {{'k': b, 'r': a}}) END
+        FROM (SELECT t.n, f.state, coalesce(list_filter(f.state, lambda x: x.k = t.survivor)[1].r, t.survivor) AS a, coalesce(list_filter(f.state, lambda x: x.k = t.loser)[1].r, t.loser) AS b
+          FROM fold f JOIN steps t ON t.n = f.n + 1)),
+    merged AS (SELECT unnest(arg_max(state, n)) AS m FROM fold)"""
+
+
+@query("e03_apply_merges", f"WITH RECURSIVE {_REPLAY} SELECT m.k AS loser, m.r AS survivor FROM merged")
 def e03(w: World) -> DataFrame:
     entries = w.sql(_MERGES).select("seq", "survivor", F.array("l1", "l2").alias("losers"))
     return E.apply_merges(entries, w.sql(_ALIASES))
