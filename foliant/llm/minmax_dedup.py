@@ -4,13 +4,15 @@ A document is the set of its five-word shingles. Each of ``PERMUTATIONS`` hash f
 evaluated once for a shingle, and both the smallest and the largest value are kept, so a
 signature has twice as many independent agreeing positions as hash evaluations. Bands of
 ``ROWS`` positions group documents; a pair of similarity 0.75 shares no band with
-probability under 3e-6.
+probability under 4e-6, while documents that share only a passage rarely meet.
 
 Equal sets are one class from the start. In each band bucket a pivot is compared with all
 other classes; the signatures drop hopeless pairs, the whole sets confirm the rest. Members
-a pivot leaves in different components go on to the next round with more pivots at once,
-so a large group of copies costs one comparison a member, and every pair of a bucket that
-could still add a link is compared in the end. No pair list of a whole bucket is made.
+that a pivot leaves in different components are compared in a second round, block by block:
+a bucket is cut into blocks of bounded size, and a task counts the shared shingles of two
+blocks and returns the links that join components. So a large group of copies costs one
+comparison a member, no pair list of a bucket is made, and yet every pair of a bucket that
+could add a link is compared on its whole sets.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from foliant.operators.graph import connected_components
 
 WORDS = 5
 SIMILARITY = 75  # percent
-PERMUTATIONS = 48
-ROWS = 3
+PERMUTATIONS = 118
+ROWS = 5
+BLOCK = 512  # members of a block
+COLUMNS = 4096  # shingles counted at once
 SEED = 20260117
-HOPELESS = 0.5  # an estimate below this is more than six deviations under the threshold
+HOPELESS = 0.62  # an estimate below this is more than four and a half deviations under the threshold
 SLICE = 2 << 20
 
 _SIGNED = np.int64
@@ -102,7 +106,7 @@ def signatures(code: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def bands(signature: np.ndarray) -> np.ndarray:
     """(sets x bands) keys. A band takes positions of different permutations."""
     spread = np.concatenate([signature[:, 0::2], signature[:, 1::2]], axis=1)
-    grouped = spread.reshape(len(spread), -1, ROWS)
+    grouped = spread[:, :spread.shape[1] // ROWS * ROWS].reshape(len(spread), -1, ROWS)
     key = np.arange(grouped.shape[1], dtype=np.uint64) * _K3
     for r in range(ROWS):
         key = _mix(key * _K1 + grouped[:, :, r])
@@ -117,7 +121,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, set_a, set_b, keys, signature)`` from ``(doc_id, text)``.
 
     ``set_a`` and ``set_b`` are two 64-bit sums over the set: with its size they name it.
-    ``signature`` keeps 16 bits of each position.
+    ``signature`` keeps a byte of each position.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +130,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 signed = signatures(code, ends)
                 upto = [np.append(np.uint64(0), np.cumsum(_mix(code * k + _K3)))[np.append(0, ends)] for k in (_K1, _K2)]
                 keys = bands(signed)
-                fold = (signed >> np.uint64(20)).astype(np.uint16)
+                fold = (signed >> np.uint64(20)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(np.diff(ends, prepend=0), pa.int64()),
                     *(pa.array(np.diff(x).view(_SIGNED)) for x in upto),
@@ -151,29 +155,110 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose signatures don't rule it out."""
+    """``(a, b)`` of the pairs ``(a, b, sa, sb)`` that their signatures don't rule out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
             good = (left == right).mean(1) >= HOPELESS
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that reach the similarity on their whole sets."""
-    sign = reps.select("rep", "n_shingles", "signature")
-    a, b = (sign.toDF(x, f"n{x}", f"s{x}") for x in "ab")
-    sized = pairs.join(a, "a").join(b, "b").filter("100 * least(na, nb) >= 75 * greatest(na, nb)".replace("75", str(SIMILARITY)))
-    likely = stored(_plausible(sized.select("a", "b", "sa", "sb")), "likely")
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    sets = stored(_sets(texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")), "sets")
-    both = likely.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+def _confirmed(likely: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that reach the similarity on their whole sets; ``sets(id, signature, shingles)``."""
+    whole = sets.select("id", "shingles")
+    both = likely.join(whole.toDF("a", "xa"), "a").join(whole.toDF("b", "xb"), "b")
     shared = F.size(F.array_intersect("xa", "xb"))
-    return both.filter(100 * shared >= SIMILARITY * (F.size("xa") + F.size("xb") - shared)).select("a", "b")
+    return both.filter(100 * shared >= SIMILARITY * (F.size("xa") + F.size("xb") - shared)).select("a", "b").distinct()
+
+
+def _star_links(bucket: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links of each bucket's smallest member."""
+    pivot = F.min(F.struct(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p")
+    chosen = bucket.groupBy("key").agg(pivot).select("key", "p.*")
+    alike = 100 * F.least("n", "pivot_n") >= SIMILARITY * F.greatest("n", "pivot_n")
+    pairs = bucket.join(chosen, "key").filter((F.col("rep") > F.col("pivot")) & alike).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    sign = sets.select("id", "signature")
+    likely = stored(_plausible(pairs.join(sign.toDF("a", "sa"), "a").join(sign.toDF("b", "sb"), "b")), "likely")
+    return _confirmed(likely, sets)
+
+
+def _joining(group: pa.Table) -> list[tuple[int, int]]:
+    """Links between members of two blocks, or of one, that join components not joined in this group before.
+
+    Shared shingles are counted for all pairs at once; those that only one member has count for none.
+    """
+    rep, n, label, own = (group[c].to_numpy() for c in ("rep", "n", "label", "own"))
+    lists = group["shingles"].combine_chunks()
+    codes = lists.flatten().to_numpy()
+    member = np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy())
+    _, column, often = np.unique(codes, return_inverse=True, return_counts=True)
+    number = np.cumsum(often > 1) - 1
+    several = often[column] > 1
+    member, column = member[several], number[column[several]]
+    order = np.argsort(column, kind="stable")
+    member, column = member[order], column[order]
+    shared = np.zeros((len(rep), len(rep)), np.float32)
+    total = int(column[-1]) + 1 if len(column) else 0
+    for begin in range(0, total, COLUMNS):
+        x, y = np.searchsorted(column, [begin, begin + COLUMNS])
+        held = np.zeros((len(rep), COLUMNS), np.float32)
+        held[member[x:y], column[x:y] - begin] = 1
+        shared += held @ held.T
+    shared = shared.astype(np.int64)
+    link = (100 * shared >= SIMILARITY * (n[:, None] + n[None] - shared)) & (label[:, None] != label[None])
+    if own.min() != own.max():
+        link &= own[:, None] != own[None]
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for p, q in zip(*np.nonzero(np.triu(link))):
+        x, y = find(int(label[p])), find(int(label[q]))
+        if x != y:
+            up[x] = y
+            out.append((int(rep[p]), int(rep[q])))
+    return out
+
+
+def _block_links(bucket: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join all components which any pair of a bucket's members joins."""
+    blocks = bucket.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = bucket.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "label", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            edge = np.any([np.diff(held[c].to_numpy()) != 0 for c in ("key", "i", "j")], axis=0)
+            cuts = [0, *(np.flatnonzero(edge) + 1).tolist()]
+            yield from joined(held, cuts)
+            held = held.slice(cuts[-1])
+        if held is not None:
+            yield from joined(held, [0, held.num_rows])
+
+    def joined(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        found = [pair for x, y in zip(cuts, cuts[1:]) if y - x > 1 for pair in _joining(table.slice(x, y - x))]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _relabelled(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    return rows.join(moved, "label", "left").withColumn("label", F.coalesce("cluster", "label")).drop("cluster")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,30 +277,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = known.groupBy(*names).agg(F.min("doc_id").alias("rep"))
     reps = stored(known.select("doc_id", *names, "keys", "signature").join(
         classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *names], "left_semi").dropDuplicates(["doc_id", *names]).withColumnRenamed("doc_id", "rep"), "classes")
-    rows = reps.select("rep", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    bucket = stored(rows.join(shared.select("key"), "key"), "buckets")
-    edges, nodes = None, reps.select(F.col("rep").alias("id"))
-    pivots, label = 1, None
-    while True:
-        # Pivots are the members with the smallest hash in each part of a bucket: one part at first, more in later rounds.
-        part = F.pmod(F.xxhash64("rep"), F.lit(pivots))
-        chosen = bucket.withColumn("part", part).groupBy("key", "part").agg(F.min("rep").alias("pivot")).select("key", "pivot")
-        members = bucket if label is None else bucket.join(label, "rep")
-        pairs = members.join(chosen if label is None else chosen.join(label.toDF("pivot", "pivot_label"), "pivot"), "key").filter("rep <> pivot")
-        if label is not None:
-            pairs = pairs.filter("label <> pivot_label")
-        pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        found = _confirmed(pairs, reps, named)
-        edges = stored(found if edges is None else edges.union(found), "links")
-        label = stored(connected_components(nodes, edges).select(F.col("id").alias("rep"), F.col("cluster").alias("label")), "labels")
-        # Pivots have met all of their bucket. What is left matters where it spans components.
-        rest = bucket.join(chosen, (bucket["key"] == chosen["key"]) & (bucket["rep"] == chosen["pivot"]), "left_anti")
-        spans = rest.join(label, "rep").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-        bucket = stored(rest.join(spans, "key", "left_semi"), "buckets")
-        if not bucket.head(1):
+    rows = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    bucket = stored(rows.join(shared.select("key"), "key").select("key", "rep", "n", F.col("rep").alias("label")), "buckets")
+    # The texts are dealt once: whole sets of all that met anyone.
+    wanted = bucket.select(F.col("rep").alias("doc_id")).distinct()
+    sets = _sets(named.join(wanted, "doc_id", "left_semi"))
+    sets = stored(sets.join(reps.select(F.col("rep").alias("id"), "signature"), "id"), "sets")
+    label = reps.select("rep", F.col("rep").alias("label")).distinct()
+    for links_of in (_star_links, _block_links):
+        found = stored(links_of(bucket, sets), "links")
+        # Only labels that met are contracted further.
+        met = found.join(label.toDF("a", "x"), "a").join(label.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct()
+        nodes = met.select(F.col("a").alias("id")).union(met.select("b"))
+        moved = stored(connected_components(nodes, met).select(F.col("id").alias("label"), "cluster"), "moves")
+        label = stored(_relabelled(label, moved), "labels")
+        if links_of is _block_links:
             break
-        pivots *= 4
+        # A pivot has met its whole bucket; the others matter where they span components.
+        rest = _relabelled(bucket, moved)
+        spans = rest.groupBy("key").agg(F.min("rep").alias("pivot"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key", "pivot")
+        bucket = stored(rest.join(spans, "key").filter("rep <> pivot").select("key", "rep", "n", "label"), "buckets")
     of_class = reps.select(*names, "rep").join(label, "rep").select(*names, "label")
     member = base.join(of_class, names, "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("label")).otherwise(F.col("doc_id"))
