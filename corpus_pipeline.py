@@ -17,11 +17,11 @@ from foliant.llm.minmax_dedup import near_duplicates
 from foliant.llm.packing import pack
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-MIN_SHARE = 0.5
+MIN_SHARE = 0.34
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without letters go, and those where no language has half of the letters."""
+    """Documents with a language: those without letters go, and those where no language has a third of the letters."""
     found = identify(docs, fit(docs), carry=COLUMNS[1:])
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SHARE)).select(*COLUMNS)
 

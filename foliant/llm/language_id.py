@@ -281,7 +281,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     pa.ListArray.from_arrays(pa.array(offsets), spans), *(c.slice(a, b - a) for c in batch.columns[2:])],
                     ["doc_id", "lang_pred", "score", "spans", *carry])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *carry).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
