@@ -29,6 +29,7 @@ from foliant.llm.common import query, shared_folder, table
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 SEGMENT_IDS = 1 << 18
+KNOWN_CHUNKS = 1_200_000  # of each Python worker, about 200 bytes each
 
 # --- fixed values --------------------------------------------------------------
 MAGIC = b"S8B1"
@@ -59,7 +60,7 @@ def pack(ids: np.ndarray) -> bytes:
             choice[:], step[:] = s, count
             continue
         wide = codes >= (1 << bits)
-        if n - int(wide.sum()) < count:
+        if np.diff(np.flatnonzero(wide), prepend=-1, append=n + 60).max() <= count:
             continue
         # The next id that is too wide; past the end all fits, as the last word may be padded.
         far = np.minimum.accumulate(np.where(wide, place, n + 60)[::-1])[::-1]
@@ -133,7 +134,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
 
         for batch in batches:
             for a, b in slices(batch.column(1), 1 << 20):
-                coded = encode_texts([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], vocabulary, ranked=False)
+                coded = encode_texts([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], vocabulary, ranked=False, keep=KNOWN_CHUNKS)
                 for doc_id, x in zip(batch.column(0).slice(a, b - a).to_pylist(), coded):
                     ids.append(x)
                     doc_ids.append(doc_id)
@@ -177,7 +178,8 @@ def token_starts(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder)
-    read = read_tokens(spark, folder).join(token_starts(spark, folder), "part")
-    return read.select(
-        "doc_id", (F.col("base") + F.col("part_start")).alias("start"),
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    # The digests are taken where the ids are read: only they meet the starts.
+    read = read_tokens(spark, folder).select(
+        "doc_id", "part", "part_start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return read.join(token_starts(spark, folder), "part").select(
+        "doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
