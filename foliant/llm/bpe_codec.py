@@ -17,6 +17,7 @@ import codecs
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from foliant.llm.common import per_process, query, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 300_000  # about 200 bytes each
 CACHED_LENGTH = 48
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+SLICE_IDS = 1 << 19
 
 _BOUNDARY = re.compile(r" (?=\S)")
 _INSIDE = re.compile(r" \s")
@@ -75,32 +77,47 @@ def file_tokenizer(path: str):
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids by way of their chunks."""
 
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer, self.known = tokenizer, {}
+    def __init__(self, tokenizer, keep: int = CACHED_CHUNKS) -> None:
+        self.tokenizer, self.keep, self.known = tokenizer, keep, {}
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for shown, number in vocabulary.items():
+            self.lengths[number] = len(shown)  # a character for each byte
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         """The text cut before each space that a non-space follows; those spaces are left off."""
         return _BOUNDARY.split(text) if _INSIDE.search(text) else text.split(" ")
 
+    def _alone(self, strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)] if strings else []
+
+    def _together(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk with its space, from one pass over all of them: token lengths show where each ends."""
+        if not chunks:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        wanted = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), wanted, "left") + 1
+        raw, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
+        return [raw[x:y] for x, y in zip(at, at[1:])]
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        known = self.known
         cut = [self.chunks(t) for t in texts]
-        heads = {c[0] for c in cut}
-        missing = set().union(*(c[1:] for c in cut)) - known.keys()
-        strings = [*heads, *(" " + c for c in missing)]
-        found = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)] if strings else []
-        first = dict(zip(heads, found))
-        fresh = dict(zip(missing, found[len(heads):]))
-        if len(known) + len(fresh) > CACHED_CHUNKS and len(fresh) < CACHED_CHUNKS:
-            known = self.known = {c: known[c] for c in set().union(*(c[1:] for c in cut)) & known.keys()}
-        both = known | fresh if len(fresh) + len(known) > CACHED_CHUNKS else known
-        if both is known:
-            known.update(fresh)
-        out = [b"".join([first[c[0]], *[both[x] for x in c[1:]]]) for c in cut]
-        for c in fresh:
+        heads = [c.pop(0) for c in cut]
+        if len(self.known) > self.keep:
+            self.known = {c: self.known[c] for c in set(chain.from_iterable(cut)) & self.known.keys()}
+        known = self.known
+        missing = list({c for c in chain.from_iterable(cut) if c not in known})
+        # White space at the end of a chunk would run into the next chunk's space.
+        plain = [c for c in missing if c and not c[-1].isspace()]
+        ended = [c for c in missing if not c or c[-1].isspace()]
+        known.update(zip(plain, self._together(plain)))
+        known.update(zip(ended, self._alone([" " + c for c in ended])))
+        out = [h + b"".join(map(known.__getitem__, c)) for h, c in zip(self._alone(heads), cut)]
+        for c in missing:
             if len(c) > CACHED_LENGTH:
-                known.pop(c, None)
+                del known[c]
         return out
 
 
@@ -117,23 +134,23 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield begin, len(sizes)
 
 
-def _encoder(path: str, ranked: bool) -> ChunkEncoder:
+def _encoder(path: str, ranked: bool, keep: int = CACHED_CHUNKS) -> ChunkEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return per_process(("encoder", path, ranked), lambda: ChunkEncoder(rank_tokenizer(path) if ranked else file_tokenizer(path)))
+    return per_process(("encoder", path, ranked), lambda: ChunkEncoder(rank_tokenizer(path) if ranked else file_tokenizer(path), keep))
 
 
-def encode_texts(texts: list[str], path: str, ranked: bool = True) -> list[np.ndarray]:
+def encode_texts(texts: list[str], path: str, ranked: bool = True, keep: int = CACHED_CHUNKS) -> list[np.ndarray]:
     """Token ids of each text."""
-    return [np.frombuffer(x, "<u4") for x in _encoder(path, ranked).encode(texts)]
+    return [np.frombuffer(x, "<u4") for x in _encoder(path, ranked, keep).encode(texts)]
 
 
 def _token_bytes(path: str) -> list[bytes]:
+    """The bytes of each rank."""
     def build() -> list[bytes]:
-        value = {c: b for b, c in enumerate(byte_characters())}
-        vocabulary = _encoder(path, True).tokenizer.get_vocab(with_added_tokens=False)
-        back = [b""] * (max(vocabulary.values()) + 1)
-        for shown, rank in vocabulary.items():
-            back[rank] = bytes(value[c] for c in shown)
+        ranks = read_ranks(path)
+        back = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            back[rank] = token
         return back
 
     return per_process(("token bytes", path), build)
@@ -188,11 +205,12 @@ def decode(coded: DataFrame, ranks: str = RANKS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = _token_bytes(ranks)
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                ids = one.column(1)[0]
-                raw = b"".join([parts[t] for t in ids.values.to_numpy().tolist()]) if ids.is_valid else None
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([raw], pa.binary())], ["doc_id", "ids", "decoded"])
+            lists = batch.column(1)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)) // SLICE_IDS
+            for a, b in zip(*(np.searchsorted(ends, np.unique(ends), side) for side in ("left", "right"))):
+                some = lists.slice(a, b - a)
+                raw = [b"".join([parts[t] for t in x.values.to_numpy().tolist()]) if x.is_valid else None for x in some]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), some, pa.array(raw, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
