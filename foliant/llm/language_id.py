@@ -3,7 +3,8 @@
 Every letter lies in a script by its code-point range; a word's script narrows the candidate
 languages to those that use it. A word's score for a language is the sum of weights of the
 three- and five-letter windows around its letters. Viterbi over the words, with a penalty
-for each switch, then labels spans.
+for each switch, then labels spans. Those scores only compare learned languages, so a
+confidence tells how well the letters suit their labels at all.
 
 Weights come from a bounded sample of labelled rows (``SAMPLE_DOCS`` for each language);
 their windows are hashed and counted on the executors. Prediction reads nothing but texts.
@@ -29,6 +30,7 @@ BUCKET_BITS = 17
 SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
 MIN_SCRIPT_SHARE = 0.02
+BENEFIT = 10.0  # letters that count as well known in the confidence of any text in a learned script
 SLICE = 1 << 20
 STEPS = 64  # words in a block of the parallel Viterbi
 UNKNOWN = "und"
@@ -47,11 +49,18 @@ SCRIPTS = ("other", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES))
 
 
 class Model(NamedTuple):
-    """``weights`` (buckets x languages) and ``uses`` (scripts x languages, booleans)."""
+    """``weights`` (buckets x languages) and ``uses`` (scripts x languages, booleans).
+
+    ``weights`` plus ``mean`` (buckets) are log probabilities. ``usual`` and ``unseen`` (languages)
+    are a letter's mean log probability in held-out rows of the language, and in windows it never had.
+    """
 
     languages: list[str]
     weights: np.ndarray
     uses: np.ndarray
+    mean: np.ndarray
+    usual: np.ndarray
+    unseen: np.ndarray
 
 
 def _characters() -> tuple[np.ndarray, np.ndarray]:
@@ -112,19 +121,25 @@ def words_of(texts: list[str]) -> Words:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window and script counts of each language, summed over a slice before they leave the task."""
+    """Window and script counts of each language and half, summed over a slice before they leave the task."""
     for batch in batches:
         for a, b in slices(batch.column(1), SLICE):
-            langs, texts = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
-            for lang in dict.fromkeys(langs):
-                w = words_of([t for t, x in zip(texts, langs) if x == lang])
+            langs, texts, halves = (batch.column(c).slice(a, b - a).to_pylist() for c in range(3))
+            for lang, half in dict.fromkeys(zip(langs, halves)):
+                w = words_of([t for t, x, h in zip(texts, langs, halves) if x == lang and h == half])
                 buckets = np.bincount(np.concatenate([w.near, w.wide]), minlength=1 << BUCKET_BITS)
                 scripts = np.bincount(w.script, weights=w.letters, minlength=len(SCRIPTS)).astype(np.int64)
                 used, seen = np.flatnonzero(buckets), np.flatnonzero(scripts)
                 keys = np.concatenate([used, -1 - seen])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(keys)), pa.array(keys, pa.int64()), pa.array(np.concatenate([buckets[used], scripts[seen]]), pa.int64())],
-                    ["lang", "key", "n"])
+                    pa.array([lang] * len(keys), pa.string()), pa.array([half] * len(keys), pa.int32()), pa.array(keys, pa.int64()),
+                    pa.array(np.concatenate([buckets[used], scripts[seen]]), pa.int64())], ["lang", "half", "key", "n"])
+
+
+def _letter_scores(counts: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each language, the mean log probability of a letter's two windows in ``counts`` by a model fitted on ``other``."""
+    odds = np.log((other + SMOOTHING) / (other.sum(0) + SMOOTHING * len(other)))
+    return 2 * (counts * odds).sum(0) / np.maximum(counts.sum(0), 1)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -132,30 +147,39 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
     Languages are counted, then rows are thinned by a hash of the id to about twice the bound
     and cut to it by hash order, so the ranking sees a bounded number of rows. The model has
-    ``2**BUCKET_BITS`` weights for each language whatever the input.
+    ``2**BUCKET_BITS`` weights for each language whatever the input. Each half of the sample is
+    held out from a model of the other half to learn how well rows of a language usually score.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h")).filter(
         "lang is not null and text is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool),
+                     np.zeros(1 << BUCKET_BITS, np.float32), np.zeros(0), np.zeros(0))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * sample_docs / n))])
     thin = rows.filter(F.pmod(F.col("h"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     chosen = thin.select("lang", "h").withColumn("r", rank).filter(F.col("r") <= sample_docs).groupBy("lang").agg(F.max("h").alias("last"))
     last = {r[0]: r[1] for r in chosen.collect()}
     limit = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
-    sample = thin.filter(F.col("h") <= limit[F.col("lang")]).select("lang", "text")
-    summed = sample.mapInArrow(_counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    sample = thin.filter(F.col("h") <= limit[F.col("lang")]).select("lang", "text", F.pmod(F.shiftright("h", 32), F.lit(2)).cast("int").alias("half"))
+    summed = sample.mapInArrow(_counts, "lang string, half int, key long, n long").groupBy("lang", "half", "key").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
-    counts, scripts = np.zeros((1 << BUCKET_BITS, len(languages))), np.zeros((len(SCRIPTS), len(languages)))
+    halves, scripts = np.zeros((2, 1 << BUCKET_BITS, len(languages))), np.zeros((len(SCRIPTS), len(languages)))
     column = summed["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-    key, n = summed["key"].to_numpy(), summed["n"].to_numpy()
+    key, n, half = summed["key"].to_numpy(), summed["n"].to_numpy(), summed["half"].to_numpy()
     window = key >= 0
-    counts[key[window], column[window]] = n[window]
-    scripts[-1 - key[~window], column[~window]] = n[~window]
+    halves[half[window], key[window], column[window]] = n[window]
+    np.add.at(scripts, (-1 - key[~window], column[~window]), n[~window])
+    counts = halves.sum(0)
     odds = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * len(counts)))
-    return Model(languages, (odds - odds.mean(1, keepdims=True)).astype(np.float32), scripts / np.maximum(scripts.sum(0), 1) >= MIN_SCRIPT_SHARE)
+    mean = odds.mean(1)
+    sizes_of = halves.sum(1)
+    usual = (_letter_scores(halves[0], halves[1]) * sizes_of[0] + _letter_scores(halves[1], halves[0]) * sizes_of[1]) / np.maximum(sizes_of.sum(0), 1)
+    usual = np.where((sizes_of > 0).all(0), usual, _letter_scores(counts, counts))  # a single row can't be held out
+    unseen = 2 * np.log(SMOOTHING / (counts.sum(0) + SMOOTHING * len(counts)))
+    return Model(languages, (odds - mean[:, None]).astype(np.float32), scripts / np.maximum(scripts.sum(0), 1) >= MIN_SCRIPT_SHARE,
+                 mean.astype(np.float32), usual, unseen)
 
 
 def word_scores(model: Model, words: Words) -> np.ndarray:
@@ -235,8 +259,23 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float = SWITCH_PENALTY
     return path[inner % STEPS, word_block]
 
 
+def _confidence(model: Model, words: Words, scores: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` texts: the share of letters in learned scripts, times how well those suit their labels.
+
+    A letter counts 0 if the label's language never had its windows and 1 if it scores as letters
+    of held-out rows do. ``BENEFIT`` letters that count 1 are added, as few letters tell little.
+    """
+    known = model.uses[words.script].any(1)
+    at = np.add.reduceat(model.mean[words.near] + model.mean[words.wide], words.first) if len(words.first) else np.zeros(0)
+    found = at + scores[np.arange(len(labels)), labels]
+    scale = np.maximum(model.usual - model.unseen, 1e-3)[labels]
+    suits = np.where(known, np.maximum(found - words.letters * model.unseen[labels], 0) / scale, 0)
+    suited, learned, every = (np.bincount(words.doc, weights=w, minlength=n) for w in (suits, words.letters * known, words.letters))
+    return np.minimum((suited + BENEFIT) / (learned + BENEFIT), 1) * learned / np.maximum(every, 1)
+
+
 def label_texts(model: Model, texts: list[str], penalty: float = SWITCH_PENALTY):
-    """``(doc, start, end, label)`` arrays of the spans and ``(doc, label) -> letters`` counts."""
+    """``(doc, start, end, label)`` arrays of the spans, ``(doc, label) -> letters`` counts and each text's confidence."""
     words = words_of(texts)
     width = max(len(model.languages), 1)
     scores = word_scores(model, words) if model.languages else np.zeros((len(words.doc), 1), np.float32)
@@ -245,20 +284,22 @@ def label_texts(model: Model, texts: list[str], penalty: float = SWITCH_PENALTY)
     fresh = np.append(True, (words.doc[1:] != words.doc[:-1]) | (labels[1:] != labels[:-1])) if len(labels) else np.zeros(0, bool)
     lead = np.flatnonzero(fresh)
     tail = np.append(lead[1:], len(labels))[:len(lead)] - 1
-    return words.doc[lead], words.start[lead], words.end[tail], labels[lead], letters
+    confidence = _confidence(model, words, scores, labels, len(texts)) if model.languages else np.zeros(len(texts))
+    return words.doc[lead], words.start[lead], words.end[tail], labels[lead], letters, confidence
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY,
              carry: Sequence[str] = ()) -> DataFrame:
-    """``(doc_id, lang_pred, score, spans)`` and the columns of ``carry`` for every row of ``docs``; each whole text is read.
+    """``(doc_id, lang_pred, score, spans, confidence)`` and the columns of ``carry`` for every row of ``docs``; each whole text is read.
 
     ``spans`` are ``(start, end, lang)`` in characters. ``lang_pred`` is the language of most
-    letters and ``score`` its share of them. A text that is null or has no letter is ``und``
-    with score 0 and no span, as is any text if the model has learned no language. Words in a
+    letters and ``score`` its share of them. ``confidence`` (0 to 1) falls where letters are in
+    scripts or windows that no language was learned with. A text that is null or has no letter is ``und``
+    with score and confidence 0 and no span, as is any text if the model has learned no language. Words in a
     script that no learned language uses follow their neighbours. Ids may be null or repeat;
     other columns are not read.
     """
-    schema = "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
+    schema = "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>, confidence double"
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKET_BITS and the number of languages
 
@@ -268,7 +309,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for a, b in slices(batch.column(1), SLICE):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-                doc, start, end, label, letters = label_texts(learned, texts, penalty)
+                doc, start, end, label, letters, confidence = label_texts(learned, texts, penalty)
                 some = letters.sum(1) > 0 if learned.languages else np.zeros(len(texts), bool)
                 doc, start, end, label = (x[some[doc]] for x in (doc, start, end, label))
                 pred = [learned.languages[i] if s else UNKNOWN for i, s in zip(letters.argmax(1), some)]
@@ -278,8 +319,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), spans), *(c.slice(a, b - a) for c in batch.columns[2:])],
-                    ["doc_id", "lang_pred", "score", "spans", *carry])
+                    pa.ListArray.from_arrays(pa.array(offsets), spans), pa.array(np.where(some, confidence, 0.0), pa.float64()), *(c.slice(a, b - a) for c in batch.columns[2:])],
+                    ["doc_id", "lang_pred", "score", "spans", "confidence", *carry])
 
     return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *carry).mapInArrow(run, schema)
 
