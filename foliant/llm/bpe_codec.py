@@ -65,12 +65,15 @@ def rank_tokenizer(path: str, pattern: str = public_tokenizers.PATTERN):
     return tokenizer
 
 
-def file_tokenizer(path: str):
-    """A tokenizer file; its special tokens' strings are ordinary text in a document."""
+def file_tokenizer(path: str, plain_specials: bool = False):
+    """A tokenizer file as the library reads it: a special token's string in a text is that token.
+
+    With ``plain_specials`` such strings are ordinary text.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = plain_specials
     return tokenizer
 
 
@@ -79,6 +82,8 @@ class ChunkEncoder:
 
     def __init__(self, tokenizer, keep: int = CACHED_CHUNKS) -> None:
         self.tokenizer, self.keep, self.known = tokenizer, keep, {}
+        # Special tokens are found in a text before it is split; a text with one isn't cut into chunks.
+        self.specials = [] if tokenizer.encode_special_tokens else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for shown, number in vocabulary.items():
@@ -103,7 +108,7 @@ class ChunkEncoder:
         return [raw[x:y] for x, y in zip(at, at[1:])]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
+        cut = [[t] if any(s in t for s in self.specials) else self.chunks(t) for t in texts]
         heads = [c.pop(0) for c in cut]
         if len(self.known) > self.keep:
             self.known = {c: self.known[c] for c in set(chain.from_iterable(cut)) & self.known.keys()}

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from foliant.llm import bpe_codec, embedding_dedup, language_id, minmax_dedup, packing, registry, token_output
 
@@ -53,7 +54,7 @@ def test_words_are_dense():
 
 
 def token_model(rows):
-    tokenizer = bpe_codec.file_tokenizer(token_output.VOCABULARY)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -77,6 +78,15 @@ def test_token_output_of_awkward_documents(spark, tmp_path, monkeypatch):
     assert token_output.read_tokens(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_special_strings_are_what_the_library_makes_of_them():
+    texts = ["<|endoftext|> hi", "a <|endoftext|>b<|endoftext|>", "<|endoftext| >", " <|endoftext|>  x\n"]
+    library = Tokenizer.from_file(token_output.VOCABULARY)
+    assert [x.tolist() for x in bpe_codec.encode_texts(texts, token_output.VOCABULARY, ranked=False)] == [
+        library.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = bpe_codec.ChunkEncoder(bpe_codec.file_tokenizer(token_output.VOCABULARY, plain_specials=True))
+    assert 50256 not in np.frombuffer(plain.encode(texts[:1])[0], "<u4")
+
+
 def test_repeated_and_null_ids_keep_all_their_tokens(spark, tmp_path):
     docs = documents(spark, [(None, "a", "x", "y"), (None, "b", "x", "y"), (1, "c", "x", "y"), (1, "c", "x", "y")])
     token_output.write_tokens(docs, str(tmp_path / "t"))
