@@ -6,7 +6,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from foliant.llm import code_compression
+from pyspark.sql import functions as F
+
+from foliant.llm import code_compression, hard_negatives
 
 VECTORS = "vec_id long, embedding array<float>, label int, entry string, part string, codes string, error string, ints string, row string, score string"
 
@@ -82,3 +84,52 @@ def test_no_vectors_no_codes(spark):
         coded, books = code_compression.compress(table(spark, rows))
         assert coded.collect() == [] and all(not b.size for b in books)
         assert code_compression.books_digest(books) == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def negatives_model(rows, dim, anchor, positives=5, negatives=3):
+    kept = [(n, i, v, label) for n, (i, v, label) in enumerate(usable([r for r in rows if r[0] is not None and r[2] is not None], 256, 1 << 20, dim))]
+    out = []
+    for n, i, v, label in kept:
+        if not anchor(i):
+            continue
+        scores = sorted((-sum(x * y for x, y in zip(v, w)), j, m) for _, j, w, m in kept if j != i)
+        for p, j, m in [s for s in scores if s[2] == label][:positives]:
+            fits = [s for s in scores if s[2] != label and 50 * -p <= 100 * -s[0] <= 95 * -p][:negatives]
+            out += [(i, j, k + 1, t, -p, -s) for k, (s, t, _) in enumerate(fits)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("dim, sizes", [(8, (16, 8, 4)), (3, (7, 50, 3)), (8, (2048, 2048, 512))])
+def test_negatives_equal_a_full_comparison(spark, monkeypatch, dim, sizes):
+    for name, value in zip(("BLOCK", "BATCH", "STEP"), sizes):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rows = awkward(n=90, dim=dim)
+    wanted = negatives_model(rows, dim, lambda i: i % 5 == 0)
+    found = hard_negatives.mine(table(spark, rows).repartition(3), F.col("vec_id") % 5 == 0).collect()
+    assert len(wanted) > 50 and sorted(map(tuple, found)) == wanted
+
+
+def test_tables_without_anchors_give_nothing(spark):
+    for rows in ([], [(1, None, 2)], [(1, [0.5, 0.5], 2), (2, [0.5, 0.1], 3)], [(50, [0.5, 0.5], 1)], [(50, [0.0, 0.0], 1), (51, [0.0, 0.0], 2)]):
+        assert hard_negatives.mine(table(spark, rows), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_zero_scores_have_a_window_of_their_own(spark):
+    rows = [(50, [0.0, 0.0], 1), (51, [0.5, 0.1], 1), (52, [0.3, 0.1], 2), (53, [0.9, 0.1], 2)]
+    found = hard_negatives.mine(table(spark, rows), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(map(tuple, found)) == [(50, 51, 1, 52, 0, 0), (50, 51, 2, 53, 0, 0)]
+
+
+def test_walks_end_early_and_certified():
+    """Anchors near their centre among spread candidates: a fraction of the list is scored, the best are right."""
+    rng = np.random.default_rng(2)
+    vectors = np.rint(rng.normal(0, 100, (4000, 16)))
+    members = np.rint(vectors[0] + rng.normal(0, 5, (40, 16)))
+    rank = np.arange(4000)
+    found = {"vectors": vectors, "lengths": np.linalg.norm(vectors, axis=1), "ids": rank + 1000, "labels": np.zeros(4000, int), "rank": rank}
+    low, high = np.full((40, 1), hard_negatives._NONE), np.full((40, 1), hard_negatives._ALL)
+    middle = vectors[0] / np.linalg.norm(vectors[0])
+    best, scored = hard_negatives.walk(members, middle, np.arange(40), np.zeros(40, int), low, high, found, 3, True)
+    scores = (members @ vectors.T).astype(int)
+    assert (best[:, 0] // 4000 == -np.sort(-scores, axis=1)[:, :3]).all()
+    assert scored < 0.4 * scores.size
