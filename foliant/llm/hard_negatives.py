@@ -154,15 +154,18 @@ def shared_walks(rows: DataFrame, anchors: DataFrame, middle: np.ndarray, want:
     ``rows`` are ``(row, vec_id, label, ints)``; ``anchors`` carry ``cluster`` and the windows' ends
     ``low`` and ``high`` too. Lists hold one label with ``same_label``, else all rows.
     """
-    scoped = (lambda df: df.withColumn("scope", F.col("label"))) if same_label else (lambda df: df.withColumn("scope", F.lit(0)))
-    rows, anchors = scoped(rows), scoped(anchors)
-    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).join(
-        anchors.groupBy("scope").agg(F.ceil(F.count("*") / BATCH).cast("long").alias("batches")), "scope")
-    sizes = stored(sizes, "list-sizes")
-    candidates = rows.join(sizes, "scope").select(
+    if same_label:
+        rows, anchors = rows.withColumn("scope", F.col("label")), anchors.withColumn("scope", F.col("label"))
+        sizes = stored(rows.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).join(
+            anchors.groupBy("scope").agg(F.ceil(F.count("*") / BATCH).cast("long").alias("batches")), "scope"), "list-sizes")
+        rows, anchors = rows.join(sizes, "scope"), anchors.join(sizes, "scope")
+    else:
+        counts = {"scope": 0, "blocks": -(-rows.count() // BLOCK), "batches": max(1, -(-anchors.count() // BATCH))}
+        rows, anchors = (df.withColumns({name: F.lit(n).cast("long") for name, n in counts.items()}) for df in (rows, anchors))
+    candidates = rows.select(
         "scope", "vec_id", "label", "ints", F.pmod(F.xxhash64("row"), F.col("blocks")).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"))
-    placed = anchors.join(sizes, "scope").withColumn("batch", F.pmod(F.xxhash64("row"), F.col("batches")))
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)).alias("batch"))
+    placed = anchors.withColumn("batch", F.pmod(F.xxhash64("row"), F.col("batches")))
     first = stored(_top(_visits(candidates.filter("block = 0"), placed.withColumn("block", F.lit(0).cast("long")), "scope", middle, want, same_label), want), "first-block")
     # Where a window is full already, only scores that reach its last place matter.
     full = first.filter(F.col("place") == want).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("slot", "score"))).alias("last"))
