@@ -6,8 +6,9 @@ of the third's rank, which is the rule of rank files (always join the pair whose
 has the lowest rank).
 
 A single space before a non-space always begins a new piece of the split pattern, so a text
-is encoded as its space-separated chunks. Chunks repeat; each Python worker keeps the ids of
-a bounded number of them.
+is encoded as its space-separated chunks. Chunks repeat: a slice of texts is turned into a
+dictionary of its chunks, only those are encoded, and the ids of the texts are gathered from
+them. Each Python worker keeps the ids of a bounded number of chunks.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from foliant.llm.common import per_process, query, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-CACHED_CHUNKS = 300_000  # about 200 bytes each
+CACHED_CHUNKS = 500_000  # about 200 bytes each
 CACHED_LENGTH = 48
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 SLICE_IDS = 1 << 19
 
 _BOUNDARY = re.compile(r" (?=\S)")
@@ -107,22 +108,51 @@ class ChunkEncoder:
         raw, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
         return [raw[x:y] for x, y in zip(at, at[1:])]
 
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, list[int]]:
+        """The chunks of all texts in a row, the place of each text's first, and the order the texts are in."""
+        odd = {i for i, t in enumerate(texts) if _INSIDE.search(t) or any(s in t for s in self.specials)}
+        plain = [i for i in range(len(texts)) if i not in odd]
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        rest = [[texts[i]] if any(s in texts[i] for s in self.specials) else self.chunks(texts[i]) for i in sorted(odd)]
+        chunks = pa.concat_arrays([lists.flatten().cast(pa.large_string()), pa.array(list(chain.from_iterable(rest)), pa.large_string())])
+        counts = np.concatenate([np.diff(lists.offsets.to_numpy()), np.array(list(map(len, rest)), np.int64)])
+        return chunks, np.cumsum(counts) - counts, plain + sorted(odd)
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [[t] if any(s in t for s in self.specials) else self.chunks(t) for t in texts]
-        heads = [c.pop(0) for c in cut]
+        texts = list(texts)
+        if not texts:
+            return []
+        chunks, heads, order = self._cut(texts)
+        coded = chunks.dictionary_encode()
+        names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         if len(self.known) > self.keep:
-            self.known = {c: self.known[c] for c in set(chain.from_iterable(cut)) & self.known.keys()}
+            self.known = {c: self.known[c] for c in set(names) & self.known.keys()}
         known = self.known
-        missing = list({c for c in chain.from_iterable(cut) if c not in known})
+        # A text's first chunk has no space before it and is encoded as it is.
+        first = [names[k] for k in which[heads]]
+        which[heads] = np.arange(len(names), len(names) + len(heads))
+        used = np.bincount(which, minlength=len(names))[:len(names)] > 0
+        missing = [c for c, u in zip(names, used.tolist()) if u and c not in known]
         # White space at the end of a chunk would run into the next chunk's space.
         plain = [c for c in missing if c and not c[-1].isspace()]
         ended = [c for c in missing if not c or c[-1].isspace()]
         known.update(zip(plain, self._together(plain)))
         known.update(zip(ended, self._alone([" " + c for c in ended])))
-        out = [h + b"".join(map(known.__getitem__, c)) for h, c in zip(self._alone(heads), cut)]
+        parts = [known.get(c, b"") for c in names] + self._alone(first)
         for c in missing:
             if len(c) > CACHED_LENGTH:
                 del known[c]
+        # The ids of all chunks are gathered from those of the distinct ones.
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts, counts = np.cumsum(lengths) - lengths, lengths[which]
+        ends = np.cumsum(counts)
+        gather = np.repeat(starts[which] - (ends - counts), counts)
+        gather += np.arange(len(gather))
+        ids = np.frombuffer(b"".join(parts), "<u4")[gather].tobytes()
+        cuts = np.append((ends - counts)[heads], ends[-1]) * 4
+        out = [b""] * len(texts)
+        for i, x, y in zip(order, cuts.tolist(), cuts[1:].tolist()):
+            out[i] = ids[x:y]
         return out
 
 
