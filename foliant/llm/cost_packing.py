@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from foliant.llm.bpe_codec import encode_texts, slices
 from foliant.llm.common import query, table
-from foliant.llm.token_output import END_ID, VOCABULARY
+from foliant.llm.token_output import CACHED_CHUNKS, END_ID, VOCABULARY
 
 CAPACITY = 1024
 MODEL_WIDTH = 4096
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 ROW_BYTES = 16  # what a document weighs besides its text
 SEQUENCES = 1 << 32  # numbers set aside for the sequences of a group
 
@@ -97,8 +97,8 @@ def pack_balanced(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = V
         group = group.combine_chunks()
         texts = group["text"].combine_chunks()
         coded: list[bytes] = []
-        for a, b in slices(texts):
-            coded += [x.tobytes() + end for x in encode_texts([t or "" for t in texts.slice(a, b - a).to_pylist()], vocabulary, ranked=False)]
+        for a, b in slices(texts, GROUP_BYTES):
+            coded += [x.tobytes() + end for x in encode_texts([t or "" for t in texts.slice(a, b - a).to_pylist()], vocabulary, False, CACHED_CHUNKS)]
         ids = group["doc_id"].to_pylist()
         # Rows come in any order; equal keys are equal documents.
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, len(coded[i]), coded[i]))

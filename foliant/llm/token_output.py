@@ -29,6 +29,8 @@ from foliant.llm.common import query, shared_folder, table
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 SEGMENT_IDS = 1 << 18
+SLICE_BYTES = 4 << 20  # texts encoded together: larger slices hold fewer distinct chunks
+CACHED_CHUNKS = 500_000
 
 # --- fixed values --------------------------------------------------------------
 MAGIC = b"S8B1"
@@ -132,8 +134,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                coded = encode_texts([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], vocabulary, ranked=False)
+            for a, b in slices(batch.column(1), SLICE_BYTES):
+                coded = encode_texts([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], vocabulary, ranked=False, keep=CACHED_CHUNKS)
                 for doc_id, x in zip(batch.column(0).slice(a, b - a).to_pylist(), coded):
                     ids.append(x)
                     doc_ids.append(doc_id)
