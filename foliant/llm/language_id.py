@@ -145,24 +145,26 @@ def _letter_scores(counts: np.ndarray, other: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on at most ``sample_docs`` rows of each language with a known label.
 
-    Languages are counted, then rows are thinned by a hash of the id to about twice the bound
-    and cut to it by hash order, so the ranking sees a bounded number of rows. The model has
+    Rows equal in id and text count once; ids may be null or repeat. Distinct rows are counted (approximately, which only
+    steers the thinning), thinned by a hash of id and text to about three times the bound, and cut to it by hash order:
+    the ranking sees a bounded number of rows, and every language with a text has rows. The model has
     ``2**BUCKET_BITS`` weights for each language whatever the input. Each half of the sample is
     held out from a model of the other half to learn how well rows of a language usually score.
     """
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h")).filter(
-        "lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"),
+                           F.xxhash64(text_col, id_col, F.lit(1)).alias("h2")).filter("lang is not null and text is not null")
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("distinct")).collect()
+    sizes = {r["lang"]: r["n"] for r in counted}
     if not sizes:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool),
                      np.zeros(1 << BUCKET_BITS, np.float32), np.zeros(0), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * sample_docs / n))])
+    share = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, 3.0 * sample_docs / max(1, r["distinct"])))])
     thin = rows.filter(F.pmod(F.col("h"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    chosen = thin.select("lang", "h").withColumn("r", rank).filter(F.col("r") <= sample_docs).groupBy("lang").agg(F.max("h").alias("last"))
-    last = {r[0]: r[1] for r in chosen.collect()}
-    limit = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
-    sample = thin.filter(F.col("h") <= limit[F.col("lang")]).select("lang", "text", F.pmod(F.shiftright("h", 32), F.lit(2)).cast("int").alias("half"))
+    key = ["lang", "h", "h2"]
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "h2"))
+    chosen = thin.select(*key).distinct().withColumn("r", rank).filter(F.col("r") <= sample_docs).drop("r")
+    sample = thin.join(chosen, key, "left_semi").dropDuplicates(key).select(
+        "lang", "text", F.pmod(F.shiftright("h", 32), F.lit(2)).cast("int").alias("half"))
     summed = sample.mapInArrow(_counts, "lang string, half int, key long, n long").groupBy("lang", "half", "key").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     halves, scripts = np.zeros((2, 1 << BUCKET_BITS, len(languages))), np.zeros((len(SCRIPTS), len(languages)))
@@ -301,10 +303,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     schema = "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>, confidence double"
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKET_BITS and the number of languages
+    shipped = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain arrays, as workers may lack this package; the size is fixed by BUCKET_BITS and the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned = shipped.value
+        learned = Model(*shipped.value)
         names = pa.array(learned.languages or [UNKNOWN])
         for batch in batches:
             for a, b in slices(batch.column(1), SLICE):

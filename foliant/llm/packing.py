@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing of documents into context windows (operator 10).
 
-Pieces are dealt by a hash of their document into groups of bounded size and packed within
+Pieces are dealt by a hash of their document's place in the table into groups of bounded size and packed within
 them, largest first. Open bins stand in order of the room they have left and carry two
 bitmaps: the sources and the duplicate clusters they hold. For a piece the search starts at
 the first bin with room enough and goes on to successors until a bin holds neither its
@@ -102,7 +102,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
     rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.col(source_col).cast("string").alias("source"),
                               cluster.alias("cluster")), "lengths")
     groups = max(1, -(-rows.count() // group_pieces))
-    group = F.pmod(F.xxhash64("doc_id", "cluster", "size"), F.lit(groups)).cast("long")
+    # The place in the written table deals rows that are equal in everything to different groups too.
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     schema = "doc_id long, piece long, start long, length long, bin_group long, bin long, bin_offset long, bin_fill long"
     names = [c.split()[0] for c in schema.split(", ")]
 

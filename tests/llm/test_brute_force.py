@@ -352,3 +352,100 @@ def test_query_packs_the_given_table_as_the_model_does(spark):
         items = [(r["length"], rows[r["doc_id"]]["source"], rows[r["doc_id"]]["text"]) for r in rests]
         _, fills = best_fit_model(items, packing.CAPACITY)
         assert sorted(fills.values()) == sorted({r["bin"]: r["bin_fill"] for r in rests}.values())
+
+
+# --- repeated rows ---------------------------------------------------------------
+
+
+WORDS = {"en": "the house and the river are old", "fr": "la maison et le fleuve sont vieux", "de": "das Haus und der Fluss sind alt"}
+
+
+def labelled(spark, counts, ids):
+    rows = [(ids(k), f"{WORDS[x]} {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}", x, None) for x, n in counts.items() for k in range(n)]
+    return documents(spark, rows)
+
+
+@pytest.mark.parametrize("counts, ids", [
+    ({"en": 1500}, lambda k: 7), ({"fr": 1500, "en": 300}, lambda k: 7), ({"en": 1500, "de": 4}, lambda k: None), ({"en": 1, "fr": 1, "de": 1}, lambda k: k),
+    ({"fr": 3000, "en": 1500}, lambda k: k)])
+def test_every_language_is_learned_whatever_the_ids(spark, counts, ids):
+    docs = labelled(spark, counts, ids)
+    model = language_id.fit(docs, sample_docs=100)
+    assert sorted(model.languages) == sorted(counts)
+    found = language_id.identify(documents(spark, [(i, t, None, None) for i, t in enumerate(WORDS.values())]), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in found if list(WORDS)[r["doc_id"]] in counts} == {i: x for i, x in enumerate(WORDS) if x in counts}
+    once = language_id.fit(docs.unionByName(docs), sample_docs=100)  # equal rows count once
+    assert (once.weights == model.weights).all()
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """One text of one id, or many of null ids: at most the bound is learned from."""
+    read_texts = []
+    original = language_id._letter_scores
+    monkeypatch.setattr(language_id, "_letter_scores", lambda counts, other: (read_texts.append(counts.sum()), original(counts, other))[1])
+    language_id.fit(documents(spark, [(None, f"word {'abcdefghij'[k % 10]} {'klmnopqrst'[k // 10 % 10]} {'uvwxyzabcd'[k // 100]}", "en", None) for k in range(1000)]), sample_docs=20)
+    assert 0 < sum(read_texts[:2]) <= 20 * 2 * len("wordabc")
+    assert language_id.fit(documents(spark, [(7, "same words", "en", None)] * 2000), sample_docs=20).languages == ["en"]
+
+
+def test_predictions_equal_a_plain_model(spark):
+    """Word scores, narrowing by script, best path, majority and share, from the model's weights with plain loops."""
+    import unicodedata
+
+    docs = read(spark, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out()), sample_docs=50)
+    rows = [(r["doc_id"], r["text"]) for r in docs.limit(1000).collect()][:60] + [(10**6, "Жук the house жук 漢字 la maison"), (10**6 + 1, None), (10**6 + 2, "12")]
+    script_of = {}
+    for name, a, b in language_id.SCRIPT_RANGES:
+        script_of |= dict.fromkeys(range(a, b + 1), language_id.SCRIPTS.index(name))
+    bucket = lambda x: ((x ^ (x >> 29)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - language_id.BUCKET_BITS)
+    k, m = 0x9DDFEA08EB382D69, 2**64
+
+    def plain(text):
+        text = text or ""
+        low = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in text]
+        low = [x if unicodedata.category(c)[0] == "L" else 0 for x, c in zip(low, text)]
+        low = [0, 0, *low, 0, 0]
+        words, i = [], 2
+        while i < len(low) - 2:
+            if not low[i]:
+                i += 1
+                continue
+            j = i
+            while low[j]:
+                j += 1
+            score = np.zeros(len(model.languages))
+            for p in range(i, j):
+                before, after = low[p - 1], low[p + 1]
+                three = ((before * k + low[p]) * k + after) * k % m
+                five = ((three + (low[p - 2] if before else 0)) * k + (low[p + 2] if after else 0)) * k + 1
+                score += model.weights[bucket(three)].astype(float) + model.weights[bucket(five % m)].astype(float)
+            allowed = model.uses[script_of.get(ord(text[i - 2]), 0)]
+            words.append((np.where(allowed, score, -1e4) if allowed.any() else score * 0, j - i))
+            i = j
+        if not words:
+            return "und", 0.0
+        value, back = words[0][0], []
+        for score, _ in words[1:]:
+            top = int(value.argmax())
+            stay = value >= value[top] - language_id.SWITCH_PENALTY
+            back.append([x if stay[x] else top for x in range(len(value))])
+            value = np.where(stay, value, value[top] - language_id.SWITCH_PENALTY) + score
+        at = int(value.argmax())
+        path = [at]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        letters = np.zeros(len(value))
+        for x, (_, n) in zip(reversed(path), words):
+            letters[x] += n
+        return model.languages[int(letters.argmax())], letters.max() / letters.sum()
+
+    found = {r["doc_id"]: r for r in language_id.identify(documents(spark, [(i, t, None, None) for i, t in rows]), model).collect()}
+    for i, t in rows:
+        pred, score = plain(t)
+        assert found[i]["lang_pred"] == pred and found[i]["score"] == pytest.approx(score, abs=0.02), i
+
+
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    packed = packing.pack(documents(spark, [(None, "the very same words", "en", "s")] * 20_000)).groupBy("bin_group").count().collect()
+    assert len(packed) > 15 and max(r["count"] for r in packed) < 1400
