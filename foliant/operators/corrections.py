@@ -1,18 +1,22 @@
 """The log of catalog corrections and what its operations do.
 
 An operation table is applied to a snapshot as a whole. Where several
-operations of one batch name the same book, they run in waves, one operation
-per book each, so that a later one sees what an earlier one did.
+operations of one batch name the same book, each sees what the one before it
+left: a window over the book's accepted operations gives the room before every
+move, so their number changes no plan. Whether a target is there, and whether a
+room is left empty, is asked of the whole batch. ``fixes`` writes the log rows.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators.graph import room_tree
+from foliant.operators.graph import follow_aliases, room_tree
 from foliant.operators.load import Tables, _first_free, retire_into
 from foliant.operators.resolve import pick_representative
 from foliant.session import materialize
@@ -155,34 +159,12 @@ def apply_rename(ops: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFram
     return renamed, judged.filter("reason IS NOT NULL").select("op_id", "reason").unionByName(same)
 
 
-def _waves(ops: DataFrame, by: str) -> tuple[DataFrame, int]:
-    numbered = materialize(ops.withColumn("wave", F.row_number().over(W.partitionBy(by).orderBy("op_id"))))
-    return numbered, numbered.agg(F.max("wave")).first()[0] or 0
-
-
 def _tree_members(tables: Tables, at: DataFrame) -> DataFrame:
     """Memberships of ``at(work_id, room)`` inside the room's tree."""
     tree = room_tree(tables["series"], at.select("room").distinct())
     return at.join(tree, "room").join(tables["members"], ["work_id", "series_id"]).select("work_id", "room", "series_id", "depth", "position", "provenance", "confidence")
 
 
-def _move(tables: Tables, moves: DataFrame) -> Tables:
-    """``moves(op_id, work_id, room, target)``: rooms of the works, their tagged threads, and rooms left without a live book."""
-    result = dict(tables)
-    m = moves.select("work_id", "room", "target")
-    threads = tables["threads"].join(m, "work_id", "left").withColumn(
-        "series_id", F.when(F.col("series_id") == F.col("room"), F.col("target")).otherwise(F.col("series_id")))
-    result["threads"] = threads.select(*tables["threads"].columns)
-    works = tables["works"].join(m, "work_id", "left").withColumn("series_id", F.coalesce("target", "series_id")).select(*tables["works"].columns)
-    result["works"] = materialize(works)
-    live = result["works"].filter("merged_into IS NULL").select(F.col("series_id").alias("room"))
-    last = moves.groupBy("room").agg(F.max_by(F.struct("target", "work_id"), "op_id").alias("m"))
-    kinds = tables["series"].select(F.col("series_id").alias("room"), "kind")
-    empty = last.join(live, "room", "left_anti").join(kinds, "room").select(
-        "room", F.col("m.target").alias("survivor"), F.when(F.col("kind") == "singleton", F.col("m.work_id")).alias("book"))
-    return retire_into(materialize(empty), result)
-
-
 def _named_targets(ops: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Targets of ops that name a series: by release id, by name, else new; ``(ops with target, new series)``."""
     key = T.series_key(F.col("new_name"))
@@ -214,40 +196,107 @@ def _add_series(tables: Tables, fresh: DataFrame) -> Tables:
     return {**tables, "series": back.unionByName(rows)}
 
 
+class Moves(NamedTuple):
+    """What a batch of moves did.
+
+    ``accepted(op_id, work_id, room, target, position, later)``: ``room`` is where the book stood before, ``later`` its next
+    accepted operation. ``removed`` are memberships with the operation that took them, ``prior`` where they stood at its target.
+    ``carried(op_id, thread_id, work_id)``: threads that followed the book. ``retired(op_id, room, target, survivor, book, parent)``:
+    rooms left empty, with the last operation that left them. ``created(op_id, series_id)``: series an operation made or revived.
+    """
+
+    tables: Tables
+    refusals: DataFrame
+    accepted: DataFrame
+    removed: DataFrame
+    carried: DataFrame
+    retired: DataFrame
+    created: DataFrame
+    moved: Tables
+
+
+def _judged_moves(ops: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(usable(op_id, work_id, room, target, position), refusals, new series)``; ``room`` is the book's room before the operation.
+
+    A usable operation that names the room the book is in changes nothing, so the target of the usable one before it is always
+    the current room.
+    """
+    named, fresh = _named_targets(ops, tables["series"])
+    columns = ["op_id", "work_id", "series_id", "new_name", "position", "name_key", "target"]
+    given = ops.filter("series_id IS NOT NULL").withColumn("target", F.col("series_id")).withColumn("name_key", F.lit("-"))
+    asked = given.select(*columns).unionByName(named.select(*columns))
+    target = tables["series"].select(F.col("series_id").alias("target"), F.col("kind").alias("t_kind"), F.col("parent_id").alias("t_parent"),
+                                     F.col("dissolved").alias("t_dissolved"), F.col("merged_into").alias("t_merged"))
+    state = tables["works"].select("work_id", F.col("series_id").alias("start"), F.col("merged_into").alias("w_merged"), F.lit(True).alias("known"))
+    reason = (
+        F.when(F.col("known").isNull(), "unknown_work").when(F.col("w_merged").isNotNull(), "merged_work")
+        .when(F.col("series_id").isNotNull() == F.col("new_name").isNotNull(), "pick_one").when(F.col("name_key") == "", "no_name")
+        .when(F.col("series_id").isNotNull() & F.col("t_kind").isNull(), "unknown_series").when(F.col("series_id").isNotNull() & F.col("t_merged").isNotNull(), "merged_series")
+        .when(F.col("t_kind") == "singleton", "singleton").when(F.col("t_parent").isNotNull(), "sub_series").when(F.col("t_dissolved"), "dissolved"))
+    judged = materialize(asked.join(state, "work_id", "left").join(target, "target", "left").withColumn("reason", reason))
+    order = W.partitionBy("work_id").orderBy("op_id")
+    usable = judged.filter("reason IS NULL").withColumn("room", F.coalesce(F.lag("target").over(order), "start"))
+    same = usable.filter("target = room").select("op_id", F.lit("same_room").alias("reason"))
+    return usable.select("op_id", "work_id", "room", "target", "position"), judged.filter("reason IS NOT NULL").select("op_id", "reason").unionByName(same), fresh
+
+
+def set_series_moves(ops: DataFrame, tables: Tables) -> Moves:
+    """R04 with what its log needs; ``ops(op_id, work_id, series_id, new_name, position)``."""
+    usable, refusals, fresh = _judged_moves(ops, tables)
+    accepted = materialize(usable.filter("target <> room").withColumn("later", F.lead("op_id").over(W.partitionBy("work_id").orderBy("op_id"))))
+    made = fresh.join(accepted.select(F.col("target").alias("series_id")), "series_id", "left_semi")
+    created = accepted.join(made.select(F.col("series_id").alias("target")), "target").groupBy("target").agg(F.min("op_id").alias("op_id")).select(
+        "op_id", F.col("target").alias("series_id"))
+    result = _add_series(tables, made)
+    result["series"] = materialize(result["series"])
+
+    # The first operation that left a room, or came to one, took what was there.
+    left = materialize(accepted.groupBy("work_id", "room").agg(F.min("op_id").alias("op_id")))
+    inside = _tree_members(result, left.select("work_id", "room")).join(left, ["work_id", "room"]).withColumn("prior", F.lit(False))
+    came = accepted.groupBy("work_id", F.col("target").alias("series_id")).agg(F.min("op_id").alias("op_id"))
+    held = tables["members"].join(came, ["work_id", "series_id"]).withColumn("prior", F.lit(True))
+    taken = ["series_id", "work_id", "op_id", "prior", "position", "provenance", "confidence"]
+    removed = materialize(inside.select(*taken).unionByName(held.select(*taken)).groupBy("series_id", "work_id").agg(
+        F.min(F.struct(*taken[2:])).alias("m")).select("series_id", "work_id", "m.*"))
+    last = accepted.filter("later IS NULL")
+    added = last.select(F.col("target").alias("series_id"), "work_id", "position", F.lit(OVERRIDE).alias("provenance"), F.lit(HIGH).alias("confidence"))
+    result["members"] = tables["members"].join(removed, ["series_id", "work_id"], "left_anti").select(*tables["members"].columns).unionByName(
+        added.select(*tables["members"].columns))
+
+    # A thread about the book joins it at the first operation that leaves the thread's room, and follows to the end.
+    joined = tables["threads"].join(left.select("work_id", F.col("room").alias("series_id"), F.col("op_id").alias("since")), ["work_id", "series_id"])
+    carried = joined.select("thread_id", "work_id", "since").join(accepted.select("op_id", "work_id"), "work_id").filter("op_id >= since").select(
+        "op_id", "thread_id", "work_id")
+    home = last.select("work_id", F.col("target").alias("home"))
+    followers = joined.select("thread_id", "work_id").join(home, "work_id").select("thread_id", "home")
+    result["threads"] = tables["threads"].join(followers, "thread_id", "left").withColumn("series_id", F.coalesce("home", "series_id")).select(*tables["threads"].columns)
+    result["works"] = materialize(tables["works"].join(home, "work_id", "left").withColumn("series_id", F.coalesce("home", "series_id")).select(*tables["works"].columns))
+
+    live = result["works"].filter("merged_into IS NULL").select(F.col("series_id").alias("room"))
+    leaving = accepted.groupBy("room").agg(F.max(F.struct("op_id", "target", "work_id")).alias("m"))
+    kinds = result["series"].select(F.col("series_id").alias("room"), "kind", F.col("parent_id").alias("parent"))
+    empty = materialize(leaving.join(live, "room", "left_anti").join(kinds, "room").select(
+        "m.op_id", "room", "m.target", F.when(F.col("kind") == "singleton", F.col("m.work_id")).alias("book"), "parent"))
+    # Its target may be left empty too, by a later operation each time.
+    ends = follow_aliases(empty.select(F.col("room").alias("loser"), F.col("target").alias("survivor"))).select(F.col("loser").alias("room"), "survivor")
+    retired = materialize(empty.join(ends, "room"))
+    return Moves(retire_into(retired, result), refusals, accepted, removed, carried, retired, created, result)
+
+
 def apply_set_series(ops: DataFrame, tables: Tables) -> tuple[Tables, DataFrame]:
     """``ops(op_id, work_id, series_id, new_name, position)``; move each book to the series given or named.
 
     Memberships in the old room's tree go, an override membership comes, tagged threads follow, an emptied room is retired.
     """
-    numbered, count = _waves(ops, "work_id")
-    refusals = None
-    for wave in range(1, count + 1):
-        now = numbered.filter(F.col("wave") == wave)
-        named, fresh = _named_targets(now, tables["series"])
-        given = now.filter("series_id IS NOT NULL").withColumn("target", F.col("series_id")).withColumn("name_key", F.lit("-"))
-        asked = given.select("op_id", "work_id", "series_id", "new_name", "position", "name_key", "target").unionByName(
-            named.select("op_id", "work_id", "series_id", "new_name", "position", "name_key", "target"))
-        target = tables["series"].select(F.col("series_id").alias("target"), F.col("kind").alias("t_kind"), F.col("parent_id").alias("t_parent"),
-                                         F.col("dissolved").alias("t_dissolved"), F.col("merged_into").alias("t_merged"))
-        state = tables["works"].select("work_id", F.col("series_id").alias("room"), F.col("merged_into").alias("w_merged"), F.lit(True).alias("known"))
-        reason = (
-            F.when(F.col("known").isNull(), "unknown_work").when(F.col("w_merged").isNotNull(), "merged_work")
-            .when(F.col("series_id").isNotNull() == F.col("new_name").isNotNull(), "pick_one").when(F.col("name_key") == "", "no_name")
-            .when(F.col("series_id").isNotNull() & F.col("t_kind").isNull(), "unknown_series").when(F.col("series_id").isNotNull() & F.col("t_merged").isNotNull(), "merged_series")
-            .when(F.col("t_kind") == "singleton", "singleton").when(F.col("t_parent").isNotNull(), "sub_series").when(F.col("t_dissolved"), "dissolved")
-            .when(F.col("target") == F.col("room"), "same_room"))
-        judged = materialize(asked.join(state, "work_id", "left").join(target, "target", "left").withColumn("reason", reason))
-        bad = judged.filter("reason IS NOT NULL").select("op_id", "reason")
-        refusals = bad if refusals is None else refusals.unionByName(bad)
-        good = judged.filter("reason IS NULL")
-        tables = _add_series(tables, fresh.join(good.select(F.col("target").alias("series_id")), "series_id", "left_semi"))
-        old = _tree_members(tables, good.select("work_id", "room")).select("series_id", "work_id")
-        gone = old.unionByName(good.select(F.col("target").alias("series_id"), "work_id"))
-        added = good.select(F.col("target").alias("series_id"), "work_id", "position", F.lit(OVERRIDE).alias("provenance"), F.lit(HIGH).alias("confidence"))
-        tables["members"] = materialize(tables["members"].join(gone, ["series_id", "work_id"], "left_anti").select(*tables["members"].columns).unionByName(
-            added.select(*tables["members"].columns)))
-        tables = _move(tables, good.select("op_id", "work_id", "room", "target"))
-    return tables, refusals
+    done = set_series_moves(ops, tables)
+    return done.tables, done.refusals
+
+
+def placed_members(at: DataFrame, tables: Tables) -> DataFrame:
+    """``(work_id, room, placed)``: the membership a room's page places the book by, for ``at(work_id, room)``."""
+    named = _tree_members(tables, at).join(tables["series"].select("series_id", "name"), "series_id")
+    return named.groupBy("work_id", "room").agg(
+        F.max_by(F.struct("series_id", "work_id", "position", "provenance", "confidence"), F.struct("depth", "name", "series_id")).alias("placed"))
 
 
 def apply_set_position(ops: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
@@ -258,11 +307,9 @@ def apply_set_position(ops: DataFrame, tables: Tables) -> tuple[DataFrame, DataF
         "reason", F.when(F.col("room").isNull(), "unknown_work").when(F.col("w_merged").isNotNull(), "merged_work").when(F.col("kind").isNull(), "unknown_series")
         .when(F.col("s_merged").isNotNull(), "merged_series").when(F.col("kind") == "singleton", "singleton").when(F.col("room") != F.col("series_id"), "not_in_series"))
     last = judged.filter("reason IS NULL").groupBy("work_id", F.col("series_id").alias("room")).agg(F.max(F.struct("op_id", F.col("position").alias("new_position"))).alias("m"))
-    held = _tree_members(tables, last.select("work_id", "room"))
-    named = held.join(tables["series"].select("series_id", "name"), "series_id")
-    placed = named.groupBy("work_id", "room").agg(F.max_by("series_id", F.struct("depth", "name", "series_id")).alias("placed"))
+    placed = placed_members(last.select("work_id", "room"), tables)
     change = last.join(placed, ["work_id", "room"], "left").select(
-        "work_id", F.coalesce("placed", "room").alias("series_id"), F.col("m.new_position").alias("position"), F.lit(OVERRIDE).alias("provenance"), F.lit(HIGH).alias("confidence"))
+        "work_id", F.coalesce("placed.series_id", "room").alias("series_id"), F.col("m.new_position").alias("position"), F.lit(OVERRIDE).alias("provenance"), F.lit(HIGH).alias("confidence"))
     members = tables["members"]
     result = members.join(change, ["series_id", "work_id"], "left_anti").select(*members.columns).unionByName(change.select(*members.columns))
     return result, judged.filter("reason IS NOT NULL").select("op_id", "reason")
@@ -361,99 +408,154 @@ def apply_split(ops: DataFrame, tables: Tables) -> tuple[Tables, DataFrame]:
 
 _MEMBER = "struct<series_id:string,work_id:string,position:double,provenance:string,confidence:string>"
 _BOOK = f"work:string,singleton:string,old_members:array<{_MEMBER}>,moved_threads:array<bigint>"
-SNAPSHOT = (f"struct<old_name:string,name:string,old_room:string,member_series:string,position:double,prior:{_MEMBER},{_BOOK},books:array<struct<{_BOOK}>>,"
-            "retired:struct<parent:string,threads:array<bigint>,tagged:array<bigint>,works:array<string>,repointed:array<string>>>")
+SNAPSHOT = (f"struct<old_name:string,name:string,old_room:string,created_series:string,member_series:string,position:double,prior:{_MEMBER},prior_target_member:{_MEMBER},{_BOOK},"
+            f"books:array<struct<{_BOOK}>>,retired:struct<parent:string,threads:array<bigint>,tagged:array<bigint>,works:array<string>,repointed:array<string>>>")
+IMAGE = {"kind": "string", "work_id": "string", "series_id": "string", "thread_id": "bigint", "position": "double", "provenance": "string", "confidence": "string",
+         "expected": "string", "name": "string"}
+
+
+def image(rows: DataFrame, kind: str, **values) -> DataFrame:
+    """Before-image rows of one kind; a value not given is null.
+
+    * ``book``: ``work_id`` goes back to ``series_id`` while it stands in ``expected``;
+    * ``member``: a membership to be there again; ``placed``: the one whose ``position`` was set;
+    * ``thread``: one that moved with ``work_id``;
+    * ``name``: ``series_id`` was called ``name`` and is called ``expected``;
+    * ``created``: a series that falls to ``expected`` if nothing is left in it;
+    * ``retired``: the room ``series_id`` went to ``expected``, out of the parent ``name``; ``retired_thread``, ``retired_tag``, ``retired_work``
+      and ``retired_pointer`` came from the room ``name``, was tagged there, lived there, pointed there.
+    """
+    values = {"kind": F.lit(kind), **{k: F.col(v) if isinstance(v, str) else v for k, v in values.items()}}
+    return rows.select("correction_id", *[values.get(c, F.lit(None)).cast(t).alias(c) for c, t in IMAGE.items()])
 
 
-def _pieces(rows: DataFrame) -> DataFrame:
-    """Per moved book of a fix: where it should stand now and where it goes back to."""
+def images_of(log: DataFrame) -> DataFrame:
+    """Before-images of a log whose rows carry a JSON ``snapshot``."""
+    rows = log.select("correction_id", "op", F.col("work_id").cast("string"), F.col("series_id").cast("string"), F.from_json("snapshot", SNAPSHOT).alias("s"))
     moved = rows.filter("op IN ('set_series', 'remove_from_series', 'reject_series')")
     one = F.array(F.struct(F.col("work_id").alias("work"), F.col("s.singleton").alias("singleton"), F.col("s.old_members").alias("old_members"), F.col("s.moved_threads").alias("moved_threads")))
-    books = F.when(F.col("op") == "reject_series", F.col("s.books")).otherwise(one)
+    books = moved.select("*", F.explode(F.when(F.col("op") == "reject_series", F.col("s.books")).otherwise(one)).alias("b"))
     set_op = F.col("op") == "set_series"
-    return moved.select("correction_id", "op", "series_id", F.col("s.old_room").alias("old_room"), F.explode(books).alias("b")).select(
-        "correction_id", "op", F.col("b.work").alias("work_id"), F.when(set_op, F.col("series_id")).otherwise(F.col("b.singleton")).alias("expected"),
-        F.when(set_op, F.col("old_room")).otherwise(F.col("series_id")).alias("home"), F.col("b.old_members").alias("old_members"), F.col("b.moved_threads").alias("moved_threads"))
-
-
-def _piece_problems(pieces: DataFrame, rows: DataFrame, tables: Tables) -> DataFrame:
-    """``(correction_id, problem)`` of fixes whose books, memberships or threads changed since."""
+    held = books.select("correction_id", F.explode("b.old_members").alias("m")).unionByName(
+        rows.filter("op = 'set_series' AND s.prior_target_member IS NOT NULL").select("correction_id", F.col("s.prior_target_member").alias("m"))).unionByName(
+        rows.filter("op = 'set_position' AND s.prior IS NOT NULL").select("correction_id", F.col("s.prior").alias("m"))).select("correction_id", "m.*")
+    sent = books.select("correction_id", F.col("b.work").alias("work_id"), F.explode("b.moved_threads").alias("thread_id"))
+    back = rows.filter("op = 'set_series' AND s.retired IS NOT NULL").select("correction_id", "series_id", F.col("s.old_room").alias("room"), "s.retired.*")
+    parts = [
+        image(books, "book", work_id="b.work", series_id=F.when(set_op, F.col("s.old_room")).otherwise(F.col("series_id")),
+              expected=F.when(set_op, F.col("series_id")).otherwise(F.col("b.singleton"))),
+        image(held, "member", **{c: c for c in ("series_id", "work_id", "position", "provenance", "confidence")}),
+        image(sent, "thread", work_id="work_id", thread_id="thread_id"),
+        image(rows.filter("op = 'set_position'"), "placed", work_id="work_id", series_id="s.member_series", position="s.position"),
+        image(rows.filter("op = 'rename_series'"), "name", series_id="series_id", name="s.old_name", expected="s.name"),
+        image(rows.filter("op = 'set_series' AND s.created_series IS NOT NULL"), "created", series_id="s.created_series", expected="s.old_room"),
+        image(back, "retired", series_id="room", expected="series_id", name="parent"),
+        image(back.withColumn("x", F.explode("threads")), "retired_thread", thread_id="x", name="room"),
+        image(back.withColumn("x", F.explode("tagged")), "retired_tag", thread_id="x", name="room"),
+        image(back.withColumn("x", F.explode("works")), "retired_work", work_id="x", name="room"),
+        image(back.withColumn("x", F.explode("repointed")), "retired_pointer", series_id="x", name="room")]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _kind(images: DataFrame, kind: str) -> DataFrame:
+    return images.filter(F.col("kind") == kind).drop("kind")
+
+
+def _image_problems(rows: DataFrame, images: DataFrame, tables: Tables) -> DataFrame:
+    """``(correction_id, problem)`` of fixes whose books, memberships, threads or rooms changed since."""
+    stale = lambda df: df.select("correction_id", F.lit("stale").alias("problem"))
+    books = _kind(images, "book").select("correction_id", "work_id", "expected").join(rows.select("correction_id", "op"), "correction_id")
     works = tables["works"].select("work_id", F.col("series_id").alias("room"), F.col("merged_into").alias("w_merged"))
     pages = tables["series"].select(F.col("series_id").alias("expected"), F.col("merged_into").alias("page_merged"))
-    lost = pieces.join(works, "work_id", "left").join(pages, "expected", "left").filter(
-        "room IS NULL OR w_merged IS NOT NULL OR page_merged IS NOT NULL OR NOT (room <=> expected)").select("correction_id", F.lit("stale").alias("problem"))
-    held = pieces.select("correction_id", F.explode("old_members").alias("m")).select("correction_id", "m.series_id", "m.work_id").join(
-        tables["members"].select("series_id", "work_id"), ["series_id", "work_id"], "left_semi").select("correction_id", F.lit("stale").alias("problem"))
-    sent = pieces.select("correction_id", "expected", F.explode("moved_threads").alias("thread_id"))
-    strayed = sent.join(tables["threads"].select("thread_id", F.col("series_id").alias("now_room")), "thread_id", "left").filter(
-        "NOT (now_room <=> expected)").select("correction_id", F.lit("stale").alias("problem"))
-    known = sent.select("correction_id", "thread_id").unionByName(rows.select("correction_id", F.explode("s.retired.threads").alias("thread_id")))
-    there = pieces.select("correction_id", "op", "expected", F.col("work_id").alias("book")).join(
+    crowd = tables["works"].filter("merged_into IS NULL").join(books.filter("op <> 'set_series'").select(F.col("expected").alias("series_id")).distinct(), "series_id").groupBy(
+        F.col("series_id").alias("expected")).agg(F.count("*").alias("crowd"))
+    lost = books.join(works, "work_id", "left").join(pages, "expected", "left").join(crowd, "expected", "left").filter(
+        "room IS NULL OR w_merged IS NOT NULL OR page_merged IS NOT NULL OR NOT (room <=> expected) OR (op <> 'set_series' AND crowd <> 1)")
+    again = _kind(images, "member").join(rows.filter("op <> 'set_position'").select("correction_id"), "correction_id", "left_semi").join(
+        tables["members"].select("series_id", "work_id"), ["series_id", "work_id"], "left_semi")
+    sent = _kind(images, "thread").select("correction_id", "work_id", "thread_id").join(books, ["correction_id", "work_id"]).select("correction_id", "expected", "thread_id")
+    gone = _kind(images, "retired")
+    taken = _kind(images, "retired_thread").select("correction_id", "thread_id").join(gone.select("correction_id", "expected"), "correction_id").select("correction_id", "expected", "thread_id")
+    strayed = sent.unionByName(taken).join(tables["threads"].select("thread_id", F.col("series_id").alias("now_room")), "thread_id", "left").filter("NOT (now_room <=> expected)")
+    there = books.select("correction_id", "op", "expected", F.col("work_id").alias("book")).join(
         tables["threads"].select("thread_id", F.col("series_id").alias("expected"), F.col("work_id").alias("tag")), "expected").filter("op <> 'set_series' OR tag = book")
-    started = there.join(known, ["correction_id", "thread_id"], "left_anti").select("correction_id", F.lit("new_discussion").alias("problem"))
-    return lost.unionByName(held).unionByName(strayed).unionByName(started)
+    started = there.join(sent.unionByName(taken).select("correction_id", "thread_id"), ["correction_id", "thread_id"], "left_anti").select(
+        "correction_id", F.lit("new_discussion").alias("problem"))
+    homes = _kind(images, "book").join(rows.filter("op = 'set_series'").select("correction_id"), "correction_id", "left_semi").select("correction_id", "series_id", "expected")
+    now = tables["series"].select("series_id", F.col("merged_into").alias("now_merged"), "dissolved", F.lit(True).alias("there"))
+    was = gone.select("correction_id", F.lit(True).alias("was_retired"))
+    moved = homes.join(now, "series_id", "left").join(was, "correction_id", "left").filter(
+        "there IS NULL OR CASE WHEN was_retired THEN NOT (now_merged <=> expected) ELSE now_merged IS NOT NULL OR dissolved END")
+    return stale(lost).unionByName(stale(again)).unionByName(stale(strayed)).unionByName(stale(moved)).unionByName(started)
 
 
-def revert(requests: DataFrame, log: DataFrame, tables: Tables) -> tuple[Tables, DataFrame, DataFrame]:
+def revert(requests: DataFrame, log: DataFrame, tables: Tables, images: DataFrame | None = None) -> tuple[Tables, DataFrame, DataFrame]:
     """``requests(correction_id)`` undone where still possible; ``(tables, log, refusals)``.
 
-    A log row carries a JSON ``snapshot`` of what it changed. It is undone only as the latest live fix of its subject and
-    only while the rows it left are as it left them; merges and splits never.
+    ``images`` are the before-images that ``fixes`` wrote; without them, a log row carries a JSON ``snapshot``. A fix is
+    undone only as the latest live one of its subject and only while the rows it left are as it left them; merges and splits never.
     """
-    rows = materialize(log.join(requests.select("correction_id").distinct(), "correction_id", "left_semi").withColumn("s", F.from_json("snapshot", SNAPSHOT)))
-    pieces = materialize(_pieces(rows))
+    asked = requests.select("correction_id").distinct()
+    rows = materialize(log.join(asked, "correction_id", "left_semi"))
+    images = materialize((images_of(rows) if images is None else images.join(asked, "correction_id", "left_semi")))
     latest = latest_per_subject(log).select("correction_id", F.lit(True).alias("latest"))
     works = tables["works"].select("work_id", F.col("series_id").alias("room"), F.col("merged_into").alias("w_merged"))
     series = tables["series"].select("series_id", F.col("name").alias("now_name"), F.col("merged_into").alias("s_merged"), "dissolved")
     members = tables["members"].select(F.col("series_id").alias("at"), "work_id", F.col("position").alias("now_position"), F.lit(True).alias("is_member"))
-    old = tables["series"].select(F.col("series_id").alias("old_room"), F.col("merged_into").alias("old_merged"), F.col("dissolved").alias("old_dissolved"))
-    at = F.when(F.col("op") == "set_position", F.col("s.member_series")).otherwise(F.col("series_id"))
+    placed = _kind(images, "placed").select("correction_id", F.col("series_id").alias("placed_at"), F.col("position").alias("set_to"))
+    called = _kind(images, "name").select("correction_id", F.col("expected").alias("called"))
+    op = F.col("op")
+    at = F.when(op == "set_position", F.col("placed_at")).otherwise(F.col("series_id"))
     joined = (
-        rows.withColumn("at", at).withColumn("old_room", F.col("s.old_room")).join(latest, "correction_id", "left").join(works, "work_id", "left")
-        .join(series, "series_id", "left").join(members, ["at", "work_id"], "left").join(old, "old_room", "left"))
-    op, gone = F.col("op"), F.col("w_merged").isNotNull() | F.col("room").isNull()
-    retired = F.col("s.retired").isNotNull()
-    old_changed = F.when(retired, ~F.col("old_merged").eqNullSafe(F.col("series_id"))).otherwise(F.coalesce("old_dissolved", F.lit(True)) | F.col("old_merged").isNotNull())
-    room_gone = F.col("s_merged").isNotNull() | F.col("now_name").isNull()
+        rows.join(placed, "correction_id", "left").join(called, "correction_id", "left").withColumn("at", at).join(latest, "correction_id", "left")
+        .join(works, "work_id", "left").join(series, "series_id", "left").join(members, ["at", "work_id"], "left"))
+    gone, room_gone = F.col("w_merged").isNotNull() | F.col("room").isNull(), F.col("s_merged").isNotNull() | F.col("now_name").isNull()
     stale = (
-        ((op == "rename_series") & (room_gone | ~F.col("now_name").eqNullSafe(F.col("s.name"))))
-        | ((op == "set_position") & (gone | (F.col("room") != F.col("series_id")) | F.col("is_member").isNull() | ~F.col("now_position").eqNullSafe(F.col("s.position"))))
-        | ((op == "set_series") & (F.col("is_member").isNull() | old_changed)) | ((op == "remove_from_series") & (room_gone | F.col("dissolved")))
+        ((op == "rename_series") & (room_gone | ~F.col("now_name").eqNullSafe(F.col("called"))))
+        | ((op == "set_position") & (gone | (F.col("room") != F.col("series_id")) | F.col("is_member").isNull() | ~F.col("now_position").eqNullSafe(F.col("set_to"))))
+        | ((op == "set_series") & F.col("is_member").isNull()) | ((op == "remove_from_series") & (room_gone | F.col("dissolved")))
         | ((op == "reject_series") & (room_gone | ~F.col("dissolved"))) | ((op == "veto_genre") & gone))
-    problems = _piece_problems(pieces, rows, tables).groupBy("correction_id").agg(F.max("problem").alias("problem"))
+    problems = _image_problems(rows, images, tables).groupBy("correction_id").agg(F.max("problem").alias("problem"))
     reason = (
         F.when(~op.isin(*UNDOABLE), "not_undoable").when(F.col("reverted"), "already_undone").when(F.col("latest").isNull(), "later_fix")
         .when(F.coalesce(stale, F.lit(True)), "stale").otherwise(F.col("problem")))
-    judged = materialize(joined.join(problems, "correction_id", "left").withColumn("reason", reason).select("correction_id", "op", "work_id", "series_id", "s", "at", "reason"))
+    judged = materialize(joined.join(problems, "correction_id", "left").withColumn("reason", reason).select("correction_id", "op", "work_id", "series_id", "at", "reason"))
     good = judged.filter("reason IS NULL")
-    undone = pieces.join(good.select("correction_id"), "correction_id", "left_semi")
-    back = good.filter("op = 'set_series' AND s.retired IS NOT NULL").select(F.col("s.old_room").alias("old_room"), "s.retired")
+    undone = materialize(images.join(good.select("correction_id", "op"), "correction_id"))
+    books, back = _kind(undone, "book"), _kind(undone, "retired")
 
     result = dict(tables)
-    names = good.filter("op = 'rename_series'").select("series_id", F.col("s.old_name").alias("old_name"))
-    pages = undone.filter("op <> 'set_series'").select(F.col("expected").alias("series_id"), F.col("home").alias("page_home"))
+    names = _kind(undone, "name").select("series_id", F.col("name").alias("old_name"))
+    pages = books.filter("op <> 'set_series'").select(F.col("expected").alias("series_id"), F.col("series_id").alias("page_home"))
     reopened = good.filter("op = 'reject_series'").select("series_id", F.lit(True).alias("reopened"))
-    revived = back.select(F.col("old_room").alias("series_id"), F.col("retired.parent").alias("old_parent"), F.lit(True).alias("revived"))
-    followers = back.select(F.explode("retired.repointed").alias("series_id"), F.col("old_room").alias("points_to"))
-    result["series"] = (
+    revived = back.select("series_id", F.col("name").alias("old_parent"), F.lit(True).alias("revived"))
+    followers = _kind(undone, "retired_pointer").select("series_id", F.col("name").alias("points_to"))
+    returned = (
         tables["series"].join(names, "series_id", "left").join(pages, "series_id", "left").join(reopened, "series_id", "left").join(revived, "series_id", "left")
         .join(followers, "series_id", "left").withColumn("name", F.coalesce("old_name", "name"))
         .withColumn("dissolved", F.col("dissolved") & F.col("reopened").isNull())
         .withColumn("merged_into", F.when(F.col("revived").isNull(), F.coalesce("page_home", "points_to", "merged_into")))
         .withColumn("parent_id", F.when(F.col("revived"), F.col("old_parent")).otherwise(F.col("parent_id"))).select(*tables["series"].columns))
-    homes = undone.select("work_id", "home").unionByName(back.select(F.explode("retired.works").alias("work_id"), F.col("old_room").alias("home"))).groupBy("work_id").agg(F.min("home").alias("home"))
+    homes = books.select("work_id", F.col("series_id").alias("home")).unionByName(
+        _kind(undone, "retired_work").select("work_id", F.col("name").alias("home"))).groupBy("work_id").agg(F.min("home").alias("home"))
     result["works"] = tables["works"].join(homes, "work_id", "left").withColumn("series_id", F.coalesce("home", "series_id")).select(*tables["works"].columns)
-    carried = undone.select(F.explode("moved_threads").alias("thread_id"), "home").unionByName(
-        back.select(F.explode("retired.threads").alias("thread_id"), F.col("old_room").alias("home"))).groupBy("thread_id").agg(F.min("home").alias("home"))
-    untagged = back.select(F.explode("retired.tagged").alias("thread_id"), F.lit(True).alias("untag"))
+    sent = _kind(undone, "thread").select("correction_id", "work_id", "thread_id").join(books.select("correction_id", "work_id", F.col("series_id").alias("home")), ["correction_id", "work_id"])
+    carried = sent.select("thread_id", "home").unionByName(
+        _kind(undone, "retired_thread").select("thread_id", F.col("name").alias("home"))).groupBy("thread_id").agg(F.min("home").alias("home"))
+    untagged = _kind(undone, "retired_tag").select("thread_id", F.lit(True).alias("untag"))
     result["threads"] = tables["threads"].join(carried, "thread_id", "left").join(untagged, "thread_id", "left").withColumn(
         "series_id", F.coalesce("home", "series_id")).withColumn("work_id", F.when(F.col("untag").isNull(), F.col("work_id"))).select(*tables["threads"].columns)
+    # A series an undone move created goes back to the old room if nothing is left in it.
+    held = result["works"].filter("merged_into IS NULL").select("series_id").unionByName(result["threads"].select("series_id"))
+    bare = _kind(undone, "created").select("series_id", F.col("expected").alias("falls_to")).join(held, "series_id", "left_anti")
+    result["series"] = returned.join(bare, "series_id", "left").withColumn("merged_into", F.coalesce("falls_to", "merged_into")).select(*tables["series"].columns)
     columns, types = tables["members"].columns, dict(tables["members"].dtypes)
     dropped = good.filter("op IN ('set_series', 'set_position')").select(F.col("at").alias("series_id"), "work_id")
-    restored = undone.select(F.explode("old_members").alias("m")).select("m.*").unionByName(
-        good.filter("op = 'set_position' AND s.prior IS NOT NULL").select("s.prior.*"))
     result["members"] = tables["members"].join(dropped, ["series_id", "work_id"], "left_anti").select(*columns).unionByName(
-        restored.select(*[F.col(c).cast(types[c]).alias(c) for c in columns]))
+        _kind(undone, "member").select(*[F.col(c).cast(types[c]).alias(c) for c in columns]))
     done = good.select("correction_id", F.lit(True).alias("done"))
     new_log = log.join(done, "correction_id", "left").withColumn("reverted", F.col("reverted") | F.coalesce("done", F.lit(False))).select(*log.columns)
     return result, new_log, judged.filter("reason IS NOT NULL").select("correction_id", "reason")

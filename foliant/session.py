@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and continue from there.
+
+    For snapshots that many further steps build on. A checkpoint takes over the size estimate of its plan, a
+    product over all joined tables, which grows from step to step until planning takes longer than the work;
+    a written table's size is known.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Apply ``step`` until ``changed(old, new)`` is empty, checkpointing every round.
 
