@@ -30,23 +30,71 @@ def _apart(a: frozenset, b: frozenset) -> bool:
     return bool(a) and bool(b) and a.isdisjoint(b)
 
 
-def _place(state: list, row) -> list[tuple]:
-    """First cluster whose every member agrees, else a new one.
+class Clusters:
+    """The clusters of one block part in the order they were opened.
 
-    A cluster keeps its least item and title sets only: a set that holds another
-    one can never object where the smaller does not.
+    A cluster keeps its least item and title sets only: a set that holds another one can never
+    object where the smaller does not. Two inverted indexes name the clusters with a set that
+    holds an item or a title; a row with titles fits only those, and clusters without any title.
     """
-    items, titles = frozenset(row.items), frozenset(row.titles)
-    for survivor, item_sets, title_sets in state:
-        if not any(_apart(items, s) for s in item_sets) and not any(_apart(titles, s) for s in title_sets):
-            for mine, held in ((items, item_sets), (titles, title_sets)):
-                if mine and not any(s <= mine for s in held):
-                    held[:] = [s for s in held if not mine <= s] + [mine]
-            break
-    else:
-        survivor = row.lead
-        state.append((survivor, [items] if items else [], [titles] if titles else []))
-    return [(row.author, row.title_key, row.lead, survivor)]
+
+    def __init__(self) -> None:
+        self.survivors: list = []
+        self.sets: tuple[list, list] = ([], [])  # items, titles: one list of sets a cluster
+        self.holders: tuple[dict, dict] = ({}, {})
+        self.free: tuple[set, set] = (set(), set())  # clusters without a set
+
+    def _candidates(self, which: int, mine: frozenset):
+        """Clusters that may agree on items or titles; None for all."""
+        if not mine:
+            return None
+        return self.free[which].union(*(self.holders[which].get(x, ()) for x in mine))
+
+    def place(self, items: frozenset, titles: frozenset, lead):
+        """The survivor of the first cluster whose every member agrees, else ``lead`` of a new one."""
+        named = [c for c in (self._candidates(0, items), self._candidates(1, titles)) if c is not None]
+        ahead = range(len(self.survivors)) if not named else sorted(named[0].intersection(*named[1:]))
+        at = next((k for k in ahead if not any(_apart(items, x) for x in self.sets[0][k]) and not any(_apart(titles, x) for x in self.sets[1][k])), None)
+        if at is None:
+            at = len(self.survivors)
+            self.survivors.append(lead)
+            for which in (0, 1):
+                self.sets[which].append([])
+                self.free[which].add(at)
+        for which, mine in ((0, items), (1, titles)):
+            held = self.sets[which][at]
+            if mine and not any(x <= mine for x in held):
+                held[:] = [x for x in held if not mine <= x] + [mine]
+                self.free[which].discard(at)
+                for x in mine:
+                    self.holders[which].setdefault(x, set()).add(at)
+        return self.survivors[at]
+
+
+def _place(state: Clusters, row) -> list[tuple]:
+    return [(row.author, row.title_key, row.lead, state.place(frozenset(row.items), frozenset(row.titles), row.lead))]
+
+
+def _parts(mixed: DataFrame) -> DataFrame:
+    """``mixed`` rows of evidence with ``part``: rows of different parts of a block always disagree.
+
+    A cluster's members all agree with each other, so no cluster spans parts and parts are placed by
+    themselves. Rows agree through a common title; one without titles agrees through a common item, or with
+    rows without items; one with neither agrees with all. Parts are the components of these links.
+    """
+    key = ["author", "title_key"]
+    no_items, no_titles = F.size("items") == 0, F.size("titles") == 0
+    kinds = mixed.groupBy(*key).agg(F.bool_or(no_items & no_titles).alias("bare"), F.bool_or(no_titles).alias("untitled"))
+    tagged = lambda column, tag: F.transform(column, lambda x: F.concat(F.lit(tag), x))
+    none = F.array().cast("array<string>")
+    links = F.when(F.col("bare"), F.array(F.lit("*"))).otherwise(F.concat(
+        tagged("titles", "t"), F.when(F.col("untitled"), tagged("items", "i")).otherwise(none),
+        F.when(F.col("untitled") & (no_items | no_titles), F.array(F.lit("*"))).otherwise(none)))
+    row = F.concat(F.lit("r"), "lead")
+    edges = mixed.join(kinds, key).select(row.alias("a"), "author", "title_key", F.explode(links).alias("link")).select(
+        "a", F.concat_ws("\x1f", F.lit("t"), "author", "title_key", "link").alias("b"))
+    part = connected_components(mixed.select(row.alias("id")), edges).select(F.col("id").alias("_row"), F.col("cluster").alias("part"))
+    return mixed.join(part, row == F.col("_row")).drop("_row")
 
 
 def find_duplicates(works: DataFrame, kg_links: DataFrame, edition_keys: DataFrame) -> DataFrame:
@@ -54,8 +102,9 @@ def find_duplicates(works: DataFrame, kg_links: DataFrame, edition_keys: DataFra
 
     ``works(work_id, author, title_key, kind, popularity)``, ``kg_links(work_id, item)``, ``edition_keys(work_id, tkey)``.
     Works of a block with the same item and title sets always share a cluster, so a block first shrinks to
-    its distinct evidence (combined map-side); the greedy pass then streams that evidence in rank order. Works
-    with their evidence are written once, because the pass and the way back both read them.
+    its distinct evidence (combined map-side). Blocks fall into parts that never share a cluster; the greedy pass
+    streams the evidence of each part in rank order. Works with their evidence are written once, because the
+    pass and the way back both read them.
     """
     named = works.filter("author IS NOT NULL AND kind <> 'collection' AND title_key <> ''")
     crowded = named.groupBy("author", "title_key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -75,7 +124,7 @@ def find_duplicates(works: DataFrame, kg_links: DataFrame, edition_keys: DataFra
     # A block whose works all carry the same evidence is one cluster; only the others are placed in order.
     mixed = evidence.groupBy("author", "title_key").agg(F.count("*").alias("n")).filter("n > 1").select("author", "title_key")
     alike = evidence.join(mixed, ["author", "title_key"], "left_anti").select("author", "title_key", "lead", F.col("lead").alias("survivor"))
-    placed = ordered_fold(evidence.join(mixed, ["author", "title_key"], "left_semi"), ["author", "title_key"], ["o1", "o2", "o3", "lead"], list, _place,
+    placed = ordered_fold(_parts(evidence.join(mixed, ["author", "title_key"], "left_semi")), ["author", "title_key", "part"], ["o1", "o2", "o3", "lead"], Clusters, _place,
                           "author string, title_key string, lead string, survivor string").unionByName(alike)
     led = evidence.select("author", "title_key", "items", "titles", "lead").join(placed, ["author", "title_key", "lead"])
     return ranked.join(led, ["author", "title_key", "items", "titles"]).filter("work_id <> survivor").select(

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -18,13 +19,19 @@ def pairs(df):
     return {tuple(r) for r in df.collect()}
 
 
-def test_duplicates_match_the_greedy_model(spark):
+@pytest.mark.parametrize("n_titles, share, bare, n_items", [(5, 0.35, True, 4), (60, 0.03, False, 40), (40, 0.03, True, 40), (30, 0.05, False, 3)])
+def test_duplicates_match_the_greedy_model(spark, n_titles, share, bare, n_items):
+    """Few and many titles: blocks that hold together, and blocks that fall into parts."""
     rng = random.Random(3)
     works, items, keys = [], [], []
     for i in range(160):
         works.append((f"OL{i}W", rng.choice("ab"), rng.choice(["dune", "saga"]), "single", rng.randrange(4)))
-        items += [(f"OL{i}W", f"Q{q}") for q in range(4) if rng.random() < 0.2]
-        keys += [(f"OL{i}W", f"t{t}") for t in range(5) if rng.random() < 0.35]
+        mine = [(f"OL{i}W", f"Q{q}") for q in range(n_items) if rng.random() < 0.2 / n_items * 4]
+        named = [(f"OL{i}W", f"t{t}") for t in range(n_titles) if rng.random() < share]
+        if not bare and not mine and not named:
+            named = [(f"OL{i}W", f"t{rng.randrange(n_titles)}")]
+        items += mine
+        keys += named
     found = pairs(E.find_duplicates(spark.createDataFrame(works, "work_id string, author string, title_key string, kind string, popularity int"),
                                     spark.createDataFrame(items, "work_id string, item string"), spark.createDataFrame(keys, "work_id string, tkey string")))
     item_of, keys_of, groups = defaultdict(set), defaultdict(set), defaultdict(list)

@@ -125,6 +125,21 @@ def test_a_hot_block_of_alike_works_is_one_cluster(spark):
     assert len(found) == 398 and {s for _, s in found} == {"OL4W"}
 
 
+def test_a_hot_mixed_block_is_placed_in_parts(spark):
+    """One author and title for all: works of different edition titles are placed by different keys, the result is the model's."""
+    n = 600
+    works = spark.createDataFrame([(f"OL{i}W", "a", "poems", "single", i % 7) for i in range(1, n + 1)], "work_id string, author string, title_key string, kind string, popularity int")
+    keys = spark.createDataFrame([(f"OL{i}W", f"volume {i % 150}") for i in range(1, n + 1)] + [(f"OL{i}W", f"extra {i}") for i in range(1, n + 1)], "work_id string, tkey string")
+    found = pairs(E.find_duplicates(works, spark.createDataFrame([], "work_id string, item string"), keys))
+    best = {}
+    for i in range(1, n + 1):
+        best[i % 150] = min(best.get(i % 150, (1, 0)), (-(i % 7), i))
+    assert found == {(f"OL{i}W", f"OL{best[i % 150][1]}W") for i in range(1, n + 1) if best[i % 150][1] != i}
+    evidence = spark.createDataFrame([("a", "poems", [], [f"volume {i % 150}", f"extra {i}"], f"OL{i}W") for i in range(1, n + 1)],
+                                     "author string, title_key string, items array<string>, titles array<string>, lead string")
+    assert E._parts(evidence).groupBy("part").count().groupBy("count").count().collect()[0][:] == (4, 150)
+
+
 def test_slugs_of_a_hot_base_skip_taken_numbers(spark):
     rows = [(f"i{i:05d}", "Weir") for i in range(6000)] + [(f"z{n}", f"Weir {n}") for n in (2, 3, 4100, 5000, 9999)]
     found = dict(pairs(L.assign_slugs(spark.createDataFrame(rows, "identity string, name string"))))
