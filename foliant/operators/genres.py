@@ -56,9 +56,9 @@ def infer_genres(subjects: DataFrame, phrases: DataFrame) -> DataFrame:
     holds = F.contains(F.concat(F.lit(" "), F.col("text"), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     hits = words.join(keyed, "word").filter(holds).groupBy("raw", "slug").agg(
         F.bool_or(F.col("kind") == "match").alias("hit"), F.bool_or(F.col("kind") == "exclude").alias("barred"))
-    found = lines.join(hits.filter("hit AND NOT barred").select("raw", "slug"), "raw").select("work_id", "tier", "slug").distinct()
-    best = found.groupBy("work_id").agg(F.min("tier").alias("tier"))
-    return found.join(best, ["work_id", "tier"], "left_semi").select("work_id", "slug")
+    found = lines.join(hits.filter("hit AND NOT barred").select("raw", "slug"), "raw").groupBy("work_id", "slug").agg(F.min("tier").alias("tier"))
+    best = F.min("tier").over(W.partitionBy("work_id"))  # a work's own genres
+    return found.withColumn("best", best).filter("tier = best").select("work_id", "slug")
 
 
 def sync_taxonomy(old: DataFrame, new: DataFrame, threads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -97,7 +97,7 @@ def replace_inferences(old: DataFrame, new: DataFrame, scope: DataFrame, genres:
 def category_inferences(inferences: DataFrame, categories: DataFrame, phrases: DataFrame, genres: DataFrame) -> DataFrame:
     """The weak source speaks only for works the strong ones said nothing about."""
     strong = inferences.filter(F.col("source").isin(*STRONG_SOURCES)).select("work_id")
-    open_works = categories.select("work_id").distinct().join(strong, "work_id", "left_anti")
+    open_works = materialize(categories.select("work_id").distinct().join(strong, "work_id", "left_anti"))
     open_categories = categories.join(open_works, "work_id", "left_semi")
     return replace_inferences(inferences, infer_genres(open_categories.withColumnRenamed("category", "subject"), phrases),
                               open_works, genres, "google")
@@ -309,7 +309,8 @@ def rebuild_genres(works: DataFrame, subjects: DataFrame, phrases: DataFrame, vo
     ``works(work_id, merged_into, catalog_release)``: a release work's rows belong to ``catalog``, the others' to ``open_library``.
     """
     live = works.filter("merged_into IS NULL").join(subjects.select("work_id").distinct(), "work_id", "left_semi")
-    inferred = infer_genres(subjects.join(live.select("work_id"), "work_id", "left_semi"), phrases)
+    live = materialize(live.select("work_id", "catalog_release"))
+    inferred = materialize(infer_genres(subjects.join(live.select("work_id"), "work_id", "left_semi"), phrases))
     redone = replace_inferences(inferences, inferred, live.filter("catalog_release IS NULL"), genres, "open_library")
-    redone = replace_inferences(redone, inferred, live.filter("catalog_release IS NOT NULL"), genres, "catalog")
+    redone = materialize(replace_inferences(redone, inferred, live.filter("catalog_release IS NOT NULL"), genres, "catalog"))
     return redone, genre_summary(votes, redone, genres, vetoes, works)

@@ -226,12 +226,12 @@ def canonical_series(series: DataFrame) -> DataFrame:
     ``series(series_id, slug, merged_into, parent_id)``.
     """
     dead = series.filter("merged_into IS NOT NULL").select(F.col("series_id").alias("node"), F.col("merged_into").alias("next"))
-    canon = _walk(dead, MAX_TOMBSTONE_HOPS)
+    canon = materialize(_walk(dead, MAX_TOMBSTONE_HOPS))
     ids = series.select("series_id", "slug", "parent_id").join(
         canon, F.col("series_id") == canon["node"], "left").select(
         "series_id", "slug", "parent_id", F.coalesce("target", "series_id").alias("at"))
     canon_of = ids.select(F.col("series_id").alias("parent_id"), F.col("at").alias("up"))
-    upward = ids.join(canon_of, "parent_id").select(F.col("series_id").alias("at"), "up")
+    upward = materialize(ids.join(canon_of, "parent_id").select(F.col("series_id").alias("at"), "up"))
     state = ids.select("slug", "at")
     for _ in range(MAX_PARENT_HOPS):
         state = state.join(upward, "at", "left").select("slug", F.coalesce("up", "at").alias("at"))
@@ -240,12 +240,15 @@ def canonical_series(series: DataFrame) -> DataFrame:
 
 def room_tree(series: DataFrame, rooms: DataFrame, depth: int = MAX_PARENT_HOPS) -> DataFrame:
     """``(room, series_id, depth)`` of every live series nested under each room."""
-    live = series.filter("merged_into IS NULL AND parent_id IS NOT NULL").select(
-        F.col("parent_id").alias("at"), F.col("series_id").alias("below"))
-    level = rooms.select("room", F.col("room").alias("at"))
+    live = materialize(series.filter("merged_into IS NULL AND parent_id IS NOT NULL").select(
+        F.col("parent_id").alias("at"), F.col("series_id").alias("below")))
+    level = materialize(rooms.select("room", F.col("room").alias("at")))
     found = level.withColumn("depth", F.lit(0))
     for step in range(1, depth + 1):
-        level = level.join(live, "at").select("room", F.col("below").alias("at")).distinct()
+        # Each level is written once; few rooms nest, so most tables end after the first.
+        level = materialize(level.join(live, "at").select("room", F.col("below").alias("at")).distinct())
+        if not level.head(1):
+            break
         found = found.unionByName(level.withColumn("depth", F.lit(step)))
     return found.groupBy("room", F.col("at").alias("series_id")).agg(F.min("depth").alias("depth"))
 

@@ -370,7 +370,7 @@ def assign_tag_series(works: DataFrame, series: DataFrame, placed: DataFrame) ->
     action = (
         F.when(fixed, "keep").when(F.col("goal").isNull(), F.when(current, "keep").otherwise("singleton")).when(~current, "assign")
         .when((F.col("series_id") == F.col("goal")) | (F.col("now_kind") == "series"), "keep").otherwise("promote"))
-    decided = joined.withColumn("goal", target).withColumn("action", action)
+    decided = materialize(joined.withColumn("goal", target).withColumn("action", action))
     single = T.series_row_id(F.concat(F.lit("singleton:"), F.col("work_id")))
     assignments = decided.select(
         "work_id", F.when(F.col("action") == "keep", F.col("series_id")).when(F.col("action") == "singleton", single).otherwise(F.col("goal")).alias("series_id"),
@@ -405,10 +405,12 @@ def backfill_rooms(works: DataFrame, series: DataFrame, placed: DataFrame, threa
     heir = live.select(F.col("work_id").alias("merged_into"), F.col("series_id").alias("heir_room"))
     inherited = moved_works.filter("merged_into IS NOT NULL").join(heir, "merged_into", "left").withColumn(
         "was_empty", F.col("series_id").isNull()).withColumn("series_id", F.coalesce("series_id", "heir_room"))
-    all_works = live.unionByName(inherited.select(*works.columns))
+    inherited = materialize(inherited)
+    all_works = materialize(live.unionByName(inherited.select(*works.columns)))
     room = all_works.select("work_id", F.col("series_id").alias("room"))
     followed = moved_threads.join(room, "work_id", "left").withColumn(
         "follows", F.col("series_id").isNull() & F.col("work_id").isNotNull()).withColumn("series_id", F.coalesce("series_id", "room"))
+    followed = materialize(followed)
     stats = (
         metrics(assignments.join(kinds, "series_id", "left"), series=F.count_if(F.col("kind") == "series"), singletons=F.count_if(F.col("kind") != "series"))
         .unionByName(metrics(inherited, tombstones=F.count_if("was_empty")))
