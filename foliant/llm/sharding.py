@@ -91,9 +91,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"))
     rows = assign(assign(rows, tree(shards), "doc_id", "shard"), tree(shards + 1), "doc_id", "grown_shard")
     block = F.floor(F.coalesce("doc_id", F.lit(-1)) / F.lit(1 << 20)) * 64 + F.col("text_crc32") % 64
-    ranked = two_level_rank(rows, ["shard"], block.cast("long"), ["doc_id", "text_crc32", "size"], out="slot")
+    ranked = two_level_rank(rows, ["shard"], block.cast("long"), ["doc_id", "text_crc32", "size"], out="slot", dtype="long")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-                         (F.col("slot").cast("long") - 1).alias("slot"), "grown_shard")
+                         (F.col("slot") - 1).alias("slot"), "grown_shard")
 
 
 def _descent_sql(leaves: Sequence[Leaf], out: str) -> str:
