@@ -147,9 +147,26 @@ def release_diff(current: DataFrame, previous: DataFrame, aliases: DataFrame, ol
     return result.unionByName(renamed.select(F.lit("slug").alias("change"), F.col("key").alias("id"), "before", "after"))
 
 
+def row_digest(df: DataFrame) -> Column:
+    """The md5 of a row: its cells in order of their names, each with its length before it, ``-`` for null; fractions to nine places."""
+    def cell(field) -> Column:
+        value = F.col(f"`{field.name}`")
+        shown = (value.cast("decimal(38,9)") if field.dataType.typeName() in ("double", "float", "decimal") else value).cast("string")
+        return F.coalesce(F.concat(F.length(shown).cast("string"), F.lit(":"), shown), F.lit("-"))
+
+    return F.md5(F.concat(F.lit(""), *[cell(f) for f in sorted(df.schema.fields, key=lambda f: f.name)]))
+
+
 def release_digest(tables: dict[str, DataFrame]) -> DataFrame:
-    """A content hash per table that neither row order nor partitioning can change."""
-    parts = [t.agg(F.lit(n).alias("table"), F.count("*").alias("rows"), F.sum(F.xxhash64(*t.columns).cast("decimal(38,0)")).cast("string").alias("digest"))
+    """A content hash per table that neither row order nor partitioning can change, and that any engine can compute.
+
+    Each half of a row's md5 gives a number of sixty bits; the digest is the two sums over all rows.
+    """
+    def half(start: int) -> Column:
+        number = F.conv(F.substring("row", start, 15), 16, 10).cast("decimal(38,0)")
+        return F.coalesce(F.sum(number), F.lit(0)).cast("decimal(38,0)").cast("string")
+
+    parts = [t.select(row_digest(t).alias("row")).agg(F.lit(n).alias("table"), F.count("*").alias("rows"), F.concat_ws("-", half(1), half(16)).alias("digest"))
              for n, t in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 

@@ -104,3 +104,10 @@ def title_ref(x: str) -> tuple[str, str]:
 
 def ordinal(x: str) -> str:
     return f"CASE WHEN regexp_full_match(trim(coalesce({x}, '')), '[0-9]{{1,4}}(\\.[0-9]+)?') THEN TRY_CAST(trim({x}) AS DOUBLE) END"
+
+
+def digest(columns: list[str], source: str) -> str:
+    """``(rows, digest)`` of ``source``: the sums over all rows of both halves of the md5 of the row's cells."""
+    cells = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in sorted(columns))
+    half = "coalesce(sum(CAST(CAST('0x' || substr(md5({0}), {1}, 15) AS BIGINT) AS HUGEINT)), 0)"
+    return f"SELECT count(*) AS rows, {half.format(cells, 1)} || '-' || {half.format(cells, 16)} AS digest FROM ({source})"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import quality as A
 from foliant.operators import series as L
+from foliant.plans import check_sql as Q
 from foliant.plans.q_graph import RESOLVED
 from foliant.plans.q_select import _REASONS, _selected
 from foliant.plans.q_series import CANDS, _AUTHORS, _REJECTED, DECIDED, cands, rejected, solid
@@ -105,7 +106,24 @@ def a08(w: World) -> DataFrame:
     return A.release_diff(w.fx("release_cur"), w.fx("release_prev"), w.sql(_NEW_ALIASES), w.sql(_OLD_ALIASES), w.sql(_NEW_SLUGS), w.sql(_OLD_SLUGS))
 
 
-@query("a09_release_digest")
+_ROOM = "('ol:' || " + Q.skey("author") + ")"
+_RELEASED = {
+    "works": ("id ol_work_id canonical_key title subtitle author first_publish_year kind series_id ol_cover_id ol_edition_count readinglog_count ratings_count subjects representative_edition_id",
+              f"SELECT {Q.uuid5("('work:ol:' || work_id)")} AS id, work_id AS ol_work_id, {Q.ckey('raw_title', 'author')} AS canonical_key, raw_title AS title, NULL AS subtitle, author, first_publish_year, {Q.kind('raw_title')} AS kind, "
+              f"{Q.uuid5("('series:' || " + _ROOM + ")")} AS series_id, NULL AS ol_cover_id, edition_count AS ol_edition_count, readinglog_count, 0 AS ratings_count, NULL AS subjects, NULL AS representative_edition_id FROM fx_work"),
+    "editions": ("id ol_edition_id work_id title subtitle author publisher published_year isbn_13 page_count cover_url language",
+                 f"SELECT DISTINCT {Q.uuid5("('edition:ol:' || edition_id)")} AS id, edition_id AS ol_edition_id, {Q.uuid5("('work:ol:' || work_id)")} AS work_id, CASE WHEN trim(title) = '' THEN 'Untitled' ELSE title END AS title, subtitle, "
+                 f"NULL AS author, publisher, publish_year AS published_year, {Q.isbn('isbn_raw')} AS isbn_13, page_count, cover_url, 'en' AS language FROM fx_edition"),
+    "series": ("id key source provenance name slug canonical_key kind parent_series_id",
+               f"SELECT DISTINCT {Q.uuid5("('series:' || " + _ROOM + ")")} AS id, {_ROOM} AS key, 'openlibrary' AS source, 'ol_tag' AS provenance, author AS name, {Q.slug('author')} AS slug, {Q.skey('author')} AS canonical_key, 'series' AS kind, "
+               "NULL AS parent_series_id FROM fx_work"),
+    "series_members": ("series_id work_id position provenance confidence",
+                       f"SELECT {Q.uuid5("('series:' || " + _ROOM + ")")} AS series_id, {Q.uuid5("('work:ol:' || work_id)")} AS work_id, readinglog_count AS position, 'ol_tag' AS provenance, 'medium' AS confidence FROM fx_work"),
+    "work_aliases": ("ol_work_id work_id", f"SELECT work_id AS ol_work_id, {Q.uuid5("('work:ol:' || merged_into)")} AS work_id FROM fx_work WHERE merged_into IS NOT NULL"),
+}
+
+
+@query("a09_release_digest", " UNION ALL ".join(f"""SELECT '{name}' AS "table", * FROM ({Q.digest(columns.split(), sql)})""" for name, (columns, sql) in _RELEASED.items()))
 def a09(w: World) -> DataFrame:
     return A.release_digest(release_tables(w))
 
