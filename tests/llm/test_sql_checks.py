@@ -24,7 +24,7 @@ def same(df, con, sql):
 @pytest.mark.parametrize("name", sorted(registry.checks()))
 def test_given_tables(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     same(registry.queries()[name](spark, SF), con, registry.checks()[name])
 
