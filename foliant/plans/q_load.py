@@ -254,7 +254,18 @@ def c10(w: World) -> DataFrame:
     return _settled(w)[0]["works"].select("work_id", "merged_into")
 
 
-@query("c10_settle_stats")
+@query("c10_settle_stats", f"""
+    WITH RECURSIVE {_FATE}, th AS ({THREADS}), mg AS (SELECT work_id AS loser, target AS survivor FROM fate WHERE fate = 'merge' AND target IN (SELECT work_id FROM lw)),
+    ch AS (SELECT loser, survivor AS node, 1 AS hop FROM mg UNION ALL SELECT c.loser, m.survivor, c.hop + 1 FROM ch c JOIN mg m ON m.loser = c.node), fin AS (SELECT loser, arg_max(node, hop) AS survivor FROM ch GROUP BY 1),
+    now AS (SELECT w.work_id, coalesce(t.series_id, w.series_id) AS room, coalesce(f.survivor, g.survivor, w.merged_into) AS merged_into FROM lw w LEFT JOIN fin f ON f.loser = w.work_id LEFT JOIN lw t ON t.work_id = f.survivor
+      LEFT JOIN fin g ON g.loser = w.merged_into),
+    kept AS (SELECT * FROM now WHERE work_id NOT IN (SELECT work_id FROM fate WHERE fate = 'delete') AND coalesce(merged_into, '') NOT IN (SELECT work_id FROM fate WHERE fate = 'delete')),
+    old AS (SELECT series_id FROM ({SERIES}) WHERE catalog_release <> '2026.01.1' AND merged_into IS NULL AND series_id NOT IN (SELECT id FROM ({STAGE_SERIES}))),
+    held AS (SELECT room FROM kept UNION SELECT series_id FROM th),
+    retired AS (SELECT DISTINCT lw.series_id AS room FROM lw JOIN kept USING (work_id) WHERE catalog_release IS NOT NULL AND lw.series_id IN (SELECT series_id FROM old) AND lw.series_id IN (SELECT room FROM held) AND kept.room <> lw.series_id)
+    SELECT 'kept_works' AS metric, count(*) FILTER (WHERE fate = 'keep') AS value FROM fate UNION ALL SELECT 'deleted_works', count(*) FILTER (WHERE fate = 'delete') FROM fate
+    UNION ALL SELECT 'merged_works', count(*) FILTER (WHERE fate = 'merge') FROM fate UNION ALL SELECT 'deleted_series', count(*) FROM old WHERE series_id NOT IN (SELECT room FROM held)
+    UNION ALL SELECT 'retired_series', count(*) FROM retired UNION ALL SELECT 'moved_threads', count(*) FROM th WHERE series_id IN (SELECT room FROM retired)""")
 def c10_stats(w: World) -> DataFrame:
     return _settled(w)[1]
 
