@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators import ranked_index as RI
 from foliant.operators import search as S
 from foliant.plans import check_sql as Q
 from foliant.plans.q_genres import SUMMARY, effective
@@ -102,6 +103,23 @@ def q03_stored(w: World) -> DataFrame:
     return rank_stored(w, store_index(w))
 
 
+def store_ranked(w: World) -> str:
+    path = f"{ensure_checkpoint_dir(w.spark)}/ranked-{uuid.uuid4().hex}"
+    texts = w.fx("search_doc").select("doc_id", "title", "author", "subjects")
+    RI.write_ranked_index(texts.join(_works(w), "doc_id"), path, 64)
+    return path
+
+
+def search_stored(w: World, path: str) -> DataFrame:
+    hits = RI.search_ranked(w.spark, path, QUERIES, buckets=64)
+    return hits.select("query_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("q03_search_ranked_index", _RANKED)
+def q03_ranked(w: World) -> DataFrame:
+    return search_stored(w, store_ranked(w))
+
+
 @query("q04_browse", f"""
     WITH {SUMMARY}, k AS (SELECT work_id, raw_title AS title, readinglog_count, first_publish_year, merged_into, {Q.kind('raw_title')} AS kind FROM fx_work)
     SELECT k.work_id, k.title, sum(e.score) AS genre_score, k.readinglog_count FROM k JOIN effective e ON e.work_id = k.work_id AND e.genre_id IN (1, 2)
