@@ -19,6 +19,7 @@ from foliant.functions import records as R
 from foliant.functions import text as T
 from foliant.operators.graph import resolved_redirects
 from foliant.schemas import ACTIVITY
+from foliant.session import join_sparse
 
 # --- fixed values ---------------------------------------------------------------
 NAME_LANGUAGES = ("en", "mul", "zh", "ja", "ko", "ru")
@@ -79,25 +80,24 @@ def _edition_keys(dump: DataFrame) -> list[Column]:
 def owned_editions(dump: DataFrame, redirects: DataFrame) -> DataFrame:
     """``(ol_id, work_key, is_english, work_ol_id)`` of every edition line, in one pass that leaves the JSON behind.
 
-    Lines without a work don't take part in the redirect join, where they would be one hot key.
+    Lines without a work join under keys of their own, as they would be one hot key.
     """
-    lines = dump.select(*_edition_keys(dump))
-    mapped = resolved_redirects(redirects)
-    placed = lines.filter("work_key <> ''").join(mapped, F.col("work_key") == F.col("from_ol"), "left").select(
-        *lines.columns, F.coalesce("resolved", "work_key").alias("work_ol_id"))
-    return placed.union(lines.filter("work_key = ''").withColumn("work_ol_id", F.lit(None).cast("string")))
+    lines = dump.select(*_edition_keys(dump)).withColumn("from_ol", F.when(F.col("work_key") != "", F.col("work_key")))
+    placed = join_sparse(lines, resolved_redirects(redirects), "from_ol", "ol_id")
+    return placed.select("ol_id", "work_key", "is_english", F.coalesce("resolved", "from_ol").alias("work_ol_id"))
 
 
 def filter_editions(dump: DataFrame, candidates: DataFrame, extra_ids: DataFrame, redirects: DataFrame, owned: DataFrame | None = None) -> DataFrame:
     """English editions of candidate works and every edition in ``extra_ids``.
 
-    The decision is made on keys (``owned``, computed here unless given); the JSON is joined to it once.
+    One pass over the keys (``owned``, computed here unless given) flags what is wanted; the JSON is joined to it once.
     """
     owned = owned_editions(dump, redirects) if owned is None else owned
-    wanted = owned.filter("is_english AND work_ol_id IS NOT NULL").join(candidates.select(F.col("ol_id").alias("work_ol_id")), "work_ol_id", "left_semi")
-    extra = owned.join(extra_ids.select("ol_id"), "ol_id", "left_semi")
     names = ["ol_id", "work_key", "is_english"]
-    chosen = wanted.select(*names, "work_ol_id").union(extra.select(*names, "work_ol_id")).distinct()
+    wanted = candidates.select(F.col("ol_id").alias("work_ol_id"), F.lit(True).alias("wanted")).distinct()
+    extra = extra_ids.select("ol_id", F.lit(True).alias("extra")).distinct()
+    chosen = join_sparse(owned, wanted, "work_ol_id", "ol_id").join(extra, "ol_id", "left").filter(
+        (F.col("is_english") & F.col("wanted")) | F.col("extra")).select(*names, "work_ol_id").distinct()
     kept = dump.select(*_edition_keys(dump), "json").join(chosen, names)
     doc = F.col("doc")
     parsed = kept.select("ol_id", "work_ol_id", "is_english", R.document(F.col("json")).alias("doc"))
