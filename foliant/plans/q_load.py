@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import load as C
+from foliant.operators import publish as P
 from foliant.plans import check_sql as Q
 from foliant.plans.q_resolve import _rank_sql
 from foliant.plans.world import World, query
+from foliant.session import ensure_checkpoint_dir
 
 # --- the live snapshot ------------------------------------------------------------------
 WORKS = """
@@ -270,9 +274,12 @@ def c10_stats(w: World) -> DataFrame:
     return _settled(w)[1]
 
 
+def _genres(w: World) -> DataFrame:
+    return w.sql("SELECT CAST(row_number() OVER (ORDER BY slug) AS INT) AS genre_id, slug, CAST(NULL AS INT) AS parent_id, false AS retired FROM (SELECT DISTINCT slug FROM fx_taxonomy)")
+
+
 def _loaded(w: World):
-    genres = w.sql("SELECT CAST(row_number() OVER (ORDER BY slug) AS INT) AS genre_id, slug, CAST(NULL AS INT) AS parent_id, false AS retired FROM (SELECT DISTINCT slug FROM fx_taxonomy)")
-    return C.load_release(live(w), stage(w), "2026.01.1", w.fx("taxonomy"), genres)
+    return C.load_release(live(w), stage(w), "2026.01.1", w.fx("taxonomy"), _genres(w))
 
 
 @query("c11_load_release")
@@ -280,6 +287,22 @@ def c11(w: World) -> DataFrame:
     return _loaded(w)[0]["works"].select("work_id", "external_id", "series_id", "catalog_release", "merged_into")
 
 
+@query("c11_pinned_version", f"""
+    SELECT 'works' AS name, count(*) AS rows FROM ({WORKS}) UNION ALL SELECT 'series', count(*) FROM ({SERIES}) UNION ALL SELECT 'threads', count(*) FROM ({THREADS})
+    UNION ALL SELECT 'shelves', count(*) FROM ({SHELVES}) UNION ALL SELECT 'members', count(*) FROM ({MEMBERS})
+    UNION ALL SELECT 'loaded works', count(*) FROM ({STAGE_WORKS})""")
+def c11_pinned(w: World) -> DataFrame:
+    """A reader that opened the tables before a load was published still reads them; the next one sees the release."""
+    root = f"{ensure_checkpoint_dir(w.spark)}/live-{uuid.uuid4().hex}"
+    P.publish(w.spark, root, live(w))
+    pinned = P.open_live(w.spark, root)
+    after, _ = P.load_and_publish(w.spark, root, stage(w), "2026.01.1", w.fx("taxonomy"), _genres(w))
+    counts = after.tables["works"].filter("catalog_release = '2026.01.1'").agg(F.lit("loaded works").alias("name"), F.count("*").alias("rows"))
+    for name in ("works", "series", "threads", "shelves", "members"):
+        counts = counts.unionByName(pinned.tables[name].agg(F.lit(name).alias("name"), F.count("*").alias("rows")))
+    return counts
+
+
 _PREVIEW = "SELECT concat('rt-', work_num) AS source, work_id AS target FROM fx_work WHERE shelf_mark IN ('LARGE', 'MEDIUM') UNION ALL SELECT concat('rt-', work_num), concat('rt-', work_num + 1) FROM fx_work"
 
 
