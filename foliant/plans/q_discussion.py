@@ -176,6 +176,31 @@ def d07_refusals(w: World) -> DataFrame:
     return _shelved(w)[1]
 
 
+# What stood on the shelves before the log: the oldest row of each reader and live work.
+_STOOD = "SELECT s.user_id, coalesce(w.merged_into, w.work_id) AS work_id, min_by(s.status, (s.created_at, s.shelf_id)) AS status FROM fx_shelf s JOIN fx_work w ON w.work_id = s.work_id GROUP BY 1, 2"
+_RESHELVED = f"""
+    rows AS (SELECT 0 AS phase, NULL AS event_id, NULL AS ts, user_id, work_id, 'add' AS action, status FROM ({_STOOD})
+      UNION ALL SELECT 1, o.event_id, o.ts, o.user_id, coalesce(w.merged_into, w.work_id), o.action, o.status FROM ({_SHELF_LOG}) o JOIN fx_work w ON w.work_id = o.work_id),
+    ops AS (SELECT *, row_number() OVER (PARTITION BY user_id, work_id ORDER BY phase, ts, event_id) AS rn FROM rows),
+    seen AS (SELECT *, coalesce(last_value(CASE WHEN action <> 'update' THEN action END IGNORE NULLS) OVER (PARTITION BY user_id, work_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'add', false) AS present FROM ops),
+    judged AS (SELECT *, CASE WHEN action = 'add' AND present THEN 'conflict' WHEN action <> 'add' AND NOT present THEN 'missing' END AS reason FROM seen)"""
+
+
+def _reshelved(w: World):
+    return D.apply_shelf_log(w.sql(_SHELF_LOG), w.sql(_STOOD), w.fx("work"))
+
+
+@query("d07_reapply_shelf_log",
+       f"WITH {_RESHELVED} SELECT user_id, work_id, arg_max(status, rn) AS status FROM judged WHERE reason IS NULL GROUP BY 1, 2 HAVING arg_max(action, rn) <> 'remove'")
+def d07_stood(w: World) -> DataFrame:
+    return _reshelved(w)[0]
+
+
+@query("d07_reapplied_refusals", f"WITH {_RESHELVED} SELECT event_id, reason FROM judged WHERE reason IS NOT NULL")
+def d07_stood_refusals(w: World) -> DataFrame:
+    return _reshelved(w)[1]
+
+
 @query("d08_profile_shelves", """
     SELECT s.user_id, s.status, CAST(row_number() OVER (PARTITION BY s.user_id, s.status ORDER BY s.created_at DESC, s.shelf_id DESC) AS INT) AS rank, s.work_id, w.raw_title AS title
     FROM fx_shelf s JOIN fx_work w ON w.work_id = s.work_id""")

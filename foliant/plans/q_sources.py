@@ -55,6 +55,20 @@ def s01(w: World) -> DataFrame:
     return work_dump(w).select("type", "ol_id", "json")
 
 
+def _landed(w: World, lines: DataFrame) -> str:
+    """Lines as gzip text files in the shared folder, as dumps land."""
+    path = f"{ensure_checkpoint_dir(w.spark)}/landed-{uuid.uuid4().hex}"
+    lines.select("value").write.option("compression", "gzip").text(path)
+    return path
+
+
+@query("s01_read_landed_dump",
+       f"SELECT CASE WHEN p_type = 'PROMO' THEN '/type/redirect' ELSE '/type/work' END AS type, concat('/works/OL', p_partkey + 1, 'W') AS key, "
+       f"concat('OL', p_partkey + 1, 'W') AS ol_id, {_WORK_JSON} AS json FROM part WHERE p_size <= 48")
+def s01_landed(w: World) -> DataFrame:
+    return S.read_entity_dump(w.spark, _landed(w, w.sql(f"SELECT value FROM ({WORK_LINES})")), w.spark.sparkContext.defaultParallelism)
+
+
 _LOG_LINES = ("SELECT concat('/works/', work_id) AS work, CASE WHEN kind = 'rating' THEN concat('/books/', event_id) END AS edition, "
               "CAST(user_id AS STRING) AS value, CAST(NULL AS STRING) AS date, kind AS event_kind FROM fx_log")
 
@@ -65,6 +79,21 @@ def s02(w: World) -> DataFrame:
     return S.activity_rows(w.sql(_LOG_LINES), F.col("event_kind")).select("ol_id", "kind", "edition")
 
 
+# Ratings have an edition, a value and a date; reading log lines end after the edition, which is empty.
+_LOG_TEXT = ("SELECT kind, concat('/works/', work_id, chr(9), CASE WHEN kind = 'rating' THEN concat('/books/', event_id, chr(9), user_id, chr(9), \'\"2020-01-01\') ELSE '' END) AS value FROM fx_log")
+
+
+@query("s02_read_landed_log",
+       "SELECT work_id AS ol_id, concat('/works/', work_id) AS work, kind, CASE WHEN kind = 'rating' THEN concat('/books/', event_id) END AS edition, "
+       "CASE WHEN kind = 'rating' THEN CAST(user_id AS VARCHAR) END AS value, CASE WHEN kind = 'rating' THEN '\"2020-01-01' END AS date FROM fx_log")
+def s02_landed(w: World) -> DataFrame:
+    """Each kind lands as files of its own; short lines are padded and a lone quote is text."""
+    lines = w.sql(_LOG_TEXT)
+    kinds = [S.read_activity_log(w.spark, _landed(w, lines.filter(F.col("kind") == kind)), kind, w.spark.sparkContext.defaultParallelism)
+             for kind in ("rating", "reading_log")]
+    return kinds[0].unionByName(kinds[1]).select("ol_id", "work", "kind", "edition", "value", "date")
+
+
 @query("s03_load_entities",
        f"SELECT concat('OL', p_partkey + 1, 'W') AS ol_id, {_WORK_JSON} AS json FROM part "
        "WHERE p_size <= 48 AND p_type NOT IN ('PROMO', 'MEDIUM')")
