@@ -146,11 +146,12 @@ def _voted(w: World):
     return N.apply_genre_votes(w.fx("genre_action"), works, w.fx("genre"), N.live_vetoes(w.fx("veto")))
 
 
-_BALLOTS = f"""
+_JUDGED = f"""
     pl AS (SELECT a.event_id, a.ts, a.user_id, coalesce(w.merged_into, w.work_id) AS work_id, a.genre_id, a.action FROM fx_genre_action a JOIN fx_work w ON w.work_id = a.work_id),
     jd AS (SELECT p.*, CASE WHEN action = 'vote' THEN CASE WHEN {Q.kind('l.raw_title')} = 'collection' THEN 'collection' WHEN g.retired THEN 'retired' WHEN EXISTS (SELECT 1 FROM fx_veto v WHERE NOT v.reverted AND v.work_id = p.work_id AND v.genre_id = p.genre_id) THEN 'vetoed' END END AS reason
       FROM pl p JOIN fx_work l ON l.work_id = p.work_id JOIN fx_genre g ON g.genre_id = p.genre_id),
-    ops AS (SELECT *, row_number() OVER (PARTITION BY user_id, work_id ORDER BY ts, event_id) AS rn FROM jd WHERE reason IS NULL),
+    ops AS (SELECT *, row_number() OVER (PARTITION BY user_id, work_id ORDER BY ts, event_id) AS rn FROM jd WHERE reason IS NULL)"""
+_BALLOTS = f"""{_JUDGED},
     fold AS (SELECT DISTINCT user_id, work_id, CAST(0 AS BIGINT) AS rn, CAST([] AS INT[]) AS st, CAST(NULL AS BIGINT) AS refused FROM ops
       UNION ALL SELECT f.user_id, f.work_id, o.rn, CASE WHEN o.action = 'unvote' THEN list_filter(f.st, lambda x: x <> o.genre_id) WHEN list_contains(f.st, o.genre_id) OR len(f.st) >= 5 THEN f.st ELSE list_append(f.st, o.genre_id) END,
         CASE WHEN o.action = 'vote' AND NOT list_contains(f.st, o.genre_id) AND len(f.st) >= 5 THEN o.event_id END FROM fold f JOIN ops o ON o.user_id = f.user_id AND o.work_id = f.work_id AND o.rn = f.rn + 1)"""
@@ -166,6 +167,36 @@ def n07_refusals(w: World) -> DataFrame:
     return _voted(w)[1]
 
 
+# Votes cast before the log, on the books they count for now.
+_CAST = "SELECT DISTINCT v.user_id, coalesce(w.merged_into, w.work_id) AS work_id, v.genre_id FROM fx_genre_vote v JOIN fx_work w ON w.work_id = v.work_id"
+# st: votes under the cap; sx: votes on retired or vetoed genres, which stay but don't count.
+_RECAST = f"""{_JUDGED},
+    hv AS (SELECT c.*, NOT g.retired AND NOT EXISTS (SELECT 1 FROM fx_veto v WHERE NOT v.reverted AND v.work_id = c.work_id AND v.genre_id = c.genre_id) AS counts FROM ({_CAST}) c JOIN fx_genre g ON g.genre_id = c.genre_id),
+    ky AS (SELECT user_id, work_id FROM ops UNION SELECT user_id, work_id FROM hv),
+    fold AS (SELECT k.user_id, k.work_id, CAST(0 AS BIGINT) AS rn, coalesce(list(h.genre_id) FILTER (WHERE h.counts), CAST([] AS INT[])) AS st, coalesce(list(h.genre_id) FILTER (WHERE NOT h.counts), CAST([] AS INT[])) AS sx, CAST(NULL AS BIGINT) AS refused
+        FROM ky k LEFT JOIN hv h ON h.user_id = k.user_id AND h.work_id = k.work_id GROUP BY k.user_id, k.work_id
+      UNION ALL SELECT f.user_id, f.work_id, o.rn, CASE WHEN o.action = 'unvote' THEN list_filter(f.st, lambda x: x <> o.genre_id) WHEN list_contains(f.st, o.genre_id) OR len(f.st) >= 5 THEN f.st ELSE list_append(f.st, o.genre_id) END,
+        CASE WHEN o.action = 'unvote' THEN list_filter(f.sx, lambda x: x <> o.genre_id) ELSE f.sx END,
+        CASE WHEN o.action = 'vote' AND NOT list_contains(f.st, o.genre_id) AND len(f.st) >= 5 THEN o.event_id END FROM fold f JOIN ops o ON o.user_id = f.user_id AND o.work_id = f.work_id AND o.rn = f.rn + 1)"""
+
+
+def _recast(w: World):
+    works = w.fx("work").withColumn("kind", T.classify_kind(F.col("raw_title"), F.lit("")))
+    return N.apply_genre_votes(w.fx("genre_action"), works, w.fx("genre"), N.live_vetoes(w.fx("veto")), w.sql(_CAST))
+
+
+@query("n07_reapply_genre_votes", f"""
+    WITH RECURSIVE {_RECAST}, fin AS (SELECT user_id, work_id, arg_max(st, rn) AS st, arg_max(sx, rn) AS sx FROM fold GROUP BY user_id, work_id)
+    SELECT user_id, work_id, unnest(list_concat(st, sx)) AS genre_id FROM fin""")
+def n07_cast(w: World) -> DataFrame:
+    return _recast(w)[0]
+
+
+@query("n07_reapplied_refusals", f"WITH RECURSIVE {_RECAST} SELECT event_id, reason FROM jd WHERE reason IS NOT NULL UNION ALL SELECT refused, 'cap' FROM fold WHERE refused IS NOT NULL")
+def n07_cast_refusals(w: World) -> DataFrame:
+    return _recast(w)[1]
+
+
 @query("n08_effective_genres", f"WITH {SUMMARY} SELECT * FROM effective")
 def n08(w: World) -> DataFrame:
     return effective(w)
