@@ -19,13 +19,17 @@ from foliant.session import written
 
 TIER_SHARES = (1 / 64, 1 / 16, 1 / 4)   # documents above each cut; the last tier takes the rest
 ROUNDING = 1 + 1e-9                     # ceilings are sums in another order than scores
-_POSTINGS = ("doc_id bigint, term string, entries array<struct<pos:int,weight:string>>, factor double, edition_count int, "
+_POSTINGS = ("doc_id bigint, term string, entries array<int>, factor double, edition_count int, "
              "first_publish_year int, tier int, bucket int")
 _CEILINGS = "term string, tier int, mass double, peak double, weight double, bucket int"
 
 
-def _by_weight(weight: Column, value) -> Column:
-    return F.element_at(F.create_map(*[F.lit(v) for label, w in WEIGHTS.items() for v in (label, float(value(w)))]), weight)
+def _numbered(column: Column, values: list) -> Column:
+    """The value of the field with a number; fields are numbered in the order of WEIGHTS."""
+    result = F.lit(values[-1])
+    for number in range(len(values) - 2, -1, -1):
+        result = F.when(column == number, F.lit(values[number])).otherwise(result)
+    return result
 
 
 def write_ranked_index(works: DataFrame, path: str, buckets: int = 256, shares: tuple[float, ...] = TIER_SHARES) -> None:
@@ -39,11 +43,13 @@ def write_ranked_index(works: DataFrame, path: str, buckets: int = 256, shares:
     listed = works.filter("kind = 'single' AND merged_into IS NULL").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "title", "author", "subjects", (1 + F.log(1 + F.coalesce("readers", F.lit(0)).cast("double"))).alias("factor"),
         F.col("edition_count").cast("int").alias("edition_count"), F.col("first_publish_year").cast("int").alias("first_publish_year"))
-    # One exchange by document serves the grouping, the peak and the join.
-    grouped = build_search_index(listed).repartition("doc_id").groupBy("doc_id", "term").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "weight"))).alias("entries"))
-    weights = F.transform("entries", lambda e: _by_weight(e["weight"], lambda w: w))
-    weighed = grouped.withColumn("mass", F.aggregate(weights, F.lit(0.0), lambda total, w: total + w)).withColumn("heaviest", F.array_max(weights))
+    # An entry is its place times four plus the field's number. One exchange by document serves the grouping, the peak and the join.
+    number = F.lit(len(WEIGHTS) - 1)
+    for k, label in list(enumerate(WEIGHTS))[:-1]:
+        number = F.when(F.col("weight") == label, F.lit(k)).otherwise(number)
+    coded = build_search_index(listed).select("doc_id", "term", (F.col("pos") * 4 + number).alias("entry"), _numbered(number, list(WEIGHTS.values())).alias("w"))
+    weighed = coded.repartition("doc_id").groupBy("doc_id", "term").agg(
+        F.sort_array(F.collect_list("entry")).alias("entries"), F.sum("w").alias("mass"), F.max("w").alias("heaviest"))
     peaked = weighed.withColumn("most", F.max("mass").over(W.partitionBy("doc_id")))
     attributes = listed.select("doc_id", "factor", "edition_count", "first_publish_year")
     postings = written(peaked.join(attributes, "doc_id").withColumn("impact", F.col("factor") * F.col("most")).drop("most"))
@@ -98,7 +104,7 @@ def _tier_hits(postings: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     matched = postings.join(terms, "term").groupBy("query_id", "n_terms", "doc_id", "factor", "edition_count", "first_publish_year").agg(
         F.collect_list(F.struct("idx", "entries")).alias("found")).filter(F.size("found") == F.col("n_terms"))
     spread = F.flatten(F.transform("found", lambda f: F.transform(f["entries"], lambda e: F.struct(
-        e["pos"].alias("pos"), f["idx"].alias("idx"), _by_weight(e["weight"], lambda w: 1 / w).alias("inverse")))))
+        F.shiftright(e, 2).alias("pos"), f["idx"].alias("idx"), _numbered(e.bitwiseAND(3), [1 / w for w in WEIGHTS.values()]).alias("inverse")))))
     scored = matched.withColumn("score", _cover_score(F.array_sort(spread), F.col("n_terms")) * F.col("factor"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("edition_count"), F.asc_nulls_last("first_publish_year"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(
