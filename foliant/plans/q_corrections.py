@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from foliant.plans import check_sql as Q
 from foliant.plans.q_load import EDITIONS, MEMBERS, SERIES, THREADS, WORKS, live
 from foliant.plans.q_resolve import _rank_sql
 from foliant.plans.world import World, query
+from foliant.session import written
 
 _W = "SELECT work_id, raw_title AS title, series_id, merged_into, CASE WHEN shelf_mark = 'SMALL' THEN 'heuristic' ELSE 'openlibrary' END AS source, work_id AS external_id FROM fx_work"
 _S = ("SELECT series_id, name, concat('slug-', series_id) AS slug, CASE WHEN series_id % 9 = 8 THEN 0 END AS merged_into, CASE WHEN series_id % 5 = 4 THEN 'singleton' ELSE 'series' END AS kind, "
@@ -198,8 +201,14 @@ _SPLIT = f"""
 
 
 def _split(w: World):
-    ops = w.sql(_SPLITS).groupBy("op_id", "work_id").agg(F.collect_set("edition_id").alias("editions"))
-    return R.apply_split(ops, live(w))
+    """The operations and the editions they are applied to; the editions are derived and written once."""
+    tables = live(w)
+    tables["editions"] = written(tables["editions"])
+    view = f"editions_{uuid.uuid4().hex}"
+    tables["editions"].createOrReplaceTempView(view)
+    ops = written(w.sql(_SPLITS.replace(f"({EDITIONS})", view)).groupBy("op_id", "work_id").agg(F.collect_set("edition_id").alias("editions")))
+    w.spark.catalog.dropTempView(view)
+    return R.apply_split(ops, tables)
 
 
 @query("r09_split_works", f"""
