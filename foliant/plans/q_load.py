@@ -58,16 +58,42 @@ STAGE_ALIASES = "SELECT concat('OLalias', work_num, 'W') AS ol_work_id, work_id
 _KEY = Q.ckey("title", "author")
 
 
+def _by_edition(rows: DataFrame) -> DataFrame:
+    """Distinct rows dealt by ``edition_id``: one exchange serves the distinction and what joins by edition."""
+    return rows.repartition("edition_id").distinct()
+
+
+# The same rows as EDITIONS and STAGE_EDITIONS. What one column says of another is added after the exchange.
+_LIVE_ROWS = """
+    SELECT concat('ed-', edition_id) AS edition_id, CASE WHEN w.shelf_mark IN ('SMALL', 'PROMO') THEN w.work_id ELSE concat('rt-', w.work_num) END AS work_id, e.title, isbn_raw AS isbn_13, page_count, cover_url, language,
+      e.author, e.publisher, publish_year AS published_year FROM fx_edition e JOIN fx_work w ON w.work_id = e.work_id"""
+_STAGE_ROWS = """
+    SELECT CASE WHEN page_count > 200 THEN concat('ed-', edition_id) ELSE edition_id END AS edition_id, work_id, title, subtitle, author, publisher, publish_year AS published_year, isbn_raw AS isbn_13, page_count, cover_url
+    FROM fx_edition WHERE is_english"""
+
+
+def live_editions(w: World) -> DataFrame:
+    return _by_edition(w.sql(_LIVE_ROWS)).selectExpr(
+        "edition_id", "work_id", "title", "isbn_13", "page_count", "cover_url", "language", "'google_books' AS source", "concat('g', substr(edition_id, 4)) AS external_id",
+        "CAST(NULL AS STRING) AS subtitle", "author", "publisher", "published_year", "CASE WHEN page_count > 200 THEN 'text' END AS description", "CAST(NULL AS INT) AS ratings_count")
+
+
+def stage_editions(w: World) -> DataFrame:
+    return _by_edition(w.sql(_STAGE_ROWS)).selectExpr(
+        "edition_id AS id", "CASE WHEN page_count > 200 THEN substr(edition_id, 4) ELSE edition_id END AS ol_edition_id", "work_id", "title", "subtitle", "author", "publisher",
+        "published_year", "isbn_13", "page_count", "cover_url", "'en' AS language")
+
+
 def live(w: World) -> C.Tables:
     works = w.sql(WORKS).withColumn("canonical_key", T.canonical_key(F.col("title"), F.col("author"))).drop("work_num")
-    return {"works": works, "series": w.sql(SERIES), "editions": w.sql(EDITIONS), "threads": w.sql(THREADS), "shelves": w.sql(SHELVES), "votes": w.sql(VOTES),
+    return {"works": works, "series": w.sql(SERIES), "editions": live_editions(w), "threads": w.sql(THREADS), "shelves": w.sql(SHELVES), "votes": w.sql(VOTES),
             "inferences": w.sql(INFERENCES), "vetoes": w.sql(VETOES), "members": w.sql(MEMBERS), "aliases": w.sql(ALIASES),
             "releases": w.spark.createDataFrame([("2025.12.1",)], "version string")}
 
 
 def stage(w: World) -> C.Tables:
     works = w.sql(STAGE_WORKS).withColumn("canonical_key", T.canonical_key(F.col("title"), F.col("author"))).drop("work_num", "shelf_mark")
-    return {"works": works, "series": w.sql(STAGE_SERIES), "editions": w.sql(STAGE_EDITIONS), "series_members": w.sql(STAGE_MEMBERS), "work_aliases": w.sql(STAGE_ALIASES)}
+    return {"works": works, "series": w.sql(STAGE_SERIES), "editions": stage_editions(w), "series_members": w.sql(STAGE_MEMBERS), "work_aliases": w.sql(STAGE_ALIASES)}
 
 
 _INFER_STAGE = f"""
