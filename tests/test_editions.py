@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from foliant.plans import q_load
+from foliant.plans import q_load, q_resolve
 from foliant.plans.world import VIEWS, World, with_views
 
 TYPES = {
@@ -65,3 +65,11 @@ def test_distinct_editions_and_their_join_share_an_exchange(world):
     plan = met(q_load.live_editions(world).select("edition_id", "title"), q_load.stage_editions(world).select("id", "publisher"))
     assert plan.count(ids) == 2
     assert met(world.sql(q_load.EDITIONS).select("edition_id", "title"), world.sql(q_load.STAGE_EDITIONS).select("id", "publisher")).count(ids) > 2
+
+
+def test_a_repair_judges_the_editions_once(world):
+    works, editions, stats = q_resolve._repaired(world)
+    assert "year(" in world.sql(q_resolve._RE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "year(" not in stats._jdf.queryExecution().optimizedPlan().toString()
+    assert "year(" not in editions._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["metric"]: r["value"] for r in stats.collect()}["editions_detached"] > 0
