@@ -15,6 +15,7 @@ from foliant.plans.world import World, query
 from foliant.operators import genres as N
 from foliant.operators.extract import popularity
 from foliant.operators.graph import cluster_authors as _clusters
+from foliant.session import written
 
 
 def dup_inputs(w: World) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -359,6 +360,14 @@ _REPAIR = f"""
     fin AS (SELECT *, coalesce(best, CASE WHEN NOT foreign_rep THEN before END) AS after FROM d)"""
 
 
+def _represented(w: World) -> tuple[DataFrame, DataFrame]:
+    """The works with the representatives of _REPS, and the editions; the editions are derived once and written."""
+    editions = written(w.sql(_RE))
+    reps = editions.groupBy(F.col("asked_by").alias("work_id")).agg(
+        F.when(F.min("page_count") > 20, F.max("edition_id")).otherwise(F.min("edition_id")).alias("representative"))
+    return runtime_works(w).join(reps, "work_id", "left"), editions
+
+
 def _repaired(w: World):
     works = runtime_works(w).join(w.sql(_REPS), "work_id", "left")
     return E.repair_presentation(works, w.sql(_RE))
@@ -385,8 +394,8 @@ def e19_stats(w: World) -> DataFrame:
     FROM rw r LEFT JOIN reps p ON p.work_id = r.work_id LEFT JOIN re e ON e.edition_id = p.representative LEFT JOIN n ON n.work_id = r.work_id LEFT JOIN fx_series_parent s ON s.series_id = r.series_id""")
 def e20(w: World) -> DataFrame:
     series = w.fx("series_parent").select("series_id", F.concat(F.lit("s"), F.col("series_id")).alias("slug"), "name", F.lit("series").alias("kind"))
-    works = runtime_works(w).join(w.sql(_REPS), "work_id", "left")
-    shown = E.work_presentation(works, w.sql(_RE), series, N.top_genres(effective(w), w.fx("genre")))
+    works, editions = _represented(w)
+    shown = E.work_presentation(works, editions, series, N.top_genres(effective(w), w.fx("genre")))
     return shown.drop("series_kind").withColumn("top_genres", F.array_join(F.col("top_genres.slug"), "|"))
 
 
@@ -401,8 +410,8 @@ _REFRESH = f"""
 
 
 def _refreshed(w: World):
-    works = runtime_works(w).join(w.sql(_REPS), "work_id", "left")
-    return E.refresh_popularity_covers(works, w.sql(_INGEST).withColumn("subjects", F.array("p_type")), w.sql(_RE), w.fx("cover_check"))
+    works, editions = _represented(w)
+    return E.refresh_popularity_covers(works, w.sql(_INGEST).withColumn("subjects", F.array("p_type")), editions, w.fx("cover_check"))
 
 
 @query("e21_refresh_popularity_covers", f"""

@@ -67,6 +67,14 @@ def test_distinct_editions_and_their_join_share_an_exchange(world):
     assert met(world.sql(q_load.EDITIONS).select("edition_id", "title"), world.sql(q_load.STAGE_EDITIONS).select("id", "publisher")).count(ids) > 2
 
 
+def test_representatives_come_from_the_editions_that_were_written(world):
+    works, editions = q_resolve._represented(world)
+    assert "l_orderkey" not in works._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in editions._jdf.queryExecution().optimizedPlan().toString()
+    assert _rows(editions) == _rows(world.sql(q_resolve._RE))
+    assert _rows(works.filter("representative IS NOT NULL").select("work_id", "representative").distinct()) == _rows(world.sql(q_resolve._REPS))
+
+
 def test_a_repair_judges_the_editions_once(world):
     works, editions, stats = q_resolve._repaired(world)
     assert "year(" in world.sql(q_resolve._RE)._jdf.queryExecution().optimizedPlan().toString()
