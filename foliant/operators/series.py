@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from foliant.operators.graph import follow_aliases, resolved_redirects, room_tre
 from foliant.operators.ranking import two_level_rank
 from foliant.operators.resolve import _follow, metrics
 from foliant.schemas import conform
-from foliant.session import materialize, until_stable
+from foliant.session import materialize, until_stable, written
 
 # --- fixed values ----------------------------------------------------------------
 MAX_AUTHOR_CLUSTERS = 3
@@ -69,11 +71,24 @@ def rung2(works: DataFrame, counts: DataFrame) -> DataFrame:
         F.lit(2).alias("rung")).filter("key IS NOT NULL")
 
 
+def _references(texts: DataFrame, text: str, parse: Callable[[Column], Column]) -> DataFrame:
+    """``(text, key, name, position)`` of the texts that name a series; each distinct text is parsed once.
+
+    The references are written before unusable ones are left out: as a condition on the text, the parsing would be
+    moved below the ``distinct`` and over to the other side of the join, and be done again for each line.
+    """
+    parsed = texts.select(text).distinct().select(text, parse(F.col(text)).alias("ref"))
+    keyed = parsed.select(text, T.ol_key(F.col("ref.name")).alias("key"), "ref.name", "ref.position")
+    return written(keyed).filter("key IS NOT NULL")
+
+
 def _vote(refs: DataFrame, rung: int) -> DataFrame:
-    """Majority over ``(work_id, voter, idx, ref)``: one vote per voter and series, name and position voted inside the winner."""
-    keyed = refs.filter("ref IS NOT NULL").select(
-        "work_id", "voter", "idx", T.ol_key(F.col("ref.name")).alias("key"), "ref.name", "ref.position").filter("key IS NOT NULL")
-    ballots = keyed.groupBy("work_id", "voter", "key").agg(F.min(F.struct("idx", "name", "position")).alias("b"))
+    """Majority over ``(work_id, voter, idx, key, name, position)``: one vote per voter and series, name and position voted inside the winner.
+
+    References are dealt by work once; all counts are taken inside a work.
+    """
+    ballots = refs.select("work_id", "voter", "idx", "key", "name", "position").repartition("work_id").groupBy("work_id", "voter", "key").agg(
+        F.min(F.struct("idx", "name", "position")).alias("b"))
     counted = materialize(ballots.groupBy("work_id", "key", F.col("b.name").alias("name"), F.col("b.position").alias("position")).agg(
         F.count("*").alias("n")))
     names = counted.groupBy("work_id", "key", "name").agg(F.sum("n").alias("n")).groupBy("work_id", "key").agg(
@@ -87,15 +102,14 @@ def _vote(refs: DataFrame, rung: int) -> DataFrame:
 
 def rung3(edition_series: DataFrame) -> DataFrame:
     """``edition_series(work_id, edition_id, series[])``. Each distinct text is parsed once."""
-    lines = edition_series.select("work_id", F.col("edition_id").alias("voter"), F.posexplode("series").alias("idx", "raw"))
-    parsed = lines.select("raw").distinct().withColumn("ref", T.parse_series_string(F.col("raw"))).filter("ref IS NOT NULL")
-    return _vote(lines.join(parsed, "raw"), 3)
+    lines = written(edition_series.select("work_id", F.col("edition_id").alias("voter"), F.posexplode("series").alias("idx", "raw")))
+    return _vote(lines.join(_references(lines, "raw", T.parse_series_string), "raw"), 3)
 
 
 def rung4(titles: DataFrame) -> DataFrame:
     """``titles(work_id, voter, title)``: the work's raw title and its editions' titles."""
-    parsed = titles.select("title").distinct().withColumn("ref", T.parse_title_series(F.col("title"))).filter("ref IS NOT NULL")
-    return _vote(titles.join(parsed, "title").withColumn("idx", F.lit(0)), 4)
+    lines = written(titles.select("work_id", "voter", "title"))
+    return _vote(lines.join(_references(lines, "title", T.parse_title_series), "title").withColumn("idx", F.lit(0)), 4)
 
 
 def candidates(*rungs: DataFrame) -> DataFrame:
