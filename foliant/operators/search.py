@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators.filters import search_filters
-from foliant.session import materialize
+from foliant.session import materialize, written
 
 # --- fixed values ----------------------------------------------------------------
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
@@ -34,13 +34,15 @@ STEM_RULES = ((r"^(.{3,})ies$", "$1y"), (r"^(.{2,}[^s])s$", "$1"), (r"^(.{3,})(?
 def words(text: Column) -> Column:
     """Lower-case words in order; no text gives no words."""
     spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
-def stem(term: Column) -> Column:
+def stem(word: Column) -> Column:
+    """The rules in turn, for letters and digits only; a word without any of their endings is its own stem."""
+    term = word
     for pattern, replacement in STEM_RULES:
         term = F.regexp_replace(term, pattern, replacement)
-    return term
+    return F.when(word.endswith("s") | word.endswith("ing") | word.endswith("ed"), term).otherwise(word)
 
 
 def build_search_index(works: DataFrame) -> DataFrame:
@@ -48,15 +50,11 @@ def build_search_index(works: DataFrame) -> DataFrame:
 
     Titles weigh A, authors B, subjects C; positions run through the three fields, stop words take one but are not kept.
     """
-    fields = works.select("doc_id", words(F.col("title")).alias("A"), words(F.col("author")).alias("B"), words(F.col("subjects")).alias("C"))
-    labelled = F.concat(*[F.transform(F.col(label), _labeller(label)) for label in WEIGHTS])
-    rows = fields.select("doc_id", F.posexplode(labelled).alias("pos", "t"))
-    kept = rows.filter(~F.col("t.word").isin(*STOP_WORDS))
-    return kept.select("doc_id", stem(F.col("t.word")).alias("term"), (F.col("pos") + 1).alias("pos"), F.col("t.weight").alias("weight"))
-
-
-def _labeller(label: str):
-    return lambda word: F.struct(word.alias("word"), F.lit(label).alias("weight"))
+    fields = works.select("doc_id", *[words(F.col(field)).alias(label) for label, field in zip(WEIGHTS, ("title", "author", "subjects"))])
+    sized = fields.select("doc_id", F.size("A").alias("a"), (F.size("A") + F.size("B")).alias("b"), F.concat(*WEIGHTS).alias("all"))
+    rows = sized.select("doc_id", "a", "b", F.posexplode("all").alias("pos", "word")).filter(~F.col("word").isin(*STOP_WORDS))
+    label = F.when(F.col("pos") < F.col("a"), "A").when(F.col("pos") < F.col("b"), "B").otherwise("C")
+    return rows.select("doc_id", stem(F.col("word")).alias("term"), (F.col("pos") + 1).alias("pos"), label.alias("weight"))
 
 
 def author_tokens(works: DataFrame) -> DataFrame:
@@ -75,7 +73,7 @@ def write_index(postings: DataFrame, path: str, buckets: int = 256) -> None:
 
 def read_index(spark: SparkSession, path: str, queries: DataFrame, buckets: int = 256) -> DataFrame:
     """The stored postings of the queries' terms; folders of other buckets are pruned at run time."""
-    asked = query_terms(queries).select("term", term_bucket(F.col("term"), buckets).alias("bucket")).distinct()
+    asked = written(query_terms(queries).select("term", term_bucket(F.col("term"), buckets).alias("bucket")).distinct())
     return spark.read.parquet(path).join(asked, ["bucket", "term"], "left_semi").drop("bucket")
 
 
@@ -132,12 +130,14 @@ def rank_search(index: DataFrame, works: DataFrame, queries: DataFrame, limit: i
     """Q03: per query the best live single works by cover density x (1 + ln(1 + readers)).
 
     ``works(doc_id, readers, edition_count, first_publish_year, kind, merged_into)``, already narrowed by F05 if filters
-    apply. The query terms' postings are read once; only documents that hold every term reach the scoring pass.
+    apply. The query terms' postings are read once; only documents that hold every term reach the scoring pass. The
+    terms are written, so the planner knows that they are few and other postings are left out before any exchange.
     """
-    terms = query_terms(queries)
+    terms = written(query_terms(queries))
     listed = works.filter("kind = 'single' AND merged_into IS NULL")
-    postings = materialize(index.join(terms, "term").join(listed.select("doc_id"), "doc_id", "left_semi"))
-    matched = postings.groupBy("query_id", "doc_id", "n_terms").agg(F.countDistinct("term").alias("found")).filter("found = n_terms")
+    postings = materialize(index.join(terms, "term"))  # a semi-join with the works here would move below this join, to all postings
+    found = postings.groupBy("query_id", "doc_id", "n_terms").agg(F.countDistinct("term").alias("found")).filter("found = n_terms")
+    matched = found.join(listed.select("doc_id"), "doc_id", "left_semi")
     inverse = F.element_at(F.create_map(*[F.lit(v) for pair in ((k, 1.0 / w) for k, w in WEIGHTS.items()) for v in pair]), F.col("weight"))
     entries = postings.join(matched, ["query_id", "doc_id"], "left_semi").groupBy("query_id", "doc_id", "n_terms").agg(
         F.array_sort(F.collect_list(F.struct("pos", "idx", inverse.alias("inverse")))).alias("entries"))
