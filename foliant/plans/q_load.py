@@ -12,8 +12,8 @@ from foliant.operators import load as C
 from foliant.operators import publish as P
 from foliant.plans import check_sql as Q
 from foliant.plans.q_resolve import _rank_sql
-from foliant.plans.world import World, query
-from foliant.session import ensure_checkpoint_dir
+from foliant.plans.world import EDITION, EDITION_ID, World, query
+from foliant.session import ensure_checkpoint_dir, written
 
 # --- the live snapshot ------------------------------------------------------------------
 WORKS = """
@@ -72,28 +72,52 @@ _STAGE_ROWS = """
     FROM fx_edition WHERE is_english"""
 
 
-def live_editions(w: World) -> DataFrame:
-    return _by_edition(w.sql(_LIVE_ROWS)).selectExpr(
+# What both are made of, for jobs that read both: written once, and exchanged as bare columns. The texts are made after the exchange.
+_LINES = "SELECT l.*, shelf_mark, work_num FROM fx_edition_line l JOIN fx_work w ON w.work_id = l.l_work"
+_LIVE_ID = f"concat('ed-', {EDITION_ID})"
+_STAGE_ID = f"CASE WHEN CAST(l_quantity * 6 AS INT) > 200 THEN {_LIVE_ID} ELSE {EDITION_ID} END"
+_LIVE_OF_LINES = f"""
+    SELECT dealt_id AS edition_id, CASE WHEN shelf_mark IN ('SMALL', 'PROMO') THEN work_id ELSE concat('rt-', work_num) END AS work_id, title, isbn_raw AS isbn_13, page_count, cover_url, language,
+      author, publisher, publish_year AS published_year FROM ({EDITION}, shelf_mark, work_num, {_LIVE_ID} AS dealt_id FROM rows_dealt)"""
+_STAGE_OF_LINES = f"""
+    SELECT dealt_id AS edition_id, work_id, title, subtitle, author, publisher, publish_year AS published_year, isbn_raw AS isbn_13, page_count, cover_url
+    FROM ({EDITION}, {_STAGE_ID} AS dealt_id FROM rows_dealt) WHERE is_english"""
+
+
+def edition_lines(w: World) -> DataFrame:
+    """The lines editions are made of, with their works, written once."""
+    return written(w.sql(_LINES))
+
+
+def _dealt(w: World, text: str, lines: DataFrame, key: str) -> DataFrame:
+    """The distinct rows ``text`` makes of ``lines`` dealt by the id that ``key`` makes of them."""
+    return w.sql(text, dealt=lines.repartition(F.expr(key))).distinct()
+
+
+def live_editions(w: World, lines: DataFrame | None = None) -> DataFrame:
+    rows = _by_edition(w.sql(_LIVE_ROWS)) if lines is None else _dealt(w, _LIVE_OF_LINES, lines, _LIVE_ID)
+    return rows.selectExpr(
         "edition_id", "work_id", "title", "isbn_13", "page_count", "cover_url", "language", "'google_books' AS source", "concat('g', substr(edition_id, 4)) AS external_id",
         "CAST(NULL AS STRING) AS subtitle", "author", "publisher", "published_year", "CASE WHEN page_count > 200 THEN 'text' END AS description", "CAST(NULL AS INT) AS ratings_count")
 
 
-def stage_editions(w: World) -> DataFrame:
-    return _by_edition(w.sql(_STAGE_ROWS)).selectExpr(
+def stage_editions(w: World, lines: DataFrame | None = None) -> DataFrame:
+    rows = _by_edition(w.sql(_STAGE_ROWS)) if lines is None else _dealt(w, _STAGE_OF_LINES, lines, _STAGE_ID)
+    return rows.selectExpr(
         "edition_id AS id", "CASE WHEN page_count > 200 THEN substr(edition_id, 4) ELSE edition_id END AS ol_edition_id", "work_id", "title", "subtitle", "author", "publisher",
         "published_year", "isbn_13", "page_count", "cover_url", "'en' AS language")
 
 
-def live(w: World) -> C.Tables:
+def live(w: World, lines: DataFrame | None = None) -> C.Tables:
     works = w.sql(WORKS).withColumn("canonical_key", T.canonical_key(F.col("title"), F.col("author"))).drop("work_num")
-    return {"works": works, "series": w.sql(SERIES), "editions": live_editions(w), "threads": w.sql(THREADS), "shelves": w.sql(SHELVES), "votes": w.sql(VOTES),
+    return {"works": works, "series": w.sql(SERIES), "editions": live_editions(w, lines), "threads": w.sql(THREADS), "shelves": w.sql(SHELVES), "votes": w.sql(VOTES),
             "inferences": w.sql(INFERENCES), "vetoes": w.sql(VETOES), "members": w.sql(MEMBERS), "aliases": w.sql(ALIASES),
             "releases": w.spark.createDataFrame([("2025.12.1",)], "version string")}
 
 
-def stage(w: World) -> C.Tables:
+def stage(w: World, lines: DataFrame | None = None) -> C.Tables:
     works = w.sql(STAGE_WORKS).withColumn("canonical_key", T.canonical_key(F.col("title"), F.col("author"))).drop("work_num", "shelf_mark")
-    return {"works": works, "series": w.sql(STAGE_SERIES), "editions": stage_editions(w), "series_members": w.sql(STAGE_MEMBERS), "work_aliases": w.sql(STAGE_ALIASES)}
+    return {"works": works, "series": w.sql(STAGE_SERIES), "editions": stage_editions(w, lines), "series_members": w.sql(STAGE_MEMBERS), "work_aliases": w.sql(STAGE_ALIASES)}
 
 
 _INFER_STAGE = f"""
@@ -160,7 +184,8 @@ _C04_EDITION = ("edition_id", "source", "external_id", "work_id", "title", "subt
     SELECT {", ".join(_C04_EDITION)} FROM le WHERE edition_id NOT IN (SELECT edition_id FROM new)
     UNION ALL SELECT n.* REPLACE (coalesce(l.source, n.source) AS source, coalesce(l.external_id, n.external_id) AS external_id) FROM new n LEFT JOIN le l ON l.edition_id = n.edition_id""")
 def c04_editions(w: World) -> DataFrame:
-    return C.upsert_catalog(live(w), stage(w), "2026.01.1")["editions"].select(*_C04_EDITION)
+    lines = edition_lines(w)
+    return C.upsert_catalog(live(w, lines), stage(w, lines), "2026.01.1")["editions"].select(*_C04_EDITION)
 
 
 @query("c04_upsert_catalog_series", f"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -164,21 +165,27 @@ VIEWS = {
 
 # The rows of a view in another join order, for Spark. Lines meet the suppliers while they are narrow and the parts by the
 # id of the work, so editions leave the last join dealt by work and what asks for them by work needs no further exchange.
+# Exchanges carry bare columns; the texts made of them are made after the last one.
+EDITION = VIEWS["fx_edition"].split("FROM lineitem")[0].replace("concat('OL', l_partkey + 1, 'W') AS work_id", "l_work AS work_id").replace(
+    "l_returnflag <> 'R' AS is_english", "is_english").replace("CAST(year(l_shipdate) AS INT) AS publish_year", "publish_year").strip()
+EDITION_ID = EDITION.removeprefix("SELECT ").split(" AS edition_id")[0]
 PLANNED = {
-    "fx_edition": VIEWS["fx_edition"].replace(
-        "FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey",
-        """FROM (SELECT *, concat('OL', l_partkey + 1, 'W') AS l_work FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey
-          JOIN (SELECT *, concat('OL', p_partkey + 1, 'W') AS p_work FROM part) ON l_work = p_work""").replace(
-        "concat('OL', l_partkey + 1, 'W') AS work_id", "l_work AS work_id"),
+    "fx_edition_line": """
+        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, is_english, publish_year, l_work, s_name, p_name, p_brand, p_type, p_size
+        FROM (SELECT *, concat('OL', l_partkey + 1, 'W') AS l_work
+          FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_returnflag <> 'R' AS is_english,
+            CAST(year(l_shipdate) AS INT) AS publish_year FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey)
+          JOIN (SELECT *, concat('OL', p_partkey + 1, 'W') AS p_work FROM part) ON l_work = p_work""",
+    "fx_edition": f"{EDITION} FROM fx_edition_line",
 }
 
 _NAMES = re.compile(r"\bfx_[a-z_]+\b")
 
 
-def _used(text: str, seen: list[str]) -> list[str]:
+def _used(text: str, views: dict[str, str], seen: list[str]) -> list[str]:
     for name in _NAMES.findall(text):
-        if name in VIEWS and name not in seen:
-            _used(VIEWS[name], seen)
+        if name in views and name not in seen:
+            _used(views[name], views, seen)
             if name not in seen:
                 seen.append(name)
     return seen
@@ -187,7 +194,7 @@ def _used(text: str, seen: list[str]) -> list[str]:
 def with_views(text: str, views: dict[str, str] = VIEWS) -> str:
     """Put the adapter views a statement names in front of it as common table expressions."""
     body = text.strip()
-    used = _used(body, [])
+    used = _used(body, views, [])
     if not used:
         return body
     heads = ", ".join(f"{name} AS ({views[name].strip()})" for name in used)
@@ -210,13 +217,21 @@ class World:
             self._tables[name] = self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
         return self._tables[name]
 
-    def sql(self, text: str) -> DataFrame:
-        """Spark SQL over the tables and adapter views the text names."""
+    def sql(self, text: str, **rows: DataFrame) -> DataFrame:
+        """Spark SQL over the tables and adapter views the text names, and over ``rows``, which the text names ``rows_<name>``."""
+        for name, df in rows.items():
+            view = f"rows_{uuid.uuid4().hex}"
+            df.createOrReplaceTempView(view)
+            text = re.sub(rf"\brows_{name}\b", view, text)
+            rows[name] = view
         full = with_views(text, VIEWS | PLANNED)
         for name in TABLES:
             if re.search(rf"\b{name}\b", full):
                 self.table(name).createOrReplaceTempView(name)
-        return self.spark.sql(full)
+        made = self.spark.sql(full)
+        for view in rows.values():
+            self.spark.catalog.dropTempView(view)
+        return made
 
     def fx(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM fx_{name}")
