@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import load as C
+from foliant.operators import resolve as E
 from foliant.plans import q_load
 from foliant.plans.world import World
 from foliant.session import written
@@ -80,3 +81,64 @@ def test_a_written_table_is_small_and_leaves_no_shuffle_files(spark):
         spark.sparkContext._jvm.java.lang.Thread.sleep(100)
     assert not left
     assert table.count() == 200_000 and {os.path.basename(f).split(".")[-2] for f in table.inputFiles()} == {"zstd"}
+
+
+def test_two_merges_followed_by_one_join_are_the_two_in_turn(spark):
+    pairs = "loser string, survivor string"
+    first = spark.createDataFrame([("a", "b"), ("c", "d"), ("e", "f"), ("e", "g")], pairs)
+    second = spark.createDataFrame([("b", "x"), ("d", "y"), ("h", "z"), ("c", "never"), ("g", "x")], pairs)
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate([*"abcdefghi", None, "a"])], "edition_id int, work_id string")
+    turn = E._follow(E._follow(rows, "work_id", first), "work_id", second)
+    once = E._follow(rows, "work_id", C._chained(first, second))
+    assert _rows(once.select("edition_id", "work_id")) == _rows(turn.select("edition_id", "work_id"))
+
+
+def test_faces_of_merged_works_are_the_representatives_of_their_editions(spark):
+    fields = "edition_id string, work_id string, language string, cover_url string, description string, isbn_13 string, page_count int, ratings_count int"
+    rows = [(f"OL{n}M" if n % 7 else None, f"w{n % 9}" if n % 5 else None, ("en", "de", None)[n % 3], "c" if n % 4 else None, "d" if n % 6 == 0 else None,
+             "9780306406157" if n % 2 else None, n % 3 or None, None) for n in range(90)]
+    editions = spark.createDataFrame(rows + rows[:20], fields)
+    aliases = spark.createDataFrame([("w1", "w2"), ("w3", "w2"), ("w4", "new")], "loser string, survivor string")
+    met = E._follow(E.ranked_faces(editions), "work_id", aliases).groupBy("work_id").agg(F.max("face").alias("face"))
+    assert _rows(met.select("work_id", F.col("face.edition_id").alias("representative"))) == _rows(
+        E.pick_representative(E._follow(editions, "work_id", aliases)).select("work_id", "representative"))
+
+
+def test_a_load_ranks_the_editions_once_and_follows_both_merges_by_one_join(world, monkeypatch):
+    ranked, followed = [], []
+    rank, follow = C.ranked_faces, C._follow
+    monkeypatch.setattr(C, "ranked_faces", lambda editions: ranked.append(editions) or rank(editions))
+    monkeypatch.setattr(C, "_follow", lambda df, column, aliases: followed.append(df.columns) or follow(df, column, aliases))
+    works = [("OL1W", "openlibrary", "OL1W", "s1", "2025.12.1", None), ("OL2W", "openlibrary", "OL2W", "s1", "2025.12.1", None), ("rt-3", "openlibrary", "OL3W", "s2", None, None)]
+    spark = world.spark
+    live = {
+        "works": spark.createDataFrame([(*w, "t", "a", "t a", "single", None, None, 0, 0, 0, None, None, "manual", 1990) for w in works],
+            "work_id string, source string, external_id string, series_id string, catalog_release string, merged_into string, title string, author string, canonical_key string, kind string, representative string, "
+            "subtitle string, ol_cover_id long, ol_edition_count int, readinglog_count int, ratings_count int, subjects string, identity_provenance string, first_publish_year int"),
+        "series": spark.createDataFrame([(s, "openlibrary", s, s, s, s, "series", "ol_tag", None, None, None, False) for s in ("s1", "s2")],
+            "series_id string, source string, external_id string, name string, slug string, canonical_key string, kind string, provenance string, catalog_release string, merged_into string, parent_id string, dissolved boolean"),
+        "editions": spark.createDataFrame([(f"e{n}", w, "en", "t", 100 + n, None) for n, (w, *_) in enumerate(works)], "edition_id string, work_id string, language string, title string, page_count int, ratings_count int").selectExpr(
+            "*", *[f"CAST(NULL AS STRING) AS {c}" for c in ("isbn_13", "cover_url", "source", "external_id", "subtitle", "author", "publisher", "description")], "1990 AS published_year"),
+        "threads": spark.createDataFrame([(1, "s1", "OL2W")], "thread_id long, series_id string, work_id string"),
+        "shelves": spark.createDataFrame([(1, 1, "rt-3", "read", datetime(2020, 1, 1))], "shelf_id long, user_id long, work_id string, status string, created_at timestamp"),
+        "votes": spark.createDataFrame([], "user_id long, work_id string, genre_id int"), "inferences": spark.createDataFrame([], "work_id string, genre_id int, source string"),
+        "vetoes": spark.createDataFrame([], "work_id string, genre_id int, reverted boolean, veto_id long"), "members": spark.createDataFrame([], "series_id string, work_id string, position double, provenance string, confidence string"),
+        "aliases": spark.createDataFrame([], "ol_work_id string, work_id string"), "releases": spark.createDataFrame([("2025.12.1",)], "version string")}
+    stage = {
+        "works": spark.createDataFrame([(f"OL{n}W", f"OL{n}W", "t", "a", f"k{n}", 1990, "single", "s1", 0, 0, 0, None, None, None, 0) for n in (1, 3)],
+            "id string, ol_work_id string, title string, author string, canonical_key string, first_publish_year int, kind string, series_id string, readinglog_count int, ol_edition_count int, ratings_count int, subjects string, "
+            "representative_edition_id string, subtitle string, ol_cover_id long"),
+        "series": spark.createDataFrame([("s1", "openlibrary", "s1", "s1", "s1", "s1", "series", "ol_tag", None)],
+            "id string, source string, key string, name string, slug string, canonical_key string, kind string, provenance string, parent_series_id string"),
+        "editions": spark.createDataFrame([("e9", "OL9M", "OL1W", "t")], "id string, ol_edition_id string, work_id string, title string").selectExpr(
+            "*", *[f"CAST(NULL AS STRING) AS {c}" for c in ("subtitle", "author", "publisher", "isbn_13", "cover_url")], "1990 AS published_year", "10 AS page_count", "'en' AS language"),
+        "series_members": live["members"], "work_aliases": spark.createDataFrame([("OL2W", "OL3W")], "ol_work_id string, work_id string")}
+    phrases = spark.createDataFrame([], "slug string, kind string, phrase string, parent string, position int")
+    genres = spark.createDataFrame([], "genre_id int, slug string, parent_id int, retired boolean")
+    after, _ = C.load_release(live, stage, "2026.01.1", phrases, genres)
+    assert len(ranked) == 1 and "edition_id" in followed[-1]
+    # rt-3 is adopted by OL3W, which takes the books of the absent OL2W too
+    assert {r["edition_id"]: r["work_id"] for r in after["editions"].collect()} == {"e0": "OL1W", "e1": "OL3W", "e2": "OL3W", "e9": "OL1W"}
+    assert {r["work_id"]: (r["merged_into"], r["representative"]) for r in after["works"].collect()}["OL3W"][1] in ("e1", "e2")
+    joined = after["editions"].select("*")._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("edition_id#") and sum("Join" in line and "work_id#" in line for line in joined.split("\n")) == 1
