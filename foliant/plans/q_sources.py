@@ -12,7 +12,7 @@ from foliant.plans import check_sql as Q
 from foliant.plans.q_graph import RESOLVED
 from foliant.plans.world import World, query
 from foliant.operators.graph import redirect_map
-from foliant.session import ensure_checkpoint_dir, materialize
+from foliant.session import ensure_checkpoint_dir, written
 from foliant.sources import dumps as S
 from foliant.sources import release as REL
 
@@ -117,6 +117,7 @@ _OWNED = "e JOIN fx_work w0 ON w0.work_id = e.work_id LEFT JOIN resolved r ON r.
        "CASE WHEN e.cover_id > 0 THEN CAST(e.cover_id AS VARCHAR) ELSE '' END AS covers, e.series_string AS series "
        f"FROM fx_edition {_OWNED} WHERE (e.is_english AND c.work_id IS NOT NULL) OR e.page_count > 280")
 def s05(w: World) -> DataFrame:
+    w.keep("edition_line")  # keys, texts and extra ids are three passes over the editions
     kept = S.filter_editions(edition_dump(w), candidates(w), extra_editions(w), w.fx("redirect"))
     for name in ("publishers", "isbn_13", "isbn_10", "covers", "series"):
         kept = kept.withColumn(name, F.array_join(F.col(name).cast("array<string>"), "|"))
@@ -272,12 +273,13 @@ def s16(w: World) -> DataFrame:
 
 
 def _extract_inputs(w: World):
+    w.keep("edition_line")
     dump = work_dump(w)
     selected = candidates(w)
     raw_works = S.load_entities(dump, "/type/work", selected)
     moved = redirect_map(w.fx("redirect"))
     lines = edition_dump(w)
-    owned = materialize(S.owned_editions(lines, moved))  # feeds both the filter and the counts
+    owned = written(S.owned_editions(lines, moved))  # feeds both the filter and the counts
     raw_editions = S.filter_editions(lines, selected, extra_editions(w), moved, owned)
     editions = X.extract_editions(raw_editions, selected)
     return raw_works, editions, S.count_editions(lines, selected, moved, owned), moved

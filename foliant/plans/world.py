@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.session import count_rows_in_memory
+from foliant.session import count_rows_in_memory, written
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -211,6 +211,7 @@ class World:
         self.spark, self.folder = spark, folder
         count_rows_in_memory(spark)
         self._tables: dict[str, DataFrame] = {}
+        self._kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
@@ -219,20 +220,26 @@ class World:
 
     def sql(self, text: str, **rows: DataFrame) -> DataFrame:
         """Spark SQL over the tables and adapter views the text names, and over ``rows``, which the text names ``rows_<name>``."""
-        for name, df in rows.items():
-            view = f"rows_{uuid.uuid4().hex}"
-            df.createOrReplaceTempView(view)
-            text = re.sub(rf"\brows_{name}\b", view, text)
-            rows[name] = view
-        full = with_views(text, VIEWS | PLANNED)
+        full = with_views(text, VIEWS | PLANNED | {f"fx_{name}": f"SELECT * FROM rows_{name}" for name in self._kept})
+        named = []
+        for name, df in (self._kept | rows).items():
+            if re.search(rf"\brows_{name}\b", full):
+                named.append(f"rows_{uuid.uuid4().hex}")
+                df.createOrReplaceTempView(named[-1])
+                full = re.sub(rf"\brows_{name}\b", named[-1], full)
         for name in TABLES:
             if re.search(rf"\b{name}\b", full):
                 self.table(name).createOrReplaceTempView(name)
         made = self.spark.sql(full)
-        for view in rows.values():
+        for view in named:
             self.spark.catalog.dropTempView(view)
         return made
 
+    def keep(self, name: str) -> None:
+        """Derive an adapter view once and write it; what names it from here on reads the table."""
+        if name not in self._kept:
+            self._kept[name] = written(self.fx(name))
+
     def fx(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM fx_{name}")
 

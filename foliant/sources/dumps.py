@@ -19,7 +19,7 @@ from foliant.functions import records as R
 from foliant.functions import text as T
 from foliant.operators.graph import resolved_redirects
 from foliant.schemas import ACTIVITY
-from foliant.session import join_sparse
+from foliant.session import join_sparse, written
 
 # --- fixed values ---------------------------------------------------------------
 NAME_LANGUAGES = ("en", "mul", "zh", "ja", "ko", "ru")
@@ -78,26 +78,43 @@ def _edition_keys(dump: DataFrame) -> list[Column]:
 
 
 def owned_editions(dump: DataFrame, redirects: DataFrame) -> DataFrame:
-    """``(ol_id, work_key, is_english, work_ol_id)`` of every edition line, in one pass that leaves the JSON behind.
+    """``(ol_id, work_key, is_english, work_ol_id)`` of every edition line, in one pass that leaves the JSON behind."""
+    return _owned(dump, resolved_redirects(redirects))
+
+
+def _owned(dump: DataFrame, keys: DataFrame, *more: str) -> DataFrame:
+    """Edition lines with what ``keys(from_ol, resolved, ...)`` says of their work.
 
     Lines without a work join under keys of their own, as they would be one hot key.
     """
     lines = dump.select(*_edition_keys(dump)).withColumn("from_ol", F.when(F.col("work_key") != "", F.col("work_key")))
-    placed = join_sparse(lines, resolved_redirects(redirects), "from_ol", "ol_id")
-    return placed.select("ol_id", "work_key", "is_english", F.coalesce("resolved", "from_ol").alias("work_ol_id"))
+    placed = join_sparse(lines, keys, "from_ol", "ol_id")
+    return placed.select("ol_id", "work_key", "is_english", F.coalesce("resolved", "from_ol").alias("work_ol_id"), *more)
+
+
+def _judged_keys(moved: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(from_ol, resolved, wanted)``: redirected keys with their survivor, and wanted ones that stay, so lines meet both by one join."""
+    moved = moved.select("from_ol", F.coalesce("resolved", "from_ol").alias("resolved"))
+    survivors = moved.join(wanted.withColumnRenamed("work_ol_id", "resolved"), "resolved", "left").select("from_ol", "resolved", "wanted")
+    staying = wanted.join(moved.select(F.col("from_ol").alias("work_ol_id")), "work_ol_id", "left_anti")
+    return survivors.unionByName(staying.select(F.col("work_ol_id").alias("from_ol"), F.col("work_ol_id").alias("resolved"), "wanted"))
 
 
 def filter_editions(dump: DataFrame, candidates: DataFrame, extra_ids: DataFrame, redirects: DataFrame, owned: DataFrame | None = None) -> DataFrame:
     """English editions of candidate works and every edition in ``extra_ids``.
 
-    One pass over the keys (``owned``, computed here unless given) flags what is wanted; the JSON is joined to it once.
+    One pass over the keys (``owned``, computed here unless given) flags what is wanted; the JSON is joined to it once,
+    after the shuffle files of that pass are gone.
     """
-    owned = owned_editions(dump, redirects) if owned is None else owned
     names = ["ol_id", "work_key", "is_english"]
     wanted = candidates.select(F.col("ol_id").alias("work_ol_id"), F.lit(True).alias("wanted")).distinct()
     extra = extra_ids.select("ol_id", F.lit(True).alias("extra")).distinct()
-    chosen = join_sparse(owned, wanted, "work_ol_id", "ol_id").join(extra, "ol_id", "left").filter(
-        (F.col("is_english") & F.col("wanted")) | F.col("extra")).select(*names, "work_ol_id").distinct()
+    if owned is None:
+        flagged = _owned(dump, _judged_keys(resolved_redirects(redirects), wanted), "wanted")
+    else:
+        flagged = join_sparse(owned, wanted, "work_ol_id", "ol_id")
+    chosen = written(flagged.join(extra, "ol_id", "left").filter(
+        (F.col("is_english") & F.col("wanted")) | F.col("extra")).select(*names, "work_ol_id").distinct())
     kept = dump.select(*_edition_keys(dump), "json").join(chosen, names)
     doc = F.col("doc")
     parsed = kept.select("ol_id", "work_ol_id", "is_english", R.document(F.col("json")).alias("doc"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from foliant.operators import load as C
 from foliant.operators import resolve as E
-from foliant.plans import q_load
+from foliant.plans import q_load, q_sources
 from foliant.plans.world import World
 from foliant.session import written
+from foliant.sources import dumps as S
 
 TYPES = {
     "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
@@ -142,3 +143,42 @@ def test_a_load_ranks_the_editions_once_and_follows_both_merges_by_one_join(worl
     assert {r["work_id"]: (r["merged_into"], r["representative"]) for r in after["works"].collect()}["OL3W"][1] in ("e1", "e2")
     joined = after["editions"].select("*")._jdf.queryExecution().optimizedPlan().toString()
     assert joined.count("edition_id#") and sum("Join" in line and "work_id#" in line for line in joined.split("\n")) == 1
+
+
+def test_a_kept_view_is_derived_once_and_has_its_rows(world):
+    before = _rows(world.fx("edition"))
+    world.keep("edition_line")
+    assert _rows(world.fx("edition")) == before and "l_shipdate" not in world.fx("edition")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filtered_and_extracted_editions_read_kept_lines(world, monkeypatch):
+    seen, filtered = [], S.filter_editions
+    monkeypatch.setattr(S, "filter_editions", lambda dump, candidates, extra, *rest: seen.extend([dump, extra]) or filtered(dump, candidates, extra, *rest))
+    q_sources.s05(world)
+    q_sources.x02(World(world.spark, world.folder))
+    assert len(seen) == 4 and all("l_shipdate" not in x._jdf.queryExecution().optimizedPlan().toString() for x in seen)
+
+
+def test_lines_meet_redirects_and_candidates_by_one_join(spark, monkeypatch):
+    """Chains, redirected candidates, redirects onto themselves, lines without a work, repeated lines and ids."""
+    works = [f"OL{n}W" for n in range(12)]
+    lines = [(f"OL{n}M", f'{{"works": [{{"key": "/works/{works[n % 14]}"}}], "languages": [{{"key": "/languages/{"eng" if n % 3 else "ger"}"}}]}}' if n % 14 < 12 else "{}") for n in range(70)]
+    dump = spark.createDataFrame(lines + lines[:9] + [("OL99M", None)], "ol_id string, json string")
+    redirects = spark.createDataFrame([("OL0W", "OL1W"), ("OL1W", "OL2W"), ("OL3W", "OL9W"), ("OL4W", "OL4W"), ("OL5W", None), (None, "OL2W")], "from_ol string, to_ol string")
+    candidates = spark.createDataFrame([(x,) for x in ("OL1W", "OL2W", "OL4W", "OL5W", "OL6W", "OL6W", None)], "ol_id string")
+    extra = spark.createDataFrame([(x,) for x in ("OL3M", "OL13M", "OL12M", "OL12M", None)], "ol_id string")
+    target = {"OL0W": "OL2W", "OL1W": "OL2W", "OL3W": "OL9W"}
+    wanted, more = {"OL1W", "OL2W", "OL4W", "OL5W", "OL6W"}, {"OL3M", "OL12M", "OL13M"}
+    expected = []
+    for ol_id, json in lines + lines[:9]:
+        work = json.split("/works/")[1].split('"')[0] if "/works/" in json else None
+        owner = target.get(work, work)
+        if ("eng" in json and owner in wanted) or ol_id in more:
+            expected.append((ol_id, owner, "eng" in json))
+    passes, keep = [], S.written
+    monkeypatch.setattr(S, "written", lambda df: passes.append(df) or keep(df))
+    for owned in (None, S.owned_editions(dump, redirects)):
+        found = S.filter_editions(dump, candidates, extra, redirects, owned).select("ol_id", "work_ol_id", "is_english")
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
+    joins = [sum("Join" in x and "OL[0-9]+W" not in x and "coalesce" in x for x in p._jdf.queryExecution().optimizedPlan().toString().split("\n")) for p in passes]
+    assert joins[0] < joins[1]
