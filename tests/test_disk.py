@@ -11,6 +11,7 @@ from foliant.operators import load as C
 from foliant.operators import resolve as E
 from foliant.plans import q_load, q_sources
 from foliant.plans.world import World
+from foliant.schemas import conform
 from foliant.session import written
 from foliant.sources import dumps as S
 
@@ -182,3 +183,16 @@ def test_lines_meet_redirects_and_candidates_by_one_join(spark, monkeypatch):
         assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
     joins = [sum("Join" in x and "OL[0-9]+W" not in x and "coalesce" in x for x in p._jdf.queryExecution().optimizedPlan().toString().split("\n")) for p in passes]
     assert joins[0] < joins[1]
+
+
+def test_release_editions_are_dealt_once_for_the_distinction_and_the_order(world):
+    every = world.fx("edition").select("edition_id", "work_id", "title", "isbn_raw", "page_count", "cover_url").collect()
+    tables = q_sources.release_tables(world)
+    ordered = conform(tables["editions"], "editions").orderBy("ol_edition_id")
+    plan = _plan(ordered)
+    assert plan.count("Exchange") == 1 and plan.count("Exchange rangepartitioning") == 1 and "l_shipdate" not in plan
+    found = ordered.collect()
+    ids = [r["ol_edition_id"] for r in found]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x)) and len(set(ids)) == len(ids) and set(ids) == {r["edition_id"] for r in every}
+    first = q_sources.release_editions(world).select("edition_id", "work_id", "title", "isbn_raw", "page_count", "cover_url").collect()
+    assert {tuple(r) for r in first} <= {tuple(r) for r in every}
