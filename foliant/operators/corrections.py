@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators.graph import follow_aliases, room_tree
 from foliant.operators.load import Tables, _first_free, retire_into
-from foliant.operators.resolve import pick_representative
-from foliant.session import materialize
+from foliant.operators.resolve import edition_rank
+from foliant.session import materialize, written
 
 # --- fixed values ----------------------------------------------------------------
 SERIES_SUBJECT_OPS = ("rename_series", "reject_series")
@@ -379,21 +379,26 @@ def apply_split(ops: DataFrame, tables: Tables) -> tuple[Tables, DataFrame]:
     owner = editions.select("edition_id", F.col("work_id").alias("owner"))
     seen = listed.join(owner, "edition_id", "left").groupBy("op_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("owner").isNull()).alias("unknown"), F.count_if(F.col("owner") != F.col("work_id")).alias("foreign"))
-    judged = ops.join(state, "work_id", "left").join(total, "work_id", "left").join(seen, "op_id", "left").withColumn(
-        "reason", F.when(F.col("known").isNull(), "unknown_work").when(F.col("w_merged").isNotNull(), "merged_work").when(F.coalesce("n", F.lit(0)) == 0, "none")
-        .when(F.col("unknown") > 0, "unknown_edition").when(F.col("foreign") > 0, "foreign").when(F.col("n") == F.col("total"), "all"))
+    judged = written(ops.join(state, "work_id", "left").join(total, "work_id", "left").join(seen, "op_id", "left").select(
+        "op_id", "work_id", F.when(F.col("known").isNull(), "unknown_work").when(F.col("w_merged").isNotNull(), "merged_work").when(F.coalesce("n", F.lit(0)) == 0, "none")
+        .when(F.col("unknown") > 0, "unknown_edition").when(F.col("foreign") > 0, "foreign").when(F.col("n") == F.col("total"), "all").alias("reason")))
     first = judged.filter("reason IS NULL").groupBy("work_id").agg(F.min("op_id").alias("op_id"))
     again = judged.filter("reason IS NULL").join(first.select("op_id"), "op_id", "left_anti").select("op_id", F.lit("superseded").alias("reason"))
     moved = listed.join(first.select("op_id"), "op_id", "left_semi")
     ids = moved.groupBy("work_id").agg(F.min("edition_id").alias("least")).withColumn("split_key", F.concat_ws("~", "work_id", "least")).withColumn(
         "new_work", T.work_row_id(F.col("split_key")))
-    taken = materialize(moved.join(ids, "work_id").select("edition_id", "work_id", "new_work", "split_key"))
-    owned = editions.join(taken.select("edition_id", "new_work"), "edition_id", "left").withColumn("work_id", F.coalesce("new_work", "work_id")).select(*editions.columns)
+    taken = written(moved.join(ids, "work_id").select("edition_id", "work_id", "new_work", "split_key"))
+    split = taken.select("work_id", "new_work", "split_key").distinct()
+
+    def after(rows: DataFrame) -> DataFrame:
+        return rows.join(taken.select("edition_id", "new_work"), "edition_id", "left").withColumn("work_id", F.coalesce("new_work", "work_id"))
+
     touched = taken.select("work_id").union(taken.select("new_work")).distinct()
-    best = pick_representative(owned.join(touched, "work_id", "left_semi")).withColumnRenamed("representative", "best")
+    faces = after(editions.select("edition_id", "work_id", edition_rank(editions).alias("face"))).groupBy("work_id").agg(F.max("face").alias("face"))
+    best = faces.join(touched, "work_id", "left_semi").select("work_id", F.col("face.edition_id").alias("best"))
     face = editions.select(F.col("edition_id").alias("best"), F.col("title").alias("face_title"))
     types = dict(works.dtypes)
-    source = works.join(ids.select("work_id", "new_work", "split_key"), "work_id").join(
+    source = works.join(split, "work_id").join(
         best.withColumnRenamed("work_id", "new_work"), "new_work").join(face, "best", "left")
     shown = T.display_title(F.col("face_title"))
     title = F.when(shown != "", shown).otherwise(F.col("title"))
@@ -403,7 +408,7 @@ def apply_split(ops: DataFrame, tables: Tables) -> tuple[Tables, DataFrame]:
              "representative": F.col("best"), "series_id": F.when(F.col("room_kind") == "series", F.col("series_id")).otherwise(T.series_row_id(F.concat(F.lit("singleton:"), F.col("new_work"))))}
     new_rows = source.join(rooms, "series_id", "left").select(*[fresh.get(c, F.col(c)).cast(types[c]).alias(c) for c in works.columns])
     updated = works.join(best, "work_id", "left").withColumn("representative", F.coalesce("best", "representative")).select(*works.columns)
-    return {**tables, "works": updated.unionByName(new_rows), "editions": owned}, judged.filter("reason IS NOT NULL").select("op_id", "reason").unionByName(again)
+    return {**tables, "works": updated.unionByName(new_rows), "editions": after(editions).select(*editions.columns)}, judged.filter("reason IS NOT NULL").select("op_id", "reason").unionByName(again)
 
 
 _MEMBER = "struct<series_id:string,work_id:string,position:double,provenance:string,confidence:string>"

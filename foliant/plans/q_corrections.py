@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import corrections as R
 from foliant.plans import check_sql as Q
-from foliant.plans.q_load import EDITIONS, MEMBERS, SERIES, THREADS, WORKS, live
+from foliant.plans.q_load import EDITIONS, MEMBERS, SERIES, THREADS, WORKS, edition_lines, live, live_editions
 from foliant.plans.q_resolve import _rank_sql
 from foliant.plans.world import World, query
 from foliant.session import written
@@ -203,7 +203,7 @@ _SPLIT = f"""
 def _split(w: World):
     """The operations and the editions they are applied to; the editions are derived and written once."""
     tables = live(w)
-    tables["editions"] = written(tables["editions"])
+    tables["editions"] = written(live_editions(w, edition_lines(w)))
     view = f"editions_{uuid.uuid4().hex}"
     tables["editions"].createOrReplaceTempView(view)
     ops = written(w.sql(_SPLITS.replace(f"({EDITIONS})", view)).groupBy("op_id", "work_id").agg(F.collect_set("edition_id").alias("editions")))

@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.operators import corrections as R
 from foliant.operators import load as C
 from foliant.operators import resolve as E
 from foliant.plans import q_load, q_sources
@@ -196,3 +197,21 @@ def test_release_editions_are_dealt_once_for_the_distinction_and_the_order(world
     assert ids == sorted(ids, key=lambda x: (x is not None, x)) and len(set(ids)) == len(ids) and set(ids) == {r["edition_id"] for r in every}
     first = q_sources.release_editions(world).select("edition_id", "work_id", "title", "isbn_raw", "page_count", "cover_url").collect()
     assert {tuple(r) for r in first} <= {tuple(r) for r in every}
+
+
+def test_a_split_is_judged_once_and_its_works_come_from_what_was_written(spark):
+    works = spark.createDataFrame([(f"w{n}", None, "openlibrary", f"x{n}", f"t{n}", f"t{n}", "a", None, None, 1, 1990, None, "s") for n in range(4)],
+        "work_id string, merged_into string, source string, external_id string, title string, canonical_key string, author string, catalog_release string, subjects string, readinglog_count int, first_publish_year int, "
+        "representative string, series_id string")
+    editions = spark.createDataFrame([(f"OL{n}M", f"w{n % 3}", "en" if n % 2 else "de", f"Face {n}", None, None, None, 10 * n, None) for n in range(12)],
+        "edition_id string, work_id string, language string, title string, cover_url string, description string, isbn_13 string, page_count int, ratings_count int")
+    series = spark.createDataFrame([("s", "series")], "series_id string, kind string")
+    ops = spark.createDataFrame([(1, "w0", ["OL0M", "OL3M"]), (2, "w0", ["OL6M"]), (3, "w1", ["OL0M"]), (4, "w2", ["OL2M", "OL5M", "OL8M", "OL11M"]), (5, "w9", ["OL1M"]), (6, "w1", ["OL1M"])],
+        "op_id int, work_id string, editions array<string>")
+    after, refusals = R.apply_split(ops, {"works": works, "editions": editions, "series": series})
+    assert {tuple(r) for r in refusals.collect()} == {(2, "superseded"), (3, "foreign"), (4, "all"), (5, "unknown_work")}
+    assert all("explode" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (refusals, after["works"], after["editions"]))
+    shown = {r["external_id"]: (r["representative"], r["title"]) for r in after["works"].collect()}
+    assert shown == {"x0": ("OL9M", "t0"), "x1": ("OL7M", "t1"), "x2": (None, "t2"), "x3": (None, "t3"), "w0~OL0M": ("OL3M", "Face 3"), "w1~OL1M": ("OL1M", "Face 1")}
+    moved = {r["edition_id"]: r["work_id"] for r in after["editions"].collect()}
+    assert moved["OL0M"] == moved["OL3M"] != "w0" and moved["OL6M"] == "w0" and moved["OL1M"] not in ("w1", moved["OL0M"]) and moved["OL2M"] == "w2"
