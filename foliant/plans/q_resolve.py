@@ -218,6 +218,7 @@ _LADDER = f"""
 
 
 def _laddered(w: World):
+    w.keep("edition_line")  # the editions and both lists of ISBNs are made of it
     return E.resolve_ladder(w.sql(_RE), runtime_docs(w), runtime_works(w))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.operators import corrections as R
 from foliant.operators import load as C
 from foliant.operators import resolve as E
-from foliant.plans import q_load, q_sources
+from foliant.plans import q_load, q_resolve, q_sources
 from foliant.plans.world import World
 from foliant.schemas import conform
 from foliant.session import written
@@ -215,3 +215,13 @@ def test_a_split_is_judged_once_and_its_works_come_from_what_was_written(spark):
     assert shown == {"x0": ("OL9M", "t0"), "x1": ("OL7M", "t1"), "x2": (None, "t2"), "x3": (None, "t3"), "w0~OL0M": ("OL3M", "Face 3"), "w1~OL1M": ("OL1M", "Face 1")}
     moved = {r["edition_id"]: r["work_id"] for r in after["editions"].collect()}
     assert moved["OL0M"] == moved["OL3M"] != "w0" and moved["OL6M"] == "w0" and moved["OL1M"] not in ("w1", moved["OL0M"]) and moved["OL2M"] == "w2"
+
+
+def test_the_steps_of_the_ladder_read_what_was_written(world, monkeypatch):
+    seen, by_isbn, by_title = [], E.resolve_by_isbn, E.resolve_by_title_author
+    monkeypatch.setattr(E, "resolve_by_isbn", lambda editions, docs: seen.extend([editions, docs]) or by_isbn(editions, docs))
+    monkeypatch.setattr(E, "resolve_by_title_author", lambda editions, docs: seen.append(editions) or by_title(editions, docs))
+    links, _ = q_resolve._laddered(world)
+    assert len(seen) == 3 and all("l_shipdate" not in x._jdf.queryExecution().optimizedPlan().toString() for x in seen)
+    pending = world.sql(q_resolve._RE).filter("work_id IS NULL")
+    assert _rows(links.select("edition_id").distinct()) == _rows(pending.select("edition_id").distinct())
